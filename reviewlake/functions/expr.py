@@ -64,6 +64,13 @@ def round_half_even(x: Column | str, digits: int = 2) -> Column:
     return F.bround(_c(x), digits)
 
 
+def mean_half_even(x: Column | str, digits: int = 2) -> Column:
+    """Aggregate: mean rounded half-even, computed in decimal so a mean that
+    sits exactly on a tie (0.125) rounds the same on every engine."""
+    exact = F.avg(_c(x).cast("decimal(30,10)"))
+    return F.bround(exact, digits).cast("double")
+
+
 def page_floor(reviews: Column | str, page_size: int = REVIEW_PAGE_SIZE) -> Column:
     """Largest multiple of ``page_size`` not above ``reviews``, as int."""
     r = _c(reviews)

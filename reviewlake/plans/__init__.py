@@ -3,7 +3,7 @@
 Importing this package registers every query module.
 """
 
-from reviewlake.plans import profile  # noqa: F401  (registers queries)
+from reviewlake.plans import catalog, profile  # noqa: F401  (registers queries)
 from reviewlake.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -97,3 +97,15 @@ def trait_long_rows(traits: Sequence[Trait], source: str, key: str) -> str:
         f"SELECT {key}, '{t.family}' AS family, {sql_literal(t.label(v))} AS value, "
         f"{t.out_name(v)} AS n FROM {source}"
         for t in traits for v in t.values)
+
+
+def mean_half_even(col: str, digits: int = 2) -> str:
+    """Exact mean rounded half-even, in integer arithmetic (DuckDB's decimal
+    division returns a double). Non-negative inputs."""
+    scaled = f"CAST(CAST({col} AS DECIMAL(30,10)) * 10000000000 AS HUGEINT)"
+    s = f"sum({scaled})"
+    d = f"(count({col}) * CAST({10 ** (10 - digits)} AS HUGEINT))"
+    q = f"({s} // {d})"
+    r = f"({s} - {q} * {d})"
+    return (f"CAST(({q} + CASE WHEN 2 * {r} > {d} THEN 1 WHEN 2 * {r} = {d} "
+            f"THEN {q} % 2 ELSE 0 END) AS DOUBLE) / {10 ** digits}")
