@@ -3,7 +3,7 @@
 Importing this package registers every query module.
 """
 
-from reviewlake.plans import catalog, ingest, profile, sentiment, text  # noqa: F401  (registers queries)
+from reviewlake.plans import catalog, ingest, profile, sentiment, stream, text  # noqa: F401,E501
 from reviewlake.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
