@@ -37,7 +37,14 @@ class Trait:
         return str(self.labels.get(value, value))
 
     def out_name(self, value: object) -> str:
-        return column_name(self.family, self.label(value))
+        """``<family>__<label>``; labels equal up to case (``Grey``/``grey``)
+        get their position appended, as Spark resolves names ignoring case."""
+        name = column_name(self.family, self.label(value))
+        clash = [v for v in self.values
+                 if column_name(self.family, self.label(v)).lower() == name.lower()]
+        if len(clash) > 1:
+            name = f"{name}_{list(self.values).index(value)}"
+        return name
 
 
 def column_name(family: str, label: str) -> str:
