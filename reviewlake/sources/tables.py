@@ -16,10 +16,23 @@ from reviewlake import schemas
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: Sequence[str] | None = None) -> DataFrame:
-    """One Parquet table of a data folder, optionally projected."""
+               columns: Sequence[str] | None = None, spread: bool = True) -> DataFrame:
+    """One Parquet table of a data folder, optionally projected.
+
+    A file that cannot be split (one row group) scans as one partition, so
+    everything before the first shuffle would run on one core. When the scan
+    has fewer partitions than the session's default parallelism it is spread
+    once, round-robin; a large input already has more partitions than that
+    and is left as it is (no extra shuffle at scale).
+    """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    if columns:
+        df = df.select(*columns)
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
 
 
 def _nan_free(df: DataFrame) -> DataFrame:
