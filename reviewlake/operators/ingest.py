@@ -56,6 +56,15 @@ def latest_record(obs: DataFrame, key: str, ts: str, tiebreak: str) -> DataFrame
     return obs.groupBy(F.col(key).alias("__k")).agg(best).select("b.row.*")
 
 
+def keep_last(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """One row per ``key``: the last in ascending ``order`` (a partial-aggregated
+    ``max(struct)``, as ``first_seen`` is its ``min``)."""
+    cols = [c for c in rows.columns]
+    best = F.max(F.struct(*[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)],
+                          F.struct(*cols).alias("row"))).alias("b")
+    return rows.groupBy(F.col(key).alias("__k")).agg(best).select("b.row.*")
+
+
 def _fold_sku(rows: pd.DataFrame, state: list[dict], sku, price, ts, attrs) -> None:
     """Apply the store's upsert rule to one SKU's observations, in order.
 

@@ -195,3 +195,16 @@ def latest_offer(spark: SparkSession, d: str) -> DataFrame:
 def price_history_compat(spark: SparkSession, d: str) -> DataFrame:
     """Exact store-upsert fold per SKU (rows-only check; unit-tested on A→B→A)."""
     return ing.price_history_compat(standins.price_observations(spark, d))
+
+
+@query("keep_last", """
+SELECT obs_id, ts, sku_id, price, attrs FROM (
+  SELECT event_id AS obs_id, ts, user_id AS sku_id, event_type AS price, value AS attrs,
+         row_number() OVER (PARTITION BY user_id
+                            ORDER BY event_type DESC, value DESC, event_id DESC) AS rn
+  FROM events) WHERE rn = 1
+""")
+def keep_last(spark: SparkSession, d: str) -> DataFrame:
+    """Per SKU the row that sorts last on (price, attrs, id): keep-last dedupe."""
+    obs = standins.price_observations(spark, d).drop("props")
+    return ing.keep_last(obs, "sku_id", ["price", "attrs", "obs_id"])
