@@ -90,11 +90,8 @@ def brand_category_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("brand_price_hist", f"""
-WITH f AS (SELECT brand, name, arg_min(price, prod_id) AS price
-           FROM ({sql.CATALOG}) GROUP BY ALL)
-SELECT brand, name, price,
-       row_number() OVER (PARTITION BY brand ORDER BY price ASC NULLS LAST, name) AS price_rank
-FROM f
+SELECT brand, name, arg_min(price, prod_id) AS price
+FROM ({sql.CATALOG}) GROUP BY ALL
 """)
 def brand_price_hist(spark: SparkSession, d: str) -> DataFrame:
     return dash.brand_price_hist(catalog(spark, d))

@@ -6,6 +6,7 @@ select columns so only those reach the Parquet ``ReadSchema``.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,22 +17,29 @@ from reviewlake import schemas
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: Sequence[str] | None = None, spread: bool = True) -> DataFrame:
+               columns: Sequence[str] | None = None, spread: bool | None = None) -> DataFrame:
     """One Parquet table of a data folder, optionally projected.
 
     A file that cannot be split (one row group) scans as one partition, so
     everything before the first shuffle would run on one core. When the scan
     has fewer partitions than the session's default parallelism it is spread
-    once, round-robin; a large input already has more partitions than that
-    and is left as it is (no extra shuffle at scale).
+    once by a hash of the projected non-text columns (all columns if there are
+    none) — deterministic on task retry and, unlike round-robin, without a
+    local sort first; a large input already
+    has more partitions than that and is left as it is (no extra shuffle at
+    scale).
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread is None:
+        spread = os.environ.get("REVIEWLAKE_SPREAD_SCANS", "1") == "1"
     if columns:
         df = df.select(*columns)
     if spread:
         cores = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
+            keys = [f.name for f in df.schema.fields
+                    if not isinstance(f.dataType, T.StringType)] or df.columns
+            df = df.repartition(cores, *[F.col(c) for c in keys])
     return df
 
 

@@ -137,6 +137,15 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str =
         raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
     if q.exception():
         raise q.exception()
+    if q.lastProgress is None or not _written(spark, out):
+        return spark.createDataFrame([], stream.schema)
     if mode == "append" or not keys:
         return spark.read.parquet(out).drop("batch_id")
     return latest_from_change_log(spark, out, keys)
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether the sink folder exists (no micro-batch had rows otherwise)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
