@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from reviewlake.constants import (HASHED_FEATURES, HIGH_RATING, LOGREG_MAX_ITER, LOW_RATING,
                                   SENTIMENT_LABELS, SPLIT_SEED, TRAIN_FRACTION,
                                   TRAIN_ROW_CAP)
+from reviewlake.operators.tfidf import materialize
 from reviewlake.operators.traits import Trait, trait_counts
 
 SENTIMENT = Trait("sentiment", "prediction", [0.0, 1.0], SENTIMENT_LABELS)
@@ -83,8 +84,12 @@ class SentimentModel:
 
 def fit(train_rows: DataFrame, text: str = "ReviewText", review_id: str = "review_id",
         by_hash_split: bool = False, evaluate: bool = True) -> SentimentModel:
-    """Fit on the training share, report AUC on the held-out share."""
-    train, test = split(train_rows, review_id, by_hash=by_hash_split)
+    """Fit on the training share, report AUC on the held-out share.
+
+    The capped training rows feed the split, the IDF fit and the regression
+    passes; they are written once to the checkpoint folder first.
+    """
+    train, test = split(materialize(train_rows), review_id, by_hash=by_hash_split)
     model = pipeline(text).fit(train)
     auc = None
     if evaluate:
