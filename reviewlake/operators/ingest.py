@@ -143,12 +143,16 @@ def page_plan(offers: DataFrame, page_size: int = REVIEW_PAGE_SIZE,
 
 
 def fetched_pages(reviews: DataFrame, url: str = "url") -> DataFrame:
-    """(product, offset) of the pages already stored, read from review URLs."""
+    """(product, offset) of the pages already stored, read from review URLs.
+
+    URLs without a product or offset give null keys, which match no planned
+    page in the anti join; they need no filter of their own.
+    """
     u = F.col(url)
     return reviews.select(
         F.nullif(F.regexp_extract(u, r"ProductId%3A(\w+)", 1), F.lit("")).alias("prod_id"),
         F.regexp_extract(u, r"[?&]offset=(\d+)", 1).try_cast("int").alias("offset"),
-    ).where(F.col("prod_id").isNotNull() & F.col("offset").isNotNull()).distinct()
+    ).distinct()
 
 
 def frontier(plan: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -143,14 +143,14 @@ query("page_plan", PAGE_PLAN_SQL)(_plan)
 WITH plan AS ({PAGE_PLAN_SQL}),
 fetched AS (SELECT DISTINCT nullif(regexp_extract(url, 'ProductId%3A(\\w+)', 1), '') AS prod_id,
                    TRY_CAST(regexp_extract(url, '[?&]offset=(\\d+)', 1) AS INTEGER) AS "offset"
-            FROM ({sql.REVIEWS}))
+            FROM ({sql.REVIEW_PAGES}))
 SELECT * FROM plan
 WHERE NOT EXISTS (SELECT 1 FROM fetched f
                   WHERE f.prod_id = plan.prod_id AND f."offset" = plan."offset")
 """)
 def frontier(spark: SparkSession, d: str) -> DataFrame:
     """Pages planned from the offers that no stored review came from."""
-    fetched = ing.fetched_pages(standins.reviews(spark, d))
+    fetched = ing.fetched_pages(standins.review_pages(spark, d))
     return ing.frontier(_plan(spark, d), fetched)
 
 

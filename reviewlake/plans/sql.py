@@ -71,6 +71,13 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
      JOIN nation ON c_nationkey = n_nationkey
 """
 
+REVIEW_PAGES = """
+SELECT 'https://api.example.com/data/reviews.json?Filter=ProductId%3AP'
+         || CAST(l_partkey AS VARCHAR) || '&Limit=10&offset='
+         || CAST((l_linenumber - 1) * 10 AS VARCHAR) AS url
+FROM lineitem
+"""
+
 REVIEW_TEXTS = """
 SELECT d.doc_id AS review_id, d.source AS ProdID, d.text AS ReviewText,
        CAST(CASE WHEN l.quality = 1 THEN 5 WHEN l.quality = 0 THEN 1 END AS INTEGER) AS Rating

@@ -95,10 +95,7 @@ def reviews(spark: SparkSession, d: str) -> DataFrame:
         F.concat_ws("-", F.col("l_orderkey").cast("string"),
                     F.col("l_linenumber").cast("string")).alias("CID"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("ProdID"),
-        F.concat(F.lit("https://api.example.com/data/reviews.json?Filter=ProductId%3AP"),
-                 F.col("l_partkey").cast("string"),
-                 F.lit(f"&Limit={STANDIN_PAGE_SIZE}&offset="),
-                 ((F.col("l_linenumber") - 1) * STANDIN_PAGE_SIZE).cast("string")).alias("url"),
+        _review_url().alias("url"),
         F.ceil(F.col("l_quantity") / 10).cast("int").alias("Rating"),
         F.col("n_name").alias("ContentLocale"),
         F.col("l_shipdate").alias("Date"),
@@ -106,6 +103,20 @@ def reviews(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _review_url(partkey: str = "l_partkey", line: str = "l_linenumber"):
+    return F.concat(F.lit("https://api.example.com/data/reviews.json?Filter=ProductId%3AP"),
+                    F.col(partkey).cast("string"),
+                    F.lit(f"&Limit={STANDIN_PAGE_SIZE}&offset="),
+                    ((F.col(line) - 1) * STANDIN_PAGE_SIZE).cast("string"))
+
+
+def review_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The stored reviews' page URLs: line items only (every line item has its
+    order, so the trait joins of ``reviews`` would not change this set)."""
+    li = read_table(spark, d, "lineitem", ["l_partkey", "l_linenumber"])
+    return li.select(_review_url().alias("url"))
+
+
 def review_texts(spark: SparkSession, d: str) -> DataFrame:
     """Review text per product (product = document source)."""
     docs = read_table(spark, d, "documents", ["doc_id", "text", "source"])
