@@ -31,6 +31,10 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        # One BLAS thread per Python worker: the block similarity tasks run
+        # one per core already; threaded BLAS would oversubscribe the cores.
+        .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
