@@ -52,6 +52,14 @@ def brand_scatter(catalog: DataFrame) -> DataFrame:
     return catalog.select("brand", "prod_id", "reviews", "loves_count")
 
 
+def brand_scatter_corr(catalog: DataFrame) -> DataFrame:
+    """Per brand: points in the scatter and the reviews–loves correlation."""
+    return catalog.groupBy("brand").agg(
+        F.count(F.lit(1)).alias("n_points"),
+        F.round(F.corr(F.col("reviews").cast("double"), F.col("loves_count").cast("double")),
+                9).alias("corr_reviews_loves"))
+
+
 def brand_list(catalog: DataFrame) -> DataFrame:
     return catalog.select("brand").where(F.col("brand").isNotNull()).distinct()
 

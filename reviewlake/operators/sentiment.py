@@ -56,14 +56,22 @@ def training_set(reviews: DataFrame, key: str = "ProdID", review_id: str = "revi
     return t
 
 
+def hash_fraction(review_id: str = "review_id"):
+    """A fixed number in [0, 1) per integer id: multiplicative hashing in
+    integer arithmetic (no overflow), identical on every engine."""
+    x = F.pmod(F.col(review_id).cast("bigint"), F.lit(2 ** 31))
+    return F.pmod(x * F.lit(2654435761), F.lit(2 ** 32)) / F.lit(float(2 ** 32))
+
+
 def split(df: DataFrame, review_id: str = "review_id", fraction: float = TRAIN_FRACTION,
           seed: int = SPLIT_SEED, by_hash: bool = False) -> tuple[DataFrame, DataFrame]:
     """Train/test split. ``randomSplit`` with the fixed seed by default; the
-    hash form is stable under any repartitioning or re-run."""
+    hash form depends on the id alone, so it is stable under any
+    repartitioning, retry or re-run."""
     if not by_hash:
         a, b = df.randomSplit([fraction, 1 - fraction], seed=seed)
         return a, b
-    u = F.pmod(F.xxhash64(F.col(review_id), F.lit(seed)), F.lit(10_000)) / F.lit(10_000.0)
+    u = hash_fraction(review_id)
     return df.where(u < fraction), df.where(u >= fraction)
 
 

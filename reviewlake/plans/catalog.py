@@ -102,6 +102,15 @@ def brand_scatter(spark: SparkSession, d: str) -> DataFrame:
     return dash.brand_scatter(catalog(spark, d))
 
 
+@query("brand_scatter_corr", f"""
+SELECT brand, count(*) AS n_points,
+       round(corr(CAST(reviews AS DOUBLE), CAST(loves_count AS DOUBLE)), 9) AS corr_reviews_loves
+FROM ({sql.CATALOG}) GROUP BY brand
+""")
+def brand_scatter_corr(spark: SparkSession, d: str) -> DataFrame:
+    return dash.brand_scatter_corr(catalog(spark, d))
+
+
 @query("brand_list", f"SELECT DISTINCT brand FROM ({sql.CATALOG}) WHERE brand IS NOT NULL")
 def brand_list(spark: SparkSession, d: str) -> DataFrame:
     return dash.brand_list(catalog(spark, d))

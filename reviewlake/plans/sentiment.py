@@ -120,6 +120,18 @@ def split_sets(spark: SparkSession, d: str) -> DataFrame:
             .unionByName(test.select("review_id", F.lit("test").alias("part"))))
 
 
+@query("split_sets_hash", f"""
+SELECT review_id, CASE WHEN ((review_id % 2147483648) * 2654435761) % 4294967296
+                            / 4294967296.0 < 0.8 THEN 'train' ELSE 'test' END AS part
+FROM ({TRAIN_SQL})
+""")
+def split_sets_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Id-hash 80/20 split of the training rows (stable under re-runs)."""
+    train, test = sm.split(sm.training_set(_texts(spark, d)), by_hash=True)
+    return (train.select("review_id", F.lit("train").alias("part"))
+            .unionByName(test.select("review_id", F.lit("test").alias("part"))))
+
+
 def _model(spark: SparkSession, d: str, evaluate: bool) -> sm.SentimentModel:
     return sm.fit(sm.training_set(_texts(spark, d)), evaluate=evaluate)
 

@@ -12,7 +12,7 @@ from reviewlake.operators.traits import Trait
 
 OFFERS = """
 SELECT CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS skuId,
-       printf('$%.2f', l_extendedprice) AS listPrice,
+       '$' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS listPrice,
        '/product/' || replace(p_name, ' ', '-') || '-P' || CAST(p_partkey AS VARCHAR)
          || '?skuId=' || CAST(l_suppkey AS VARCHAR) AS targetUrl,
        '/images/s' || CAST(l_suppkey AS VARCHAR) || '.jpg?pid='

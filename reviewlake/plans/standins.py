@@ -56,7 +56,8 @@ def offers(spark: SparkSession, d: str) -> DataFrame:
     return j.select(
         F.concat_ws("-", F.col("l_partkey").cast("string"),
                     F.col("l_suppkey").cast("string")).alias("skuId"),
-        F.format_string("$%.2f", "l_extendedprice").alias("listPrice"),
+        F.concat(F.lit("$"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
+         .alias("listPrice"),
         F.concat(F.lit("/product/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-")),
                  F.lit("-P"), F.col("p_partkey").cast("string"),
                  F.lit("?skuId="), F.col("l_suppkey").cast("string")).alias("targetUrl"),
