@@ -17,7 +17,7 @@ SCRIPT_RE = "(?s)<script[^>]*>(.*?)</script>"
 
 
 def _pages(spark: SparkSession, d: str, cols=("page_id", "url", "html")) -> DataFrame:
-    return read_table(spark, d, "pages", list(cols))
+    return read_table(spark, d, "pages", list(cols), spread=True)
 
 
 @query("page_links", """
@@ -47,7 +47,7 @@ FROM events
 """)
 def event_props(spark: SparkSession, d: str) -> DataFrame:
     """JSON text → typed struct field and → map (dynamic keys)."""
-    ev = read_table(spark, d, "events", ["event_id", "props"])
+    ev = read_table(spark, d, "events", ["event_id", "props"], spread=True)
     m = F.from_json("props", "map<string,bigint>")
     return ev.select("event_id",
                      F.from_json("props", "struct<k:bigint>").getField("k").alias("k"),
@@ -61,7 +61,7 @@ FROM events
 """)
 def attr_columns(spark: SparkSession, d: str) -> DataFrame:
     """Dynamic attribute map → one column per requested key (null if absent)."""
-    ev = read_table(spark, d, "events", ["event_id", "user_id", "props"])
+    ev = read_table(spark, d, "events", ["event_id", "user_id", "props"], spread=True)
     ev = ev.select("event_id", "user_id",
                    F.from_json("props", "map<string,bigint>").alias("attributes"))
     return pg.attribute_columns(ev, ["k", "missing"]).drop("attributes")

@@ -53,7 +53,7 @@ FROM lineitem GROUP BY l_partkey
 """)
 def trait_pivot(spark: SparkSession, d: str) -> DataFrame:
     """Pivot with value discovery: one count column per distinct return flag."""
-    li = read_table(spark, d, "lineitem", ["l_partkey", "l_returnflag"])
+    li = read_table(spark, d, "lineitem", ["l_partkey", "l_returnflag"], spread=True)
     li = li.select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("prod_id"),
                    "l_returnflag")
     return tr.trait_pivot(li, "prod_id", "l_returnflag")

@@ -99,7 +99,7 @@ SELECT round(sum(pos * below + 0.5 * pos * neg) / (sum(pos) * sum(neg)), 9) AS a
 def auc_sql(spark: SparkSession, d: str) -> DataFrame:
     """Exact ROC AUC of a fixed score (document length) against the quality label."""
     lab = read_table(spark, d, "labels", ["doc_id", "quality"])
-    docs = read_table(spark, d, "documents", ["doc_id", "n_chars"])
+    docs = read_table(spark, d, "documents", ["doc_id", "n_chars"], spread=True)
     s = lab.join(docs, "doc_id").select(F.col("n_chars").cast("double").alias("score"),
                                         F.col("quality").alias("label"))
     return sm.exact_auc(s).select(F.round("auc", 9).alias("auc"))

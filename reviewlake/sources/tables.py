@@ -17,24 +17,22 @@ from reviewlake import schemas
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: Sequence[str] | None = None, spread: bool | None = None) -> DataFrame:
+               columns: Sequence[str] | None = None, spread: bool = False) -> DataFrame:
     """One Parquet table of a data folder, optionally projected.
 
-    A file that cannot be split (one row group) scans as one partition, so
-    everything before the first shuffle would run on one core. When the scan
-    has fewer partitions than the session's default parallelism it is spread
-    once by a hash of the projected non-text columns (all columns if there are
-    none) — deterministic on task retry and, unlike round-robin, without a
-    local sort first; a large input already
-    has more partitions than that and is left as it is (no extra shuffle at
-    scale).
+    ``spread`` is for fact tables: a file that cannot be split (one row
+    group) scans as one partition, so all work before the first shuffle would
+    run on one core. When such a scan has fewer partitions than the session's
+    default parallelism it is spread once by a hash of its non-text columns
+    (deterministic on task retry and, unlike round-robin, without a local sort
+    first). A large input already has more partitions and is left as it is;
+    dimension tables are never spread. ``REVIEWLAKE_SPREAD_SCANS=0`` turns it
+    off.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread is None:
-        spread = os.environ.get("REVIEWLAKE_SPREAD_SCANS", "1") == "1"
     if columns:
         df = df.select(*columns)
-    if spread:
+    if spread and os.environ.get("REVIEWLAKE_SPREAD_SCANS", "1") == "1":
         cores = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < cores:
             keys = [f.name for f in df.schema.fields
