@@ -32,3 +32,51 @@ def test_sql_expressible_queries_have_no_python(spark):
                  "price_history", "page_links"):
         p = plan(QUERIES[name](spark, D))
         assert "Python" not in p, name
+
+
+SKIP_PLAN = {"sentiment_counts", "sentiment_auc", "sentiment_preview", "split_sets",
+             "topics", "hashed_tf", "ingest_dedupe_stream", "price_history_stream",
+             "price_history_compat_stream", "split_sets_hash"}
+
+
+def test_no_cross_joins_anywhere(spark):
+    for name, q in sorted(QUERIES.items()):
+        if name in SKIP_PLAN:
+            continue
+        p = plan(q(spark, D))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def _partial_before_exchange(p: str) -> bool:
+    # the partial aggregate sits below (after, in the tree string) the exchange
+    i = p.find("Exchange hashpartitioning")
+    return i >= 0 and ("partial_" in p[i:])
+
+
+def test_hot_key_operators_aggregate_before_the_shuffle(spark):
+    for name in ("profile", "ingest_dedupe", "latest_offer", "keep_last", "catalog_dedupe",
+                 "price_history", "trait_pivot_flag"):
+        p = plan(QUERIES[name](spark, D))
+        assert _partial_before_exchange(p), name
+
+
+def test_topk_is_limited_before_its_shuffle(spark):
+    p = plan(QUERIES["recommend_top10"](spark, D))
+    assert "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_hot_product_counts_exactly(spark):
+    from pyspark.sql import functions as F
+    from reviewlake.operators.ingest import first_seen
+    from reviewlake.operators.traits import Trait, trait_counts
+    n = 30_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(
+            F.concat(F.lit("p"), (F.col("id") % 1000).cast("string"))).alias("k"),
+        F.when(F.col("id") % 2 == 0, F.lit("a")).otherwise(F.lit("b")).alias("t"),
+        F.col("id"))
+    wide = trait_counts(df, "k", [Trait("f", "t", ["a", "b"])])
+    hot = wide.where(F.col("k") == "HOT").first()
+    assert hot.f__a + hot.f__b == n // 3
+    first = first_seen(df, "k", ["id"]).where(F.col("k") == "HOT").first()
+    assert first.id == 0
