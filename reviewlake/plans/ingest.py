@@ -21,8 +21,9 @@ def _pages(spark: SparkSession, d: str, cols=("page_id", "url", "html")) -> Data
 
 
 @query("page_links", """
-SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS link
-FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages)
+SELECT page_id, CAST(pos AS INTEGER) AS pos, link FROM (
+  SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS link
+  FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages))
 """)
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     """Every link of every crawled page (a sitemap's ``<loc>`` list works alike)."""
@@ -42,7 +43,7 @@ def page_script(spark: SparkSession, d: str) -> DataFrame:
 
 @query("event_props", """
 SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
-       len(json_keys(props)) AS n_keys
+       CAST(len(json_keys(props)) AS INTEGER) AS n_keys
 FROM events
 """)
 def event_props(spark: SparkSession, d: str) -> DataFrame:

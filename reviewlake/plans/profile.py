@@ -102,7 +102,8 @@ f AS (SELECT prod_id, CASE category1
         {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in standins.STANDIN_CATEGORY_FAMILY.items())}
         ELSE '{standins.STANDIN_OTHER_FAMILY}' END AS family FROM c)
 SELECT l.prod_id, l.family, l.value, l.n,
-       row_number() OVER (PARTITION BY l.prod_id ORDER BY l.n DESC, l.value ASC) AS rank
+       CAST(row_number() OVER (PARTITION BY l.prod_id ORDER BY l.n DESC, l.value ASC)
+            AS INTEGER) AS rank
 FROM l JOIN f ON l.prod_id = f.prod_id AND l.family = f.family
 WHERE l.n > 0
 """)
