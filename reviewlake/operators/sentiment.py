@@ -84,6 +84,14 @@ def pipeline(text: str = "ReviewText", features: int = HASHED_FEATURES,
     return Pipeline(stages=[Pipeline(stages=[tok, tf, idf]), lr])
 
 
+def spread_rows(rows: DataFrame, review_id: str = "review_id") -> DataFrame:
+    """The capped training rows leave the top-N sort in one partition; hash
+    them over the cluster's default parallelism so each pass of the feature
+    and regression fits runs on every core."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n, review_id)
+
+
 @dataclass
 class SentimentModel:
     model: PipelineModel
@@ -97,7 +105,8 @@ def fit(train_rows: DataFrame, text: str = "ReviewText", review_id: str = "revie
     The capped training rows feed the split, the IDF fit and the regression
     passes; they are written once to the checkpoint folder first.
     """
-    train, test = split(materialize(train_rows), review_id, by_hash=by_hash_split)
+    train, test = split(materialize(spread_rows(train_rows, review_id)), review_id,
+                        by_hash=by_hash_split)
     model = pipeline(text).fit(train)
     auc = None
     if evaluate:

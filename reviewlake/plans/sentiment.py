@@ -147,7 +147,7 @@ def sentiment_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("sentiment_auc")
 def sentiment_auc(spark: SparkSession, d: str) -> DataFrame:
     """Held-out AUC of the sentiment model (one row), computed distributed."""
-    train, test = sm.split(sm.materialize(sm.training_set(_texts(spark, d))))
+    train, test = sm.split(sm.materialize(sm.spread_rows(sm.training_set(_texts(spark, d)))))
     model = sm.pipeline().fit(train)
     pred = model.transform(test)
     scored = pred.select(vector_to_array("probability")[1].alias("score"), "label")
