@@ -20,17 +20,20 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # --- X1: keep the first review per id ---------------------------------------
 
+def _order_key(order: Sequence[str]):
+    return F.struct(*[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)])
+
+
 def first_seen(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row per ``key``: the first by ``order`` (arrival), later ones dropped.
 
-    A ``min(struct(order…, row))`` aggregate: partial aggregation before the
-    shuffle, so one hot id costs one row per map task. Null ids form one
+    ``min_by(row, order)`` aggregates partially before the shuffle, so one
+    hot id costs one row per map task; the row may hold any type (maps too),
+    only ``order`` is compared — give it a unique tiebreak. Null ids form one
     group, so a single null-id row is kept, as the store's lookup did.
     """
-    cols = [c for c in rows.columns]
-    best = F.min(F.struct(*[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)],
-                          F.struct(*cols).alias("row"))).alias("b")
-    return rows.groupBy(F.col(key).alias("__k")).agg(best).select("b.row.*")
+    best = F.min_by(F.struct(*rows.columns), _order_key(order)).alias("row")
+    return rows.groupBy(F.col(key).alias("__k")).agg(best).select("row.*")
 
 
 # --- X2: price history ------------------------------------------------------
@@ -40,7 +43,7 @@ def price_history(obs: DataFrame, sku: str = "sku_id", price: str = "price",
                   attrs: Sequence[str] = ("attrs",)) -> DataFrame:
     """Clean history: one record per (SKU, price) with first and last
     sighting, count, and the attributes of the latest sighting."""
-    latest = F.max(F.struct(F.col(ts), F.col(tiebreak), *[F.col(a) for a in attrs]))
+    latest = F.max_by(F.struct(*[F.col(a) for a in attrs]), _order_key([ts, tiebreak]))
     return obs.groupBy(sku, price).agg(
         F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"),
         F.count(F.lit(1)).alias("n_obs"), latest.alias("__l"),
@@ -49,20 +52,16 @@ def price_history(obs: DataFrame, sku: str = "sku_id", price: str = "price",
 
 
 def latest_record(obs: DataFrame, key: str, ts: str, tiebreak: str) -> DataFrame:
-    """Latest row per key by (ts, tiebreak); partial-aggregated ``max(struct)``."""
-    cols = [c for c in obs.columns]
-    best = F.max(F.struct(F.col(ts).alias("__t"), F.col(tiebreak).alias("__b"),
-                          F.struct(*cols).alias("row"))).alias("b")
-    return obs.groupBy(F.col(key).alias("__k")).agg(best).select("b.row.*")
+    """Latest row per key by (ts, tiebreak); partial-aggregated ``max_by``."""
+    best = F.max_by(F.struct(*obs.columns), _order_key([ts, tiebreak])).alias("row")
+    return obs.groupBy(F.col(key).alias("__k")).agg(best).select("row.*")
 
 
 def keep_last(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """One row per ``key``: the last in ascending ``order`` (a partial-aggregated
-    ``max(struct)``, as ``first_seen`` is its ``min``)."""
-    cols = [c for c in rows.columns]
-    best = F.max(F.struct(*[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)],
-                          F.struct(*cols).alias("row"))).alias("b")
-    return rows.groupBy(F.col(key).alias("__k")).agg(best).select("b.row.*")
+    """One row per ``key``: the last in ascending ``order`` (``max_by``, the
+    mirror of ``first_seen``)."""
+    best = F.max_by(F.struct(*rows.columns), _order_key(order)).alias("row")
+    return rows.groupBy(F.col(key).alias("__k")).agg(best).select("row.*")
 
 
 def _fold_sku(rows: pd.DataFrame, state: list[dict], sku, price, ts, attrs) -> None:

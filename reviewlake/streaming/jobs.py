@@ -56,7 +56,8 @@ def price_history_updates(obs: DataFrame, sku: str = "sku_id", price: str = "pri
                           ts: str = "ts", tiebreak: str = "obs_id",
                           attrs: Sequence[str] = ("attrs",)) -> DataFrame:
     """Streaming (SKU, price) records: first/last seen, count, latest attrs."""
-    latest = F.max(F.struct(F.col(ts), F.col(tiebreak), *[F.col(a) for a in attrs]))
+    latest = F.max_by(F.struct(*[F.col(a) for a in attrs]),
+                      F.struct(F.col(ts).alias("__t"), F.col(tiebreak).alias("__b")))
     return obs.groupBy(sku, price).agg(
         F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"),
         F.count(F.lit(1)).alias("n_obs"), latest.alias("__l"),
