@@ -56,10 +56,12 @@ def training_set(reviews: DataFrame, key: str = "ProdID", review_id: str = "revi
     return t
 
 
-def hash_fraction(review_id: str = "review_id"):
-    """A fixed number in [0, 1) per integer id: multiplicative hashing in
-    integer arithmetic (no overflow), identical on every engine."""
-    x = F.pmod(F.col(review_id).cast("bigint"), F.lit(2 ** 31))
+def hash_fraction(review_id: str = "review_id", integral: bool = True):
+    """A fixed number in [0, 1) per id. Integer ids: multiplicative hashing in
+    integer arithmetic (no overflow), identical on every engine; other ids
+    (review ids are often strings) go through ``xxhash64`` first."""
+    c = F.col(review_id)
+    x = F.pmod(c.cast("bigint") if integral else F.xxhash64(c), F.lit(2 ** 31))
     return F.pmod(x * F.lit(2654435761), F.lit(2 ** 32)) / F.lit(float(2 ** 32))
 
 
@@ -71,7 +73,8 @@ def split(df: DataFrame, review_id: str = "review_id", fraction: float = TRAIN_F
     if not by_hash:
         a, b = df.randomSplit([fraction, 1 - fraction], seed=seed)
         return a, b
-    u = hash_fraction(review_id)
+    integral = dict(df.dtypes)[review_id] in ("bigint", "int", "smallint", "tinyint")
+    u = hash_fraction(review_id, integral)
     return df.where(u < fraction), df.where(u >= fraction)
 
 

@@ -85,3 +85,25 @@ def test_frontier_from_offers_and_stored_pages(spark):
     todo = sorted((r.prod_id, r.offset) for r in
                   ing.frontier(plan, ing.fetched_pages(stored)).collect())
     assert todo == [("P1", 100), ("P2", 0)]
+
+
+def test_recommendations_with_string_ids(spark):
+    from reviewlake.operators import recommend as rec
+    docs = spark.createDataFrame(
+        [("P1", "Lipstick", "matte red lipstick long lasting"),
+         ("P2", "Lipstick", "glossy red lipstick"),
+         ("P3", "Lipstick", "nude shade balm"),
+         ("P9", "Serum", "vitamin c serum")],
+        "prod_id string, category string, description string")
+    out = {(r.prod_id, r.rank): (r.reco_id, r.sim) for r in rec.recommend(docs).collect()}
+    assert out[("P1", 1)][0] == "P2" and out[("P1", 2)] == ("P3", 0.0)
+    assert ("P9", 1) not in out        # alone in its category
+
+
+def test_hash_split_on_string_ids(spark):
+    from reviewlake.operators import sentiment as sm
+    df = spark.createDataFrame([(f"c{i}", i % 2) for i in range(200)], "CID string, label int")
+    a, b = sm.split(df, "CID", by_hash=True)
+    assert a.count() + b.count() == 200 and 100 < a.count() < 200
+    a2, _ = sm.split(df.repartition(7), "CID", by_hash=True)
+    assert sorted(r.CID for r in a.collect()) == sorted(r.CID for r in a2.collect())
