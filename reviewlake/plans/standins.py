@@ -133,8 +133,13 @@ def review_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def descriptions(spark: SparkSession, d: str) -> DataFrame:
-    """Products to recommend from: whole document text as the description."""
-    docs = read_table(spark, d, "documents", ["doc_id", "text", "source"], spread=True)
+    """Products to recommend from: whole document text as the description.
+
+    Spread on (source, doc_id): the per-(category, product) dedupe that
+    follows reuses this partitioning instead of shuffling the texts again.
+    """
+    docs = read_table(spark, d, "documents", ["doc_id", "text", "source"],
+                      spread=["source", "doc_id"])
     return docs.select(F.col("doc_id").alias("prod_id"), F.col("source").alias("category"),
                        F.col("text").alias("description"))
 

@@ -17,7 +17,8 @@ from reviewlake import schemas
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: Sequence[str] | None = None, spread: bool = False) -> DataFrame:
+               columns: Sequence[str] | None = None,
+               spread: bool | Sequence[str] = False) -> DataFrame:
     """One Parquet table of a data folder, optionally projected.
 
     ``spread`` is for fact tables: a file that cannot be split (one row
@@ -25,9 +26,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     run on one core. When such a scan has fewer partitions than the session's
     default parallelism it is spread once by a hash of its non-text columns
     (deterministic on task retry and, unlike round-robin, without a local sort
-    first). A large input already has more partitions and is left as it is;
-    dimension tables are never spread. ``REVIEWLAKE_SPREAD_SCANS=0`` turns it
-    off.
+    first). ``spread`` may name the hash columns instead: the key of the
+    first aggregation, whose shuffle then reuses this partitioning. A large
+    input already has more partitions and is left as it is; dimension tables
+    are never spread. ``REVIEWLAKE_SPREAD_SCANS=0`` turns it off.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if columns:
@@ -35,8 +37,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     if spread and os.environ.get("REVIEWLAKE_SPREAD_SCANS", "1") == "1":
         cores = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < cores:
-            keys = [f.name for f in df.schema.fields
-                    if not isinstance(f.dataType, T.StringType)] or df.columns
+            if isinstance(spread, (list, tuple)):
+                keys = list(spread)
+            else:
+                keys = [f.name for f in df.schema.fields
+                        if not isinstance(f.dataType, T.StringType)] or df.columns
             df = df.repartition(cores, *[F.col(c) for c in keys])
     return df
 
