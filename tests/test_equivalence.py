@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from reviewlake.operators import ingest as ing
 from reviewlake.plans import QUERIES
 
 D = "/root/testdata/sf0.001"

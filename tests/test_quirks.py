@@ -5,10 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import json
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from reviewlake import schemas
 from reviewlake.functions import expr as X
