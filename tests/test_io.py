@@ -43,3 +43,12 @@ def test_locale_labels(spark):
     got = [r.c for r in df.select(X.map_label("l", {"en_US": "United State",
                                                      "en_CA": "Canada"}).alias("c")).collect()]
     assert got == ["United State", "Canada", "fr_FR"]
+
+
+def test_materialized_tables_are_released(spark):
+    from reviewlake.operators.tfidf import materialize, release_materialized
+    release_materialized(spark)
+    df = materialize(spark.range(10))
+    assert df.count() == 10
+    assert release_materialized(spark) == 1
+    assert release_materialized(spark) == 0
