@@ -52,6 +52,16 @@ def sitemap_urls(sitemaps: DataFrame, xml: str = "xml",
     return urls_containing(urls, "url", contains) if contains else urls
 
 
+def read_sitemap(spark, path: str, contains: list[str] | None = None) -> DataFrame:
+    """Sitemap files → one row per ``<url>`` entry (``loc`` and, when present,
+    ``lastmod``), with Spark's built-in XML source (``rowTag=url``); the files
+    are split and parsed on the executors."""
+    df = (spark.read.format("xml").option("rowTag", "url")
+          .schema("loc string, lastmod string").load(path))
+    urls = df.select(F.trim("loc").alias("url"), "lastmod").where(F.col("url").isNotNull())
+    return urls_containing(urls, "url", contains) if contains else urls
+
+
 def urls_containing(df: DataFrame, url: str, needles: list[str]) -> DataFrame:
     cond = F.lit(False)
     for n in needles:

@@ -52,3 +52,16 @@ def test_materialized_tables_are_released(spark):
     assert df.count() == 10
     assert release_materialized(spark) == 1
     assert release_materialized(spark) == 0
+
+
+def test_sitemap_files_with_the_xml_source(spark, tmp_path):
+    from reviewlake.sources import pages as pg
+    xml = ('<?xml version="1.0" encoding="UTF-8"?>\n<urlset>'
+           '<url><loc>https://shop.example.com/product/a-P1</loc><lastmod>2024-01-01</lastmod></url>'
+           '<url><loc> https://shop.example.com/product/b-P2 </loc></url></urlset>')
+    (tmp_path / "sitemap.xml").write_text(xml)
+    got = pg.read_sitemap(spark, str(tmp_path / "sitemap.xml")).collect()
+    assert [r.url for r in got] == ["https://shop.example.com/product/a-P1",
+                                    "https://shop.example.com/product/b-P2"]
+    only = pg.read_sitemap(spark, str(tmp_path / "sitemap.xml"), contains=["b-"]).collect()
+    assert [r.url for r in only] == ["https://shop.example.com/product/b-P2"]
