@@ -40,7 +40,8 @@ def review_facts(reviews: DataFrame, id_from_url: bool = True) -> DataFrame:
     pid = product_id_from_api_url("url") if id_from_url else F.col("ProdID")
     attrs = F.col("attributes")
     return reviews.select(
-        pid.alias("prod_id"), "ContentLocale", "IsFeatured", "IsRecommended", "IsSyndicated",
+        pid.alias("prod_id"), "CID", "ContentLocale", "IsFeatured", "IsRecommended",
+        "IsSyndicated",
         "Rating", "ReviewText",
         *[F.element_at(attrs, F.lit(k)).alias(k) for k in ATTRIBUTE_KEYS])
 
