@@ -26,3 +26,15 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewlake.llm.quality import fit_quality, score_quality
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def byte_bpe_path() -> str:
+    """The public byte-level BPE file; its path is a parameter of the operators."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op7_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"), byte_bpe_path())
