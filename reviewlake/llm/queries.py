@@ -38,3 +38,9 @@ def byte_bpe_path() -> str:
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewlake.llm.packing import pack
     return pack(table(spark, sf_dir, "documents"), byte_bpe_path())
+
+
+@query("op5_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.suffix_dedup import repeated_spans
+    return repeated_spans(table(spark, sf_dir, "documents"))
