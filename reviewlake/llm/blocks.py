@@ -123,13 +123,8 @@ def with_replies(frame: DataFrame, blocks: Blocks, replies: DataFrame, name: str
     return frame.join(lists.hint("shuffle_hash"), "block", "left")
 
 
-def ask(frame: DataFrame, question: Callable[[dict], Iterator[tuple[int, bytes]]],
-        answer: Callable[[list[bytes]], list[bytes]], tag: str) -> DataFrame:
-    """Send the messages of every block, answer them bucket by bucket, write the replies.
-
-    ``question(block row)`` gives (bucket, body); ``answer(bodies of a bucket)``
-    gives a body for each, or None to say nothing.
-    """
+def messages(frame: DataFrame, question: Callable[[dict], Iterator[tuple[int, bytes]]]) -> DataFrame:
+    """The messages of every block: bucket, block, body."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -140,17 +135,29 @@ def ask(frame: DataFrame, question: Callable[[dict], Iterator[tuple[int, bytes]]
                     pa.array([row["block"]] * len(sent), pa.int64()),
                     pa.array([x for _, x in sent], pa.binary())], ["bucket", "block", "body"])
 
+    return frame.mapInArrow(send, MESSAGE_SCHEMA)
+
+
+def ask(frame: DataFrame, question: Callable[[dict], Iterator[tuple[int, bytes]]],
+        answer: Callable[[list[bytes]], list[bytes]], tag: str) -> DataFrame:
+    """Send the messages of every block, answer them bucket by bucket, write the replies.
+
+    ``question(block row)`` gives (bucket, body); ``answer(bodies of a bucket)``
+    gives a body for each, or None to say nothing; one more body than asked is the
+    bucket's note, which is kept under block -1.
+    """
+
     def reply(group: pa.Table) -> pa.Table:
         bodies = group.column("body").to_pylist()
         got = answer(bodies)
         keep = [i for i, x in enumerate(got) if x is not None]
+        block = [*group.column("block").to_pylist(), -1]
         return pa.table({
-            "block": group.column("block").take(pa.array(keep, pa.int64())),
-            "bucket": group.column("bucket").take(pa.array(keep, pa.int64())),
+            "block": pa.array([block[i] for i in keep], pa.int64()),
+            "bucket": pa.array([group.column("bucket")[0].as_py()] * len(keep), pa.int32()),
             "body": pa.array([got[i] for i in keep], pa.binary())})
 
-    messages = frame.mapInArrow(send, MESSAGE_SCHEMA)
-    return written(messages.groupBy("bucket").applyInArrow(reply, REPLY_SCHEMA), tag)
+    return written(messages(frame, question).groupBy("bucket").applyInArrow(reply, REPLY_SCHEMA), tag)
 
 
 # -- packed keys -----------------------------------------------------------

@@ -44,3 +44,9 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewlake.llm.suffix_dedup import repeated_spans
     return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op6_context_tree")
+def context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.ctw import score_texts
+    return score_texts(table(spark, sf_dir, "documents"))
