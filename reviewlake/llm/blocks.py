@@ -23,9 +23,9 @@ from reviewlake.llm.textbytes import Chunk, chunks
 
 BLOCK_BYTES = 4 << 20
 #: Text bytes for which one bucket answers, over all blocks.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 
-BLOCK_SCHEMA = "block long, doc_ids binary, offs binary, data binary, rest binary"
+BLOCK_SCHEMA = "block long, doc_ids binary, keys binary, offs binary, data binary, rest binary"
 MESSAGE_SCHEMA = "bucket int, block long, body binary"
 REPLY_SCHEMA = "block long, bucket int, body binary"
 
@@ -51,39 +51,42 @@ def write_blocks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # The text itself goes once, as the block's bytes.
     others_of = [F.lit(None).cast("string") if c == text_col else docs[c] for c in docs.columns]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"),
+                       F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"),
                        *(x.alias(f"c{i}") for i, x in enumerate(others_of) if carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         number = TaskContext.get().partitionId() << 32
-        held: list[tuple[np.ndarray, Chunk, pa.RecordBatch]] = []
+        held: list[tuple[np.ndarray, np.ndarray, Chunk, pa.RecordBatch]] = []
         size = 0
 
         def block() -> pa.RecordBatch:
-            ids = np.concatenate([i for i, _, _ in held]).astype(np.int64)
-            lengths = np.concatenate([np.diff(c.offs) for _, c, _ in held])
+            ids = np.concatenate([h[0] for h in held]).astype(np.int64)
+            keys = np.concatenate([h[1] for h in held]).astype(np.int64)
+            lengths = np.concatenate([np.diff(h[2].offs) for h in held])
             offs = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
             rest = pa.BufferOutputStream()
             if carry:
-                with pa.ipc.new_stream(rest, held[0][2].schema) as out:
-                    for _, _, part in held:
-                        out.write_batch(part)
+                with pa.ipc.new_stream(rest, held[0][3].schema) as out:
+                    for h in held:
+                        out.write_batch(h[3])
             return pa.RecordBatch.from_arrays([
                 pa.array([number], pa.int64()), pa.array([ids.tobytes()], pa.binary()),
-                pa.array([offs.tobytes()], pa.binary()),
-                pa.array([b"".join(c.data.tobytes() for _, c, _ in held)], pa.binary()),
+                pa.array([keys.tobytes()], pa.binary()), pa.array([offs.tobytes()], pa.binary()),
+                pa.array([b"".join(h[2].data.tobytes() for h in held)], pa.binary()),
                 pa.array([rest.getvalue().to_pybytes()], pa.binary())],
-                ["block", "doc_ids", "offs", "data", "rest"])
+                ["block", "doc_ids", "keys", "offs", "data", "rest"])
 
         for batch in batches:
             ids = batch.column(0).fill_null(-(2 ** 63)).to_numpy()
-            others = batch.select(batch.schema.names[2:]) if carry else None
+            keys = batch.column(2).to_numpy()
+            others = batch.select(batch.schema.names[3:]) if carry else None
             for chunk in chunks(batch.column(1), block_bytes):
                 if held and size + len(chunk.data) > block_bytes:
                     yield block()
                     number, held, size = number + 1, [], 0
                 here = slice(chunk.first, chunk.first + len(chunk))
-                held.append((ids[here], chunk, others[here] if carry else None))
+                held.append((ids[here], keys[here], chunk, others[here] if carry else None))
                 size += len(chunk.data)
         if held:
             yield block()

@@ -17,6 +17,9 @@ bytes, bucket by bucket, with the help of a difference cover:
    smaller one than its own exists.
 3. Each block marks its bytes.
 
+Before the first step equal whole texts are told apart: only that with the
+smallest id takes part, the others go whole if they have ``width`` bytes.
+
 The order is that of 64-bit names, not of the alphabet: equal prefixes are
 neighbours in either. A task holds one bucket (a fixed share of the text) or one
 block; a string that a third of all documents share is one entry per block.
@@ -35,11 +38,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from reviewlake.llm.blocks import (Blocks, ask, bits, by_bucket, carried, member, pack_ints,
                                    pack_keys, rows_of, same_in_two, unbits, unpack, unpack_ints,
                                    unpack_keys, with_replies, write_blocks)
-from reviewlake.llm.textbytes import Chunk, byte_prefix_hash, span_hash, spans, windows
+from reviewlake.llm.textbytes import Chunk, byte_prefix_hash, mix, span_hash, spans, windows
 
 WIDTH = 50
 MODULUS = 21
@@ -58,22 +62,29 @@ class _Block:
     """A block's texts with the names that the steps exchange."""
 
     def __init__(self, row: dict, n_bytes: int) -> None:
-        self.ids, self.chunk = unpack(row)
-        self.prefix = byte_prefix_hash(self.chunk.data)
+        ids, chunk = unpack(row)
+        self.copy = _copies(row)
+        if self.copy.any():
+            live = ~self.copy
+            size = np.diff(chunk.offs)
+            ids = ids[live]
+            chunk = Chunk(0, chunk.data[np.repeat(live, size)],
+                          np.concatenate(([0], np.cumsum(size[live]))))
+        self.ids, self.chunk = ids, chunk
+        self.prefix = byte_prefix_hash(chunk.data)
         #: Sample names keep as many bits as the size of the corpus asks for: a tie by
         #: chance only sends one more suffix to the sort.
         self.unused = np.uint64(max(0, 64 - (max(n_bytes, 1).bit_length() + 9)))
 
     def sample(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled positions and their names."""
+        """Sampled positions, ascending, and their names."""
         offs = self.chunk.offs
-        place = np.arange(len(self.chunk.data), dtype=np.int64)
-        place -= np.repeat(offs[:-1], np.diff(offs))
-        in_cover = np.zeros(MODULUS, bool)
-        in_cover[list(COVER)] = True
-        chosen = in_cover[place % MODULUS]
-        chosen &= place + SAMPLE_WIDTH <= np.repeat(np.diff(offs), np.diff(offs))
-        at = np.flatnonzero(chosen)
+        last = np.diff(offs) - SAMPLE_WIDTH          # a text's last place with a name
+        turns = np.maximum(last // MODULUS + 1, 0)   # of the cover
+        text = np.repeat(np.arange(len(turns), dtype=np.int32), turns)
+        turn = np.arange(len(text)) - np.repeat(np.cumsum(turns) - turns, turns)
+        place = (turn * MODULUS)[:, None] + np.array(COVER)
+        at = (place + offs[text][:, None])[place <= last[text][:, None]]
         name = span_hash(self.prefix, at, at + SAMPLE_WIDTH)
         return at, name >> self.unused << self.unused
 
@@ -104,9 +115,44 @@ class _Block:
         return first, span_hash(self.prefix, first, first + WIDTH)
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
-        text = np.zeros(len(self.chunk.data) + 1, np.int32)
-        np.add.at(text, self.chunk.offs[1:], 1)
-        return self.ids[np.cumsum(text)[at]]
+        return np.repeat(self.ids, np.diff(self.chunk.offs))[at]
+
+
+def _copies(row: dict) -> np.ndarray:
+    """Which texts of a block equal one with a smaller id, from the replies."""
+    keys = np.frombuffer(row["keys"], np.int64)
+    out = np.zeros(len(keys), bool)
+    bucket, order = _text_buckets(keys, row["text_buckets"])
+    for r in row["copies"] or []:
+        own = order[bucket[r["bucket"]]:bucket[r["bucket"] + 1]]
+        out[own] = unbits(r["body"], len(own))
+    return out
+
+
+def _text_buckets(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the buckets in the ascending order of the texts' keys."""
+    spread = mix(keys.view(np.uint64))
+    order = np.argsort(spread, kind="stable")
+    return by_bucket(spread[order], buckets), order
+
+
+def _texts_question(row: dict) -> Iterator[tuple[int, bytes]]:
+    keys, ids = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["doc_ids"], np.int64)
+    bound, order = _text_buckets(keys, row["text_buckets"])
+    for b in np.flatnonzero(np.diff(bound)).tolist():
+        own = order[bound[b]:bound[b + 1]]
+        yield b, keys[own].tobytes() + ids[own].tobytes()
+
+
+def _texts_answer(bodies: list[bytes]) -> list[bytes | None]:
+    both = [np.frombuffer(b, np.int64).reshape(2, -1) for b in bodies]
+    every = np.concatenate(both, axis=1)
+    _, which = np.unique(every[0], return_inverse=True)
+    least = np.full(which.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, which, every[1])
+    later = every[1] > least[which]
+    found = np.split(later, np.cumsum([x.shape[1] for x in both])[:-1])
+    return [bits(f) if f.any() else None for f in found]
 
 
 def _samples_question(n_bytes: int, buckets: int):
@@ -169,21 +215,30 @@ def _removed(row: dict, n_bytes: int, buckets: int) -> tuple[np.ndarray, Chunk,
         here = slice(bound[r["bucket"]], bound[r["bucket"] + 1])
         elsewhere[here] = unbits(r["body"], here.stop - here.start)
     gone = at[elsewhere[which] | (doc > doc[first][which])]
-    edge = np.zeros(len(block.chunk.data) + WIDTH + 1, np.int32)
-    np.add.at(edge, gone, 1)
-    np.add.at(edge, gone + WIDTH, -1)
-    return block.ids, block.chunk, np.cumsum(edge)[:len(block.chunk.data)] > 0
+    n = len(block.chunk.data)
+    edge = np.bincount(gone, minlength=n + WIDTH + 1) - np.bincount(gone + WIDTH, minlength=n + WIDTH + 1)
+    covered = np.cumsum(edge)[:n] > 0
+    ids, chunk = unpack(row)
+    size = np.diff(chunk.offs)
+    every = np.repeat(block.copy & (size >= WIDTH), size)
+    every[np.repeat(~block.copy, size)] = covered
+    return ids, chunk, every
 
 
 def _settled(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> tuple[DataFrame, Blocks]:
     """Blocks with both kinds of replies."""
     blocks = write_blocks(docs, id_col=id_col, text_col=text_col, carry=carry)
     n_bytes, buckets = blocks.n_bytes, blocks.buckets
-    texts = blocks.frame.select("block", "doc_ids", "offs", "data")
+    text_buckets = max(1, n_bytes >> 28)
+    frame = blocks.frame.withColumn("text_buckets", F.lit(text_buckets))
+    copies = ask(frame.select("block", "doc_ids", "keys", "text_buckets"),
+                 _texts_question, _texts_answer, "copies")
+    frame = with_replies(frame, blocks, copies, "copies")
+    texts = frame.drop("rest")
     ties = ask(texts, _samples_question(n_bytes, buckets), _samples_answer, "cover-ties")
     tied = with_replies(texts, blocks, ties, "ties")
     earlier = ask(tied, _suffix_question(n_bytes, buckets), _suffix_answer, "suffix-ties")
-    both = with_replies(with_replies(blocks.frame, blocks, ties, "ties"), blocks, earlier, "earlier")
+    both = with_replies(with_replies(frame, blocks, ties, "ties"), blocks, earlier, "earlier")
     return both, blocks
 
 
