@@ -45,7 +45,7 @@ END = 0xFF
 FOLDS, HELD_OUT = 7, 2
 
 #: Beyond this many possible strings, distinct ones are found by sorting.
-_DIRECT = 1 << 26
+_DIRECT = 1 << 25
 
 TOP_SCHEMA = "near int, node int, zeros long, ones long, below double"
 RESULT_SCHEMA = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
@@ -83,16 +83,17 @@ def strings(chunk: Chunk, buckets: int, depth: int = DEPTH) -> Strings:
     stream[is_text] = LOWER[chunk.data]
 
     present = np.flatnonzero(np.bincount(stream, minlength=256))
-    symbol = np.zeros(256, np.int64)
+    symbol = np.zeros(256, np.int32)
     symbol[present] = np.arange(len(present))
     symbol = symbol[stream]
     number, key = symbol, present.astype(np.uint64)
     for level in range(1, depth + 1):
-        longer = np.zeros(len(stream), np.int64)
-        longer[1:] = number[:-1] * len(present) + symbol[1:]
+        possible = len(key) * len(present)
+        longer = np.zeros(len(stream), np.int32 if possible <= _DIRECT else np.int64)
+        np.multiply(number[:-1], len(present), out=longer[1:], casting="unsafe", dtype=longer.dtype)
+        longer[1:] += symbol[1:]
         if level == depth:
             longer = longer[coded]
-        possible = len(key) * len(present)
         if possible <= _DIRECT:
             used = np.zeros(possible, bool)
             used[longer] = True
