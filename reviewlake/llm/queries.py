@@ -50,3 +50,9 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewlake.llm.ctw import score_texts
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op1_near_dedup")
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.near_dup import near_duplicate_classes
+    return near_duplicate_classes(table(spark, sf_dir, "documents")).drop("k")
