@@ -56,3 +56,9 @@ def context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewlake.llm.near_dup import near_duplicate_classes
     return near_duplicate_classes(table(spark, sf_dir, "documents")).drop("k")
+
+
+@query("op2_decontaminate")
+def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.decontaminate import find_contaminated
+    return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
