@@ -62,3 +62,16 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewlake.llm.decontaminate import find_contaminated
     return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_web_archive")
+def web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.warc import archive_round_trip
+    # Names of archive files differ from run to run, so they stay out of the result.
+    return archive_round_trip(table(spark, sf_dir, "pages")).drop("archive", "offset")
+
+
+@query("op9_main_text")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.main_text import main_texts
+    return main_texts(table(spark, sf_dir, "pages"))
