@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewlake.llm.storage import table
+from reviewlake.llm.url_filter import oracle_sql as url_filter_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,3 +76,15 @@ def web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewlake.llm.main_text import main_texts
     return main_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op10_url_filter", url_filter_sql())
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.url_filter import judge_urls
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op3_quotation_linking")
+def quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.quotations import reply_conversations
+    return reply_conversations(table(spark, sf_dir, "conversations"))
