@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from reviewlake.llm.blocks import (Blocks, ask, bits, by_bucket, carried, member, pack_ints,
                                    pack_keys, rows_of, same_in_two, unbits, unpack, unpack_ints,
                                    unpack_keys, with_replies, write_blocks)
-from reviewlake.llm.textbytes import Chunk, byte_prefix_hash, mix, span_hash, spans, windows
+from reviewlake.llm.textbytes import Chunk, byte_prefix_hash, distinct, mix, span_hash, spans
 
 WIDTH = 50
 MODULUS = 21
@@ -91,31 +91,38 @@ class _Block:
     def suffixes(self, replies: list, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the suffixes that may tie, by document id, and their names."""
         at, name = self.sample()
-        distinct = np.sort(name)
-        again = distinct[1:][distinct[1:] == distinct[:-1]]
-        distinct = np.unique(distinct)
-        bound = by_bucket(distinct, buckets)
-        tied = [again]
+        every = np.sort(name)
+        again = every[1:] == every[:-1]
+        own = every[np.append(True, ~again)] if len(every) else every
+        bound = by_bucket(own, buckets)
+        tied = [every[1:][again]]
         for r in replies or []:
-            own = distinct[bound[r["bucket"]]:bound[r["bucket"] + 1]]
-            tied.append(own[unbits(r["body"], len(own))])
+            here = own[bound[r["bucket"]]:bound[r["bucket"] + 1]]
+            tied.append(here[unbits(r["body"], len(here))])
         table = np.zeros(1 << _TABLE_BITS, bool)
         shift = np.uint64(64 - _TABLE_BITS)
         table[np.concatenate(tied) >> shift] = True
         ties = np.zeros(len(self.chunk.data) + 1, np.int32)
         ties[at + 1] = table[name >> shift]
         np.cumsum(ties, out=ties)
-        first, text = windows(self.chunk.offs, WIDTH)
-        may = ties[first + MODULUS] > ties[first]
-        first, text = first[may], text[may]
+        offs, n = self.chunk.offs, len(self.chunk.data)
+        # The last WIDTH - 1 places of a text start no suffix of that length.
+        short = np.zeros(n + 1, np.int8)
+        np.add.at(short, np.maximum(offs[1:] - WIDTH + 1, offs[:-1]), 1)
+        np.add.at(short, offs[1:], -1)
+        may = np.cumsum(short, dtype=np.int8)[:n] == 0
+        may[:max(n - MODULUS + 1, 0)] &= ties[MODULUS:] > ties[:n + 1 - MODULUS]
+        first = np.flatnonzero(may)
         if np.any(self.ids[1:] < self.ids[:-1]):
             rank = np.argsort(np.argsort(self.ids, kind="stable"))
-            order = np.argsort(rank[text], kind="stable")
-            first = first[order]
+            first = first[np.argsort(rank[self.text_of(first)], kind="stable")]
         return first, span_hash(self.prefix, first, first + WIDTH)
 
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        return np.repeat(np.arange(len(self.chunk), dtype=np.int32), np.diff(self.chunk.offs))[at]
+
     def doc_of(self, at: np.ndarray) -> np.ndarray:
-        return np.repeat(self.ids, np.diff(self.chunk.offs))[at]
+        return self.ids[self.text_of(at)]
 
 
 def _copies(row: dict) -> np.ndarray:
@@ -176,12 +183,12 @@ def _suffix_question(n_bytes: int, buckets: int):
     def question(row: dict) -> Iterator[tuple[int, bytes]]:
         block = _Block(row, n_bytes)
         at, name = block.suffixes(row["ties"], buckets)
-        distinct, first = np.unique(name, return_index=True)
+        names, first, _ = distinct(name)
         doc = block.doc_of(at[first])
-        bound = by_bucket(distinct, buckets)
+        bound = by_bucket(names, buckets)
         for b in np.flatnonzero(np.diff(bound)).tolist():
             here = slice(bound[b], bound[b + 1])
-            yield b, pack_keys(distinct[here]) + pack_ints(doc[here])
+            yield b, pack_keys(names[here]) + pack_ints(doc[here])
     return question
 
 
@@ -207,10 +214,10 @@ def _removed(row: dict, n_bytes: int, buckets: int) -> tuple[np.ndarray, Chunk,
     """Ids, texts, and which bytes go."""
     block = _Block(row, n_bytes)
     at, name = block.suffixes(row["ties"], buckets)
-    distinct, first, which = np.unique(name, return_index=True, return_inverse=True)
+    names, first, which = distinct(name)
     doc = block.doc_of(at)
-    bound = by_bucket(distinct, buckets)
-    elsewhere = np.zeros(len(distinct), bool)
+    bound = by_bucket(names, buckets)
+    elsewhere = np.zeros(len(names), bool)
     for r in row["earlier"] or []:
         here = slice(bound[r["bucket"]], bound[r["bucket"] + 1])
         elsewhere[here] = unbits(r["body"], here.stop - here.start)
