@@ -139,8 +139,8 @@ def _unbounded() -> int:
 def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text",
          capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece with its sequence and its place there."""
-    rows = ranked(pieces(docs, tokenizer, id_col=id_col, text_col=text_col,
-                         capacity=capacity, end_id=end_id))
+    cut = pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id)
+    rows = ranked(written(cut, "pieces"))       # sampling for the ranges reads them as well
     counts = {r["length"]: r["n"] for r in                   # at most capacity rows
               rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     moves = sweep(counts, capacity)
