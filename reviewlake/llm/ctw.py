@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 from reviewlake.llm.blocks import (REPLY_SCHEMA, ask, by_bucket, messages, pack_ints, pack_keys,
                                    rows_of, unpack, unpack_ints, unpack_keys, with_replies,
                                    write_blocks)
-from reviewlake.llm.storage import written
-from reviewlake.llm.textbytes import LOWER, Chunk, byte_prefix_hash, mix, owners, span_hash, words
+from reviewlake.llm.storage import written, written_by
+from reviewlake.llm.textbytes import (LOWER, Chunk, byte_prefix_hash, distinct, mix, owners, span_hash,
+                                      words)
 
-DEPTH = 6
+DEPTH = 5
 #: Never a byte of UTF-8: the end of a text, and the context before its start.
 END = 0xFF
 FOLDS, HELD_OUT = 7, 2
@@ -201,7 +202,7 @@ def _merged(bodies: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
         k, rest = unpack_keys(body)
         keys.append(k)
         counts.append(unpack_ints(rest, len(k)))
-    every, which = np.unique(np.concatenate(keys), return_inverse=True)
+    every, _, which = distinct(np.concatenate(keys))
     total = np.bincount(which, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
     return keys, every, total
 
@@ -335,8 +336,8 @@ def _words_answer(bodies: list[bytes]) -> list[bytes]:
 
 def _notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in rows_of(batches):
-        tokens, distinct = np.frombuffer(row["body"], np.int64).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([distinct])], ["n", "v"])
+        tokens, types = np.frombuffer(row["body"], np.int64).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([types])], ["n", "v"])
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,7 +362,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     tokens = (totals["n"] or 0) + ends
     norm = tokens + (totals["v"] or 0) + (ends > 0) + 1
 
-    sent = written(messages(texts, _strings_question(buckets, depth)), "strings")
+    # Dealt by bucket once; both passes over the buckets then read them in place.
+    sent = written_by(messages(texts, _strings_question(buckets, depth)), "bucket", blocks.parts, "strings")
     top = _top(sent.groupBy("bucket").applyInArrow(_top_of_bucket(depth), TOP_SCHEMA)
                .groupBy("near", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below")))
                .collect())          # at most 256 * 255 rows
@@ -381,7 +383,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             score = np.diff(total[own.ends - 1], prepend=0.0)
 
             word, bounds = _word_hashes(chunk)
-            key, which = np.unique(word, return_inverse=True)
+            key, _, which = distinct(word)
             bound = by_bucket(key, buckets)
             count = np.zeros(len(key), np.int64)
             for r in row["counts"] or []:

@@ -29,5 +29,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, key: str, parts: int, tag: str) -> DataFrame:
+    """Like ``written``, dealt by a key into ``parts`` buckets, so that what needs the
+    rows of a key together reads them without another shuffle."""
+    name = f"llm_{tag}_{uuid.uuid4().hex}"
+    (df.repartition(parts, key).write.format("parquet").option("compression", "zstd")
+       .option("path", f"{shared_folder(df.sparkSession)}/{name}").bucketBy(parts, key).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
