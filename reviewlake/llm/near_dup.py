@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from reviewlake.llm.components import components
 from reviewlake.llm.storage import written
-from reviewlake.llm.textbytes import (LOWER, Chunk, byte_prefix_hash, chunks, mix, owners,
-                                      prefix_hash, salted, span_hash, windows, words)
+from reviewlake.llm.textbytes import (LOWER, Chunk, byte_prefix_hash, chunks, distinct, mix, owners,
+                                      prefix_hash, salted, span_hash, words)
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -65,9 +65,11 @@ def shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 def weighted(shingle: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text: text, shingle, weight; by text."""
     text = owners(bounds)
-    _, first, count = np.unique(salted(shingle, text), return_index=True, return_counts=True)
-    order = np.argsort(first)
-    return text[first[order]], shingle[first[order]], count[order]
+    key, first, number = distinct(salted(shingle, text))
+    count = np.bincount(number, minlength=len(key))
+    head = np.zeros(len(shingle), bool)
+    head[first] = True
+    return text[head], shingle[head], count[number[head]]
 
 
 def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
