@@ -41,6 +41,9 @@ LOGREG_MAX_ITER = 10
 TOPIC_COUNT = 5
 LOW_RATING, HIGH_RATING = 1, 5  # extreme ratings used as labels 0 / 1
 
+# Context attributes of a review that the profile counts.
+ATTRIBUTE_KEYS = ["age", "eyeColor", "hairColor", "hairCondition", "skinTone", "skinType"]
+
 # Product id inside a review API URL.
 API_PRODUCT_ID_PATTERN = r"ProductId%3A(\w+)"
 

@@ -49,10 +49,6 @@ def strip_tags(html: Column | str, replacement: str = ",") -> Column:
     return F.regexp_replace(_c(html), r"<[^>]*>", replacement)
 
 
-def label_before_underscore(name: Column | str) -> Column:
-    return F.substring_index(_c(name), "_", 1)
-
-
 def image_url(path: Column | str, base: str = "https://shop.example.com",
               width: int = 200) -> Column:
     """Absolute image URL with a width parameter."""

@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlake.functions.expr import image_url, mean_half_even, round_half_even
+from reviewlake.functions.expr import image_url, map_label, mean_half_even, round_half_even
+from reviewlake.operators.traits import ranked
 
 
 def enrich(profile: DataFrame, catalog: DataFrame, key: str = "prod_id",
@@ -61,12 +62,14 @@ def brand_scatter_corr(catalog: DataFrame) -> DataFrame:
 
 
 def brand_list(catalog: DataFrame) -> DataFrame:
-    return catalog.select("brand").where(F.col("brand").isNotNull()).distinct()
+    """Distinct brands, sorted."""
+    return catalog.select("brand").where(F.col("brand").isNotNull()).distinct().orderBy("brand")
 
 
 def brand_products(catalog: DataFrame) -> DataFrame:
-    """Distinct product names per brand (the product picker)."""
-    return catalog.select("brand", "name").where(F.col("name").isNotNull()).distinct()
+    """Distinct product names per brand (the product picker), sorted by a range sort."""
+    return (catalog.select("brand", "name").where(F.col("name").isNotNull()).distinct()
+            .orderBy("brand", "name"))
 
 
 def default_product(catalog: DataFrame) -> DataFrame:
@@ -95,11 +98,9 @@ def product_card(catalog: DataFrame, base_url: str = "https://shop.example.com",
 
 def country_counts(reviews: DataFrame, key: str, locale: str,
                    labels: dict[str, str] | None = None) -> DataFrame:
-    """Reviews per (product, country), country labelled from the locale."""
-    country = F.col(locale)
-    if labels:
-        m = F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))])
-        country = F.coalesce(F.element_at(m, country), country)
-    return (reviews.where(F.col(key).isNotNull())
-            .groupBy(F.col(key), country.alias("country"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    """Reviews per (product, country), country labelled from the locale; ``rank``
+    orders a product's countries by reviews, descending."""
+    country = map_label(locale, labels) if labels else F.col(locale)
+    counts = (reviews.where(F.col(key).isNotNull())
+              .groupBy(F.col(key), country.alias("country")).agg(F.count(F.lit(1)).alias("n")))
+    return ranked(counts, key, "n", "country")

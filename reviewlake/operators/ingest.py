@@ -7,13 +7,15 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewlake.constants import REVIEW_PAGE_SIZE
-from reviewlake.functions.expr import page_offsets, product_id_from_url, review_api_url
+from reviewlake.functions.expr import (page_offsets, product_id_from_api_url,
+                                       product_id_from_url, review_api_url)
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -51,6 +53,36 @@ def price_history(obs: DataFrame, sku: str = "sku_id", price: str = "price",
              *[F.col(f"__l.{a}").alias(a) for a in attrs])
 
 
+def insert_unseen(stored: DataFrame, batch: DataFrame, key: str,
+                  order: Sequence[str]) -> DataFrame:
+    """The rows of ``batch`` to insert: the first per ``key`` whose key is not
+    stored yet. A null key meets a stored null key, so one null-id row is ever
+    kept. Only the stored keys are read."""
+    known = stored.select(F.col(key).alias("__known")).distinct()
+    return first_seen(batch, key, order).join(
+        known, F.col(key).eqNullSafe(F.col("__known")), "left_anti")
+
+
+def merge_price_history(stored: DataFrame, batch: DataFrame, sku: str = "sku_id",
+                        price: str = "price", ts: str = "ts", tiebreak: str = "obs_id",
+                        attrs: Sequence[str] = ("attrs",)) -> DataFrame:
+    """The stored (SKU, price) records updated with a batch of observations.
+
+    ``stored`` has the columns of ``price_history``; known pairs get their
+    last sighting, count and attributes, new pairs are added. Of equal last
+    sightings the batch's counts as the later one.
+    """
+    new = price_history(batch, sku, price, ts, tiebreak, attrs)
+    both = (stored.select(new.columns).withColumn("__new", F.lit(0))
+            .unionByName(new.withColumn("__new", F.lit(1))))
+    latest = F.max_by(F.struct(*[F.col(a) for a in attrs]), _order_key(["last_seen", "__new"]))
+    return both.groupBy(sku, price).agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.sum("n_obs").alias("n_obs"), latest.alias("__l"),
+    ).select(sku, price, "first_seen", "last_seen", "n_obs",
+             *[F.col(f"__l.{a}").alias(a) for a in attrs])
+
+
 def latest_record(obs: DataFrame, key: str, ts: str, tiebreak: str) -> DataFrame:
     """Latest row per key by (ts, tiebreak); partial-aggregated ``max_by``."""
     best = F.max_by(F.struct(*obs.columns), _order_key([ts, tiebreak])).alias("row")
@@ -64,62 +96,80 @@ def keep_last(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return rows.groupBy(F.col(key).alias("__k")).agg(best).select("row.*")
 
 
-def _fold_sku(rows: pd.DataFrame, state: list[dict], sku, price, ts, attrs) -> None:
-    """Apply the store's upsert rule to one SKU's observations, in order.
+class SkuFold:
+    """The store's upsert rule for one SKU, observation by observation.
 
-    A new (SKU, price) inserts a record; a known price rewrites the SKU's most
-    recently updated record (which then takes this price).
+    A new price inserts a record; a known price rewrites the record that was
+    updated last, which then takes this price. In processing order that is
+    always the newest record and the older ones never change again, so the
+    state is the set of the older records' prices and the newest record; a
+    record is final once the next one is inserted.
     """
-    for r in rows.itertuples(index=False):
-        p, t = getattr(r, price), getattr(r, ts)
-        if any(rec["price"] == p for rec in state):
-            last = max(range(len(state)), key=lambda i: (state[i]["updated"], i))
-            state[last].update(price=p, updated=t,
-                               **{a: getattr(r, a) for a in attrs})
-        else:
-            state.append(dict(price=p, first_seen=t, updated=t,
-                              **{a: getattr(r, a) for a in attrs}))
+
+    def __init__(self, frozen=(), current: tuple | None = None, number: int = -1) -> None:
+        self.frozen, self.current, self.number = set(frozen), current, number
+
+    def add(self, price, ts, attrs: tuple) -> tuple | None:
+        """Apply one observation; the record that became final by it, if any."""
+        cur = self.current
+        if cur is not None and (price == cur[0] or price in self.frozen):
+            self.current = (price, cur[1], ts, *attrs)
+            return None
+        if cur is not None:
+            self.frozen.add(cur[0])
+        self.current, self.number = (price, ts, ts, *attrs), self.number + 1
+        return cur
 
 
 def price_history_compat(obs: DataFrame, sku: str = "sku_id", price: str = "price",
                          ts: str = "ts", tiebreak: str = "obs_id",
-                         attrs: Sequence[str] = ("attrs",),
-                         partitions: int | None = None) -> DataFrame:
+                         attrs: Sequence[str] = ("attrs",)) -> DataFrame:
     """The store's exact upsert fold (A→B→A rewrites B to A).
 
-    The rule is sequential per SKU, so each SKU is folded in time order in one
-    pass: rows are hash-partitioned on the SKU and sorted within partitions
-    (sort spills), then streamed through in Arrow batches; only the current
-    SKU's records are held, never the SKU's whole history.
+    The rule is sequential per SKU: rows are hash-partitioned on the SKU,
+    sorted within partitions (the sort spills) and streamed through in Arrow
+    batches. A task holds one SKU's older prices and newest record; records
+    leave as soon as they are final. Column types are the input's.
     """
     attrs = list(attrs)
-    schema = (f"{sku} {dict(obs.dtypes)[sku]}, {price} {dict(obs.dtypes)[price]}, "
-              f"first_seen timestamp_ntz, updated timestamp_ntz, "
-              + ", ".join(f"{a} {dict(obs.dtypes)[a]}" for a in attrs))
-    out_cols = [sku, price, "first_seen", "updated", *attrs]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur, state, done = None, [], []
-        for b in batches:
-            for key, g in b.groupby(sku, sort=False, dropna=False):
-                if cur is not None and key != cur:
-                    done.extend({sku: cur, **rec} for rec in state)
-                    state = []
-                cur = key
-                _fold_sku(g, state, sku, price, ts, attrs)
-            if len(done) > 10_000:
-                yield pd.DataFrame(done).reindex(columns=out_cols)
-                done = []
-        if cur is not None:
-            done.extend({sku: cur, **rec} for rec in state)
-        if done:
-            yield pd.DataFrame(done).reindex(columns=out_cols)
-
-    n = partitions or obs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = (obs.select(sku, price, ts, tiebreak, *attrs)
-               .repartition(int(n), sku)
+    fields = {f.name: f.dataType for f in obs.schema.fields}
+    schema = T.StructType([T.StructField(n, t) for n, t in [
+        (sku, fields[sku]), (price, fields[price]), ("first_seen", fields[ts]),
+        ("updated", fields[ts]), *[(a, fields[a]) for a in attrs]]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fold, out, arrow = None, None, [], None
+
+        def flush() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * len(arrow)
+            made = pa.RecordBatch.from_arrays(
+                [pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)],
+                schema=pa.schema(arrow))
+            out.clear()
+            return made
+
+        for batch in batches:
+            if arrow is None:
+                types = [batch.schema.field(i).type for i in (0, 1, 2, 2, *range(4, 4 + len(attrs)))]
+                arrow = [pa.field(f.name, t) for f, t in zip(schema.fields, types, strict=True)]
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for row in zip(*columns, strict=True):
+                if fold is None or row[0] != key:
+                    if fold is not None:
+                        out.append((key, *fold.current))
+                    key, fold = row[0], SkuFold()
+                final = fold.add(row[1], row[2], row[4:])
+                if final is not None:
+                    out.append((key, *final))
+            if len(out) > 10_000:
+                yield flush()
+        if fold is not None:
+            out.append((key, *fold.current))
+            yield flush()
+
+    ordered = (obs.select(sku, price, ts, tiebreak, *attrs).repartition(F.col(sku))
                .sortWithinPartitions(sku, ts, tiebreak))
-    return ordered.mapInPandas(run, schema)
+    return ordered.mapInArrow(run, schema)
 
 
 # --- X3: review pages still to fetch ----------------------------------------
@@ -130,11 +180,13 @@ def page_plan(offers: DataFrame, page_size: int = REVIEW_PAGE_SIZE,
     """(product, offset) pages to fetch for every distinct (product, reviews).
 
     Overlapping plans from differing review counts collapse in the distinct.
+    ``priority`` is the product's greatest review count, the crawl's order.
     """
     pr = offers.select(product_id_from_url(url).alias("prod_id"),
                        F.col(reviews).cast("bigint").alias("reviews")).distinct()
-    plan = pr.select("prod_id", F.explode(page_offsets("reviews", page_size, include_tail))
-                     .alias("offset")).distinct()
+    plan = (pr.select("prod_id", "reviews", F.explode(page_offsets("reviews", page_size, include_tail))
+                      .alias("offset")).groupBy("prod_id", "offset")
+            .agg(F.max("reviews").alias("priority")))
     if with_request:
         plan = plan.withColumn("request_url", review_api_url("prod_id", "offset",
                                                              page_size=page_size))
@@ -149,7 +201,7 @@ def fetched_pages(reviews: DataFrame, url: str = "url") -> DataFrame:
     """
     u = F.col(url)
     return reviews.select(
-        F.nullif(F.regexp_extract(u, r"ProductId%3A(\w+)", 1), F.lit("")).alias("prod_id"),
+        product_id_from_api_url(url).alias("prod_id"),
         F.regexp_extract(u, r"[?&]offset=(\d+)", 1).try_cast("int").alias("offset"),
     ).distinct()
 

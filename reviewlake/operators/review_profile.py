@@ -15,8 +15,6 @@ from reviewlake import constants as K
 from reviewlake.functions.expr import product_id_from_api_url
 from reviewlake.operators.traits import Trait, trait_counts
 
-ATTRIBUTE_KEYS = ["age", "eyeColor", "hairColor", "hairCondition", "skinTone", "skinType"]
-
 REVIEW_TRAITS = [
     Trait("age", "age", K.AGE_VALUES),
     Trait("country", "ContentLocale", K.COUNTRY_VALUES),
@@ -43,7 +41,7 @@ def review_facts(reviews: DataFrame, id_from_url: bool = True) -> DataFrame:
         pid.alias("prod_id"), "CID", "ContentLocale", "IsFeatured", "IsRecommended",
         "IsSyndicated",
         "Rating", "ReviewText",
-        *[F.element_at(attrs, F.lit(k)).alias(k) for k in ATTRIBUTE_KEYS])
+        *[F.element_at(attrs, F.lit(k)).alias(k) for k in K.ATTRIBUTE_KEYS])
 
 
 def review_profile(reviews: DataFrame, sentiment: DataFrame | None = None,

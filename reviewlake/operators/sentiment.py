@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -45,15 +44,23 @@ def rating_label(rating: str = "Rating"):
 
 def training_set(reviews: DataFrame, key: str = "ProdID", review_id: str = "review_id",
                  text: str = "ReviewText", rating: str = "Rating",
-                 cap: int | None = TRAIN_ROW_CAP) -> DataFrame:
-    """Labelled training rows: text present, rating 1 or 5, at most ``cap``
-    rows in (product, review id) order (a total order, so the cap is
-    deterministic)."""
+                 cap: int | None = TRAIN_ROW_CAP, sample: bool = False) -> DataFrame:
+    """Labelled training rows: text present, rating 1 or 5, at most ``cap`` rows.
+
+    The rows are the first in (product, review id) order, or with ``sample``
+    those with the lowest id hash, which favours no product; both orders are
+    total. They are chosen without their text, which then joins the chosen ids.
+    """
     t = extreme_ratings(with_text(reviews, text), rating)
     t = t.select(key, review_id, text, rating_label(rating).alias("label"))
-    if cap is not None:
-        t = t.orderBy(key, review_id).limit(cap)
-    return t
+    if cap is None:
+        return t
+    order = [F.col(key), F.col(review_id)]
+    if sample:
+        integral = dict(t.dtypes)[review_id] in ("bigint", "int", "smallint", "tinyint")
+        order = [hash_fraction(review_id, integral), F.col(review_id), F.col(key)]
+    chosen = t.select(key, review_id).orderBy(*order).limit(cap)
+    return t.join(chosen, [key, review_id], "left_semi")
 
 
 def hash_fraction(review_id: str = "review_id", integral: bool = True):
@@ -84,15 +91,7 @@ def pipeline(text: str = "ReviewText", features: int = HASHED_FEATURES,
     tf = HashingTF(inputCol="words", outputCol="raw_features", numFeatures=features)
     idf = IDF(inputCol="raw_features", outputCol="features")
     lr = LogisticRegression(labelCol="label", featuresCol="features", maxIter=max_iter)
-    return Pipeline(stages=[Pipeline(stages=[tok, tf, idf]), lr])
-
-
-def spread_rows(rows: DataFrame, review_id: str = "review_id") -> DataFrame:
-    """The capped training rows leave the top-N sort in one partition; hash
-    them over the cluster's default parallelism so each pass of the feature
-    and regression fits runs on every core."""
-    n = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(n, review_id)
+    return Pipeline(stages=[tok, tf, idf, lr])
 
 
 @dataclass
@@ -105,21 +104,20 @@ def fit(train_rows: DataFrame, text: str = "ReviewText", review_id: str = "revie
         by_hash_split: bool = False, evaluate: bool = True) -> SentimentModel:
     """Fit on the training share, report AUC on the held-out share.
 
-    The capped training rows feed the split, the IDF fit and the regression
-    passes; they are written once to the checkpoint folder first.
+    The training rows feed the split, the IDF fit and the regression passes;
+    they are written once to the checkpoint folder first.
     """
-    train, test = split(materialize(spread_rows(train_rows, review_id)), review_id,
-                        by_hash=by_hash_split)
+    train, test = split(materialize(train_rows), review_id, by_hash=by_hash_split)
     model = pipeline(text).fit(train)
-    auc = None
-    if evaluate:
-        pred = model.transform(test)
-        ev = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label",
-                                           metricName="areaUnderROC")
-        auc = ev.evaluate(pred) if pred.limit(1).count() else None
+    auc = exact_auc(held_out_scores(model, test)).first()["auc"] if evaluate else None
     return SentimentModel(model, auc)
 
 
+def held_out_scores(model: PipelineModel, test: DataFrame) -> DataFrame:
+    """(score, label) of held-out rows; the score is the probability of class 1."""
+    return model.transform(test).select(vector_to_array("probability")[1].alias("score"), "label")
+
+
 def predict(model: PipelineModel, reviews: DataFrame, key: str = "ProdID",
             text: str = "ReviewText") -> DataFrame:
     return model.transform(with_text(reviews, text).select(key, text))
@@ -132,12 +130,13 @@ def sentiment_counts(predictions: DataFrame, key: str = "ProdID") -> DataFrame:
 
 def hashed_features(df: DataFrame, text: str = "ReviewText",
                     features: int = HASHED_FEATURES) -> DataFrame:
-    """Token and non-zero feature counts of the hashed term vectors."""
+    """Token, non-zero feature and total counts of the hashed term vectors."""
     tok = Tokenizer(inputCol=text, outputCol="words").transform(with_text(df, text))
     v = HashingTF(inputCol="words", outputCol="tf", numFeatures=features).transform(tok)
     arr = vector_to_array("tf")
     return v.select("*", F.size("words").alias("n_tokens"),
-                    F.size(F.filter(arr, lambda x: x != 0)).alias("n_features"))
+                    F.size(F.filter(arr, lambda x: x != 0)).alias("n_features"),
+                    F.aggregate(arr, F.lit(0.0), lambda a, x: a + x).alias("tf_sum"))
 
 
 def exact_auc(scored: DataFrame, score: str = "score", label: str = "label",
@@ -148,10 +147,11 @@ def exact_auc(scored: DataFrame, score: str = "score", label: str = "label",
     below each score is a prefix sum done in two levels — within range
     buckets of scores, plus the totals of the lower buckets — so no task has
     to sort all scores. Bucket bounds are ``buckets`` approximate quantiles;
-    only the bucket sizes depend on them, never the result.
+    only the bucket sizes depend on them, never the result. Without both
+    classes the AUC is null.
     """
-    per = scored.groupBy(F.col(score).alias("s")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    per = materialize(scored.groupBy(F.col(score).alias("s")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")))
     qs = [i / buckets for i in range(1, buckets)]
     # ``buckets - 1`` numbers reach the driver, whatever the data size.
     row = per.agg(F.percentile_approx(F.col("s").cast("double"), qs, 10_000).alias("b")).first()
@@ -167,4 +167,4 @@ def exact_auc(scored: DataFrame, score: str = "score", label: str = "label",
     j = b.join(F.broadcast(tot), "bucket")
     num = F.sum(F.col("pos") * (F.col("below_in") + F.col("below_b"))
                 + F.lit(0.5) * F.col("pos") * F.col("neg"))
-    return j.agg((num / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    return j.agg(F.try_divide(num, F.sum("pos") * F.sum("neg")).alias("auc"))

@@ -68,16 +68,14 @@ def trait_counts(reviews: DataFrame, key: str, traits: Sequence[Trait]) -> DataF
 
 
 def trait_pivot(reviews: DataFrame, key: str, column: str,
-                values: Sequence[object] | None = None) -> DataFrame:
-    """One pivot: ``key`` + one count column per value of ``column``.
+                values: Sequence[object]) -> DataFrame:
+    """One pivot: ``key`` + one count column per declared value of ``column``.
 
-    Without ``values`` Spark first finds the distinct values (one extra job,
-    bounded by ``spark.sql.pivotMaxValues``). The column made for null values
-    is dropped; the product row stays.
+    The values are part of the call, so the columns do not depend on the data
+    and no job has to find them; other values and nulls are counted nowhere,
+    the product row stays.
     """
-    g = reviews.groupBy(key)
-    wide = (g.pivot(column, list(values)) if values is not None else g.pivot(column)).count()
-    return wide.drop("null")
+    return reviews.groupBy(key).pivot(column, list(values)).count()
 
 
 def profile_join_chain(reviews: DataFrame, key: str, traits: Sequence[Trait]) -> DataFrame:
@@ -109,6 +107,12 @@ def trait_share(long: DataFrame, key: str) -> DataFrame:
     return long.withColumn("share", F.col("n") / F.sum("n").over(w))
 
 
+def ranked(rows: DataFrame, key: str, count: str, label: str) -> DataFrame:
+    """Adds ``rank`` within ``key``: counts descending, nulls last, ties by label."""
+    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(count), F.asc(label))
+    return rows.withColumn("rank", F.row_number().over(w))
+
+
 def category_traits(long: DataFrame, products: DataFrame, key: str,
                     category: str, family_by_category: Mapping[str, str],
                     other_family: str) -> DataFrame:
@@ -121,5 +125,4 @@ def category_traits(long: DataFrame, products: DataFrame, key: str,
     chosen = products.select(
         key, F.coalesce(F.element_at(m, F.col(category)), F.lit(other_family)).alias("family"))
     bars = long.where(F.col("n") > 0).join(chosen, [key, "family"], "inner")
-    w = Window.partitionBy(key).orderBy(F.desc("n"), F.asc("value"))
-    return bars.withColumn("rank", F.row_number().over(w))
+    return ranked(bars, key, "n", "value")

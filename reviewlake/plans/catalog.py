@@ -138,10 +138,19 @@ def product_card(spark: SparkSession, d: str) -> DataFrame:
     return dash.product_card(catalog(spark, d))
 
 
+# Shown names of some of the stand-in locales (nation names); others keep theirs.
+COUNTRY_LABELS = {"UNITED STATES": "United States", "CANADA": "Canada", "FRANCE": "France"}
+
+
 @query("country_counts", f"""
-SELECT ProdID AS prod_id, ContentLocale AS country, count(*) AS n
-FROM ({sql.REVIEWS}) WHERE ProdID IS NOT NULL GROUP BY ALL
+WITH c AS (SELECT ProdID AS prod_id, CASE ContentLocale
+             {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in COUNTRY_LABELS.items())}
+             ELSE ContentLocale END AS country, count(*) AS n
+           FROM ({sql.REVIEWS}) WHERE ProdID IS NOT NULL GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY prod_id ORDER BY n DESC, country) AS INTEGER) AS rank
+FROM c
 """)
 def country_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled countries of each product's reviews, most reviews first."""
     rv = standins.reviews(spark, d).withColumnRenamed("ProdID", "prod_id")
-    return dash.country_counts(rv, "prod_id", "ContentLocale")
+    return dash.country_counts(rv, "prod_id", "ContentLocale", COUNTRY_LABELS)

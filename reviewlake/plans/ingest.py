@@ -17,7 +17,7 @@ SCRIPT_RE = "(?s)<script[^>]*>(.*?)</script>"
 
 
 def _pages(spark: SparkSession, d: str, cols=("page_id", "url", "html")) -> DataFrame:
-    return read_table(spark, d, "pages", list(cols), spread=True)
+    return read_table(spark, d, "pages", list(cols))
 
 
 @query("page_links", """
@@ -48,7 +48,7 @@ FROM events
 """)
 def event_props(spark: SparkSession, d: str) -> DataFrame:
     """JSON text → typed struct field and → map (dynamic keys)."""
-    ev = read_table(spark, d, "events", ["event_id", "props"], spread=True)
+    ev = read_table(spark, d, "events", ["event_id", "props"])
     m = F.from_json("props", "map<string,bigint>")
     return ev.select("event_id",
                      F.from_json("props", "struct<k:bigint>").getField("k").alias("k"),
@@ -62,7 +62,7 @@ FROM events
 """)
 def attr_columns(spark: SparkSession, d: str) -> DataFrame:
     """Dynamic attribute map → one column per requested key (null if absent)."""
-    ev = read_table(spark, d, "events", ["event_id", "user_id", "props"], spread=True)
+    ev = read_table(spark, d, "events", ["event_id", "user_id", "props"])
     ev = ev.select("event_id", "user_id",
                    F.from_json("props", "map<string,bigint>").alias("attributes"))
     return pg.attribute_columns(ev, ["k", "missing"]).drop("attributes")
@@ -126,10 +126,11 @@ REQUEST_FMT = ("https://api.example.com/data/reviews.json?Filter=contentlocale%%
 PAGE_PLAN_SQL = f"""
 WITH pr AS (SELECT DISTINCT split_part(string_split(targetUrl, '-')[-1], '?', 1) AS prod_id,
                    reviews FROM ({sql.OFFERS})),
-     p AS (SELECT prod_id, unnest(range(0, reviews - reviews % {PAGE}, {PAGE})) AS "offset"
+     p AS (SELECT prod_id, reviews, unnest(range(0, reviews - reviews % {PAGE}, {PAGE})) AS "offset"
            FROM pr),
-     dp AS (SELECT DISTINCT prod_id, CAST("offset" AS INTEGER) AS "offset" FROM p)
-SELECT prod_id, "offset", printf('{REQUEST_FMT}', prod_id, "offset") AS request_url FROM dp
+     dp AS (SELECT prod_id, CAST("offset" AS INTEGER) AS "offset", max(reviews) AS priority
+            FROM p GROUP BY ALL)
+SELECT prod_id, "offset", priority, printf('{REQUEST_FMT}', prod_id, "offset") AS request_url FROM dp
 """
 
 
@@ -155,31 +156,62 @@ def frontier(spark: SparkSession, d: str) -> DataFrame:
     return ing.frontier(_plan(spark, d), fetched)
 
 
-@query("ingest_dedupe", """
+INGEST_DEDUPE_SQL = """
 SELECT review_id, obs_id, ts, sku_id, price, attrs FROM (
   SELECT CAST(user_id AS VARCHAR) || ':' || event_type AS review_id, event_id AS obs_id, ts,
          user_id AS sku_id, event_type AS price, value AS attrs,
          row_number() OVER (PARTITION BY CAST(user_id AS VARCHAR) || ':' || event_type
                             ORDER BY ts, event_id) AS rn
   FROM events) WHERE rn = 1
-""")
+"""
+
+
+@query("ingest_dedupe", INGEST_DEDUPE_SQL)
 def ingest_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """First arrival per review id; later copies are not inserted."""
+    return ing.first_seen(_arrivals(spark, d), "review_id", ["ts", "obs_id"])
+
+
+def _arrivals(spark: SparkSession, d: str) -> DataFrame:
     obs = standins.price_observations(spark, d)
-    rows = obs.select(F.concat_ws(":", F.col("sku_id").cast("string"), "price")
+    return obs.select(F.concat_ws(":", F.col("sku_id").cast("string"), "price")
                       .alias("review_id"), "obs_id", "ts", "sku_id", "price", "attrs")
-    return ing.first_seen(rows, "review_id", ["ts", "obs_id"])
 
 
-@query("price_history", """
+# The moment that separates what is stored from the batch in the merge queries.
+STORED_UNTIL = "2024-01-16 00:00:00"
+
+
+@query("insert_unseen", INGEST_DEDUPE_SQL)
+def insert_unseen(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table and the rows of a later batch that it lacks: together the
+    one-shot result."""
+    rows, cut = _arrivals(spark, d), F.lit(STORED_UNTIL).cast("timestamp_ntz")
+    stored = ing.first_seen(rows.where(F.col("ts") < cut), "review_id", ["ts", "obs_id"])
+    batch = rows.where(F.col("ts") >= cut)
+    return stored.unionByName(ing.insert_unseen(stored, batch, "review_id", ["ts", "obs_id"]))
+
+
+PRICE_HISTORY_SQL = """
 SELECT user_id AS sku_id, event_type AS price, min(ts) AS first_seen, max(ts) AS last_seen,
        count(*) AS n_obs, max({'t': ts, 'b': event_id, 'a': value}).a AS attrs
 FROM events GROUP BY ALL
-""")
+"""
+
+
+@query("price_history", PRICE_HISTORY_SQL)
 def price_history(spark: SparkSession, d: str) -> DataFrame:
     return ing.price_history(standins.price_observations(spark, d))
 
 
+@query("merge_price_history", PRICE_HISTORY_SQL)
+def merge_price_history(spark: SparkSession, d: str) -> DataFrame:
+    """A stored history updated with a later batch: the one-shot result."""
+    obs, cut = standins.price_observations(spark, d), F.lit(STORED_UNTIL).cast("timestamp_ntz")
+    stored = ing.price_history(obs.where(F.col("ts") < cut))
+    return ing.merge_price_history(stored, obs.where(F.col("ts") >= cut))
+
+
 @query("latest_offer", """
 SELECT obs_id, ts, sku_id, price, attrs FROM (
   SELECT event_id AS obs_id, ts, user_id AS sku_id, event_type AS price, value AS attrs,
@@ -192,9 +224,32 @@ def latest_offer(spark: SparkSession, d: str) -> DataFrame:
     return ing.latest_record(obs, "sku_id", "ts", "obs_id")
 
 
-@query("price_history_compat")
+# One observation per step and SKU; a price on the list rewrites the newest record,
+# any other adds one; a record's last version is the one before the next number.
+COMPAT_SQL = """
+WITH RECURSIVE o AS (
+  SELECT user_id AS sku_id, event_type AS price, ts, value AS attrs,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (
+  SELECT sku_id, i, price, ts AS first_seen, ts AS updated, attrs, 1 AS rec,
+         CAST([] AS VARCHAR[]) AS older FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.sku_id, o.i, o.price,
+         CASE WHEN o.price = f.price OR list_contains(f.older, o.price) THEN f.first_seen ELSE o.ts END,
+         o.ts, o.attrs,
+         CASE WHEN o.price = f.price OR list_contains(f.older, o.price) THEN f.rec ELSE f.rec + 1 END,
+         CASE WHEN o.price = f.price OR list_contains(f.older, o.price) THEN f.older
+              ELSE list_append(f.older, f.price) END
+  FROM f JOIN o ON o.sku_id = f.sku_id AND o.i = f.i + 1)
+SELECT sku_id, max_by(price, i) AS price, max_by(first_seen, i) AS first_seen,
+       max(updated) AS updated, max_by(attrs, i) AS attrs
+FROM f GROUP BY sku_id, rec
+"""
+
+
+@query("price_history_compat", COMPAT_SQL)
 def price_history_compat(spark: SparkSession, d: str) -> DataFrame:
-    """Exact store-upsert fold per SKU (rows-only check; unit-tested on A→B→A)."""
+    """Exact store-upsert fold per SKU."""
     return ing.price_history_compat(standins.price_observations(spark, d))
 
 
@@ -209,3 +264,49 @@ def keep_last(spark: SparkSession, d: str) -> DataFrame:
     """Per SKU the row that sorts last on (price, attrs, id): keep-last dedupe."""
     obs = standins.price_observations(spark, d).drop("props")
     return ing.keep_last(obs, "sku_id", ["price", "attrs", "obs_id"])
+
+
+def _product_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Crawled pages as product pages: the JSON tree in a script element. Pages of
+    odd id list two child SKUs, every tenth page has no script, every seventh no
+    category above the leaf."""
+    p = _pages(spark, d, ("page_id", "url"))
+    pid = F.col("page_id").cast("string")
+
+    def sku(suffix: str):
+        return F.struct(F.concat(pid, F.lit(suffix)).alias("skuId"), F.lit("$1.00").alias("listPrice"),
+                        F.col("url").alias("targetUrl"))
+
+    host, level1, level2, level3 = pg.url_parts("url", 3)
+    top = F.struct(host.alias("displayName"))
+    middle = F.struct(level1.alias("displayName"),
+                      F.when(F.col("page_id") % 7 != 0, top).alias("parentCategory"))
+    product = F.struct(
+        F.when(F.col("page_id") % 2 == 1, F.array(sku("-a"), sku("-b"))).alias("regularChildSkus"),
+        sku("").alias("currentSku"),
+        F.struct(F.col("url").alias("displayName"), F.length("url").cast("bigint").alias("reviews"))
+        .alias("productDetails"),
+        F.struct(level2.alias("displayName"), middle.alias("parentCategory")).alias("parentCategory"))
+    tree = F.to_json(F.struct(F.struct(product.alias("product")).alias("page")))
+    return p.select("page_id", F.when(F.col("page_id") % 10 != 0, F.concat(
+        F.lit('<html><script id="linkStore" type="text/json">'), tree, F.lit("</script></html>")))
+        .otherwise(F.lit("<html></html>")).alias("html"))
+
+
+@query("nested_project", """
+WITH u AS (SELECT page_id, url,
+       nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1), '') AS host,
+       regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) AS path
+       FROM pages WHERE page_id % 10 <> 0),
+s AS (SELECT *, unnest(CASE WHEN page_id % 2 = 1 THEN ['-a', '-b'] ELSE [''] END) AS suffix FROM u)
+SELECT CAST(page_id AS VARCHAR) || suffix AS skuId, '$1.00' AS listPrice, url AS targetUrl,
+       url AS name, CAST(length(url) AS BIGINT) AS reviews,
+       CASE WHEN page_id % 7 <> 0 THEN host END AS Category1,
+       nullif(split_part(path, '/', 2), '') AS Category2,
+       nullif(split_part(path, '/', 3), '') AS Category3
+FROM s
+""")
+def nested_project(spark: SparkSession, d: str) -> DataFrame:
+    """Product tree of a page → one offer row per SKU."""
+    return pg.parse_product_pages(_product_pages(spark, d)).select(
+        "skuId", "listPrice", "targetUrl", "name", "reviews", "Category1", "Category2", "Category3")

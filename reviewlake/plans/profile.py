@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlake.operators import sentiment as sm
 from reviewlake.operators import traits as tr
 from reviewlake.operators.catalog import build_catalog
 from reviewlake.plans import sql, standins
@@ -14,6 +15,10 @@ from reviewlake.sources.tables import read_table
 TRAITS = standins.STANDIN_TRAITS
 
 
+def tr_values(family: str) -> list:
+    return list(standins.TRAIT_BY_FAMILY[family].values)
+
+
 def _reviews(spark: SparkSession, d: str) -> DataFrame:
     return standins.reviews(spark, d).withColumnRenamed("ProdID", "prod_id")
 
@@ -52,11 +57,11 @@ SELECT 'P' || CAST(l_partkey AS VARCHAR) AS prod_id,
 FROM lineitem GROUP BY l_partkey
 """)
 def trait_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """Pivot with value discovery: one count column per distinct return flag."""
-    li = read_table(spark, d, "lineitem", ["l_partkey", "l_returnflag"], spread=True)
+    """Pivot: one count column per declared return flag."""
+    li = read_table(spark, d, "lineitem", ["l_partkey", "l_returnflag"])
     li = li.select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("prod_id"),
                    "l_returnflag")
-    return tr.trait_pivot(li, "prod_id", "l_returnflag")
+    return tr.trait_pivot(li, "prod_id", "l_returnflag", tr_values("flag"))
 
 
 def _family_query(t: tr.Trait):
@@ -113,3 +118,32 @@ def category_trait(spark: SparkSession, d: str) -> DataFrame:
     return tr.category_traits(trait_long(spark, d), catalog, "prod_id", "category1",
                               standins.STANDIN_CATEGORY_FAMILY,
                               standins.STANDIN_OTHER_FAMILY)
+
+
+# Review texts keyed like the catalogue: the document's id is a product id.
+PRODUCT_SENTIMENT_SQL = f"""
+SELECT 'P' || CAST(review_id AS VARCHAR) AS prod_id,
+       nullif(count(*) FILTER (WHERE Rating = 1), 0) AS sentiment__BadSentiment,
+       nullif(count(*) FILTER (WHERE Rating = 5), 0) AS sentiment__GoodSentiment
+FROM ({sql.REVIEW_TEXTS}) WHERE ReviewText IS NOT NULL GROUP BY 1
+"""
+
+
+def _profile_sentiment(spark: SparkSession, d: str, how: str) -> DataFrame:
+    texts = sm.with_text(standins.review_texts(spark, d)).select(
+        F.concat(F.lit("P"), F.col("review_id").cast("string")).alias("prod_id"),
+        sm.rating_label().cast("double").alias("prediction"))
+    return profile(spark, d).join(tr.trait_counts(texts, "prod_id", [sm.SENTIMENT]), "prod_id", how)
+
+
+@query("profile_sentiment", f"SELECT * FROM ({PROFILE_SQL}) JOIN ({PRODUCT_SENTIMENT_SQL}) USING (prod_id)")
+def profile_sentiment(spark: SparkSession, d: str) -> DataFrame:
+    """Profile joined to the sentiment counts; products without scored text go."""
+    return _profile_sentiment(spark, d, "inner")
+
+
+@query("profile_sentiment_left",
+       f"SELECT * FROM ({PROFILE_SQL}) LEFT JOIN ({PRODUCT_SENTIMENT_SQL}) USING (prod_id)")
+def profile_sentiment_left(spark: SparkSession, d: str) -> DataFrame:
+    """The same, keeping products without scored text."""
+    return _profile_sentiment(spark, d, "left")

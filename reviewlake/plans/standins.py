@@ -49,7 +49,7 @@ def offers(spark: SparkSession, d: str) -> DataFrame:
     """Raw offer observations in the crawler's shape."""
     li = read_table(spark, d, "lineitem", ["l_partkey", "l_suppkey", "l_linenumber",
                                             "l_quantity", "l_extendedprice",
-                                            "l_discount", "l_tax", "l_shipdate"], spread=True)
+                                            "l_discount", "l_tax", "l_shipdate"])
     part = read_table(spark, d, "part", ["p_partkey", "p_name", "p_brand", "p_type",
                                           "p_size"])
     j = li.join(part, li.l_partkey == part.p_partkey, "inner")
@@ -84,9 +84,9 @@ def reviews(spark: SparkSession, d: str) -> DataFrame:
     """One review per line item; traits from the order and the customer."""
     li = read_table(spark, d, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber",
                                             "l_quantity", "l_returnflag",
-                                            "l_linestatus", "l_shipdate"], spread=True)
+                                            "l_linestatus", "l_shipdate"])
     o = read_table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderstatus",
-                                         "o_orderpriority"], spread=True)
+                                         "o_orderpriority"])
     c = read_table(spark, d, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
     n = read_table(spark, d, "nation", ["n_nationkey", "n_name"])
     j = (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
@@ -114,13 +114,13 @@ def _review_url(partkey: str = "l_partkey", line: str = "l_linenumber"):
 def review_pages(spark: SparkSession, d: str) -> DataFrame:
     """The stored reviews' page URLs: line items only (every line item has its
     order, so the trait joins of ``reviews`` would not change this set)."""
-    li = read_table(spark, d, "lineitem", ["l_partkey", "l_linenumber"], spread=True)
+    li = read_table(spark, d, "lineitem", ["l_partkey", "l_linenumber"])
     return li.select(_review_url().alias("url"))
 
 
 def review_texts(spark: SparkSession, d: str) -> DataFrame:
     """Review text per product (product = document source)."""
-    docs = read_table(spark, d, "documents", ["doc_id", "text", "source"], spread=True)
+    docs = read_table(spark, d, "documents", ["doc_id", "text", "source"])
     lab = read_table(spark, d, "labels", ["doc_id", "quality"])
     j = docs.join(lab, "doc_id", "left")
     return j.select(
@@ -133,13 +133,8 @@ def review_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def descriptions(spark: SparkSession, d: str) -> DataFrame:
-    """Products to recommend from: whole document text as the description.
-
-    Spread on (source, doc_id): the per-(category, product) dedupe that
-    follows reuses this partitioning instead of shuffling the texts again.
-    """
-    docs = read_table(spark, d, "documents", ["doc_id", "text", "source"],
-                      spread=["source", "doc_id"])
+    """Products to recommend from: whole document text as the description."""
+    docs = read_table(spark, d, "documents", ["doc_id", "text", "source"])
     return docs.select(F.col("doc_id").alias("prod_id"), F.col("source").alias("category"),
                        F.col("text").alias("description"))
 
@@ -147,7 +142,7 @@ def descriptions(spark: SparkSession, d: str) -> DataFrame:
 def price_observations(spark: SparkSession, d: str) -> DataFrame:
     """Offer price observations: SKU = user, price = event type."""
     ev = read_table(spark, d, "events", ["event_id", "ts", "user_id", "event_type",
-                                          "value", "props"], spread=True)
+                                          "value", "props"])
     return ev.select(F.col("event_id").alias("obs_id"),
                      "ts",
                      F.col("user_id").alias("sku_id"),

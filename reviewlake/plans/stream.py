@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlake.plans.ingest import COMPAT_SQL, INGEST_DEDUPE_SQL
 from reviewlake.plans.registry import query
 from reviewlake.sources.tables import read_table
 from reviewlake.streaming import jobs
@@ -18,16 +19,14 @@ def _observations(spark: SparkSession, d: str) -> DataFrame:
                      F.col("event_type").alias("price"), F.col("value").alias("attrs"))
 
 
-@query("ingest_dedupe_stream", """
-SELECT DISTINCT CAST(user_id AS VARCHAR) || ':' || event_type AS review_id FROM events
-""")
+@query("ingest_dedupe_stream", INGEST_DEDUPE_SQL)
 def ingest_dedupe_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Review ids inserted by the streaming first-seen dedupe (one row each)."""
+    """Reviews inserted by the streaming first-seen rule, whole rows."""
     obs = _observations(spark, d)
     rows = obs.select(F.concat_ws(":", F.col("sku_id").cast("string"), "price")
-                      .alias("review_id"), F.col("ts").cast("timestamp").alias("ts"), "obs_id")
-    kept = jobs.dedupe_first_seen(rows, "review_id", "ts", "1 day")
-    return jobs.run_to_table(spark, kept, "ingest_dedupe").select("review_id")
+                      .alias("review_id"), "obs_id", "ts", "sku_id", "price", "attrs")
+    return jobs.run_to_table(spark, rows, "ingest_dedupe", keys=["review_id"],
+                             first_by=["ts", "obs_id"])
 
 
 @query("price_history_stream", """
@@ -42,9 +41,9 @@ def price_history_stream(spark: SparkSession, d: str) -> DataFrame:
                              keys=["sku_id", "price"])
 
 
-@query("price_history_compat_stream")
+@query("price_history_compat_stream", COMPAT_SQL)
 def price_history_compat_stream(spark: SparkSession, d: str) -> DataFrame:
     """Exact store-upsert fold kept as per-SKU streaming state."""
     recs = jobs.price_history_compat_stream(_observations(spark, d))
     return jobs.run_to_table(spark, recs, "price_history_compat", mode="update",
-                             keys=["sku_id", "rec"])
+                             keys=["sku_id", "rec"]).drop("rec")

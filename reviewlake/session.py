@@ -6,9 +6,6 @@ These helpers are for tests, the bench and local runs only.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -38,27 +35,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a scratch one only if unset.
+    """The folder for written intermediate tables and stream checkpoints.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only a local session without one gets a fresh scratch folder.
+    It is the one that ``spark.checkpoint.dir`` names (shared on a cluster);
+    where the session sets none, a folder in the session's warehouse, which
+    driver and executors share as well. The rule is the same on every master.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
-    if not conf_dir:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set; a shared folder is required "
-                "on a cluster")
-        conf_dir = tempfile.mkdtemp(prefix="reviewlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return folder

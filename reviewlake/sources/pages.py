@@ -98,18 +98,20 @@ def parse_review_pages(payloads: DataFrame, body: str = "body",
     A page without ``Results`` yields no rows. Context attributes listed in
     ``ContextDataValuesOrder`` become the ``attributes`` map (their values),
     kept apart from the fixed fields so a key such as ``Rating`` cannot
-    overwrite them.
+    overwrite them. A key listed twice counts once; a date that cannot be
+    read is null.
     """
     page = F.from_json(F.col(body), schemas.API_PAGE)
     results = F.coalesce(page.Results, F.array().cast(T.ArrayType(schemas.API_RESULT)))
     r = payloads.select(F.col(url).alias("url"), F.explode(results).alias("r"))
-    order = F.coalesce(F.col("r.ContextDataValuesOrder"), F.array().cast("array<string>"))
+    order = F.array_distinct(F.array_compact(
+        F.coalesce(F.col("r.ContextDataValuesOrder"), F.array().cast("array<string>"))))
     ctx = F.col("r.ContextDataValues")
     attrs = F.map_from_arrays(
-        order, F.transform(order, lambda k: F.element_at(ctx, k).getField("Value")))
+        order, F.transform(order, lambda k: F.try_element_at(ctx, k).getField("Value")))
     fields = [F.col(f"r.{src}").alias(dst) for dst, src in REVIEW_FIELDS.items()]
     out = r.select(*fields, "url", attrs.alias("attributes"))
-    return out.withColumn("Date", F.to_timestamp("Date"))
+    return out.withColumn("Date", F.try_to_timestamp("Date"))
 
 
 def attribute_columns(reviews: DataFrame, keys: list[str],
@@ -128,7 +130,9 @@ def parse_product_pages(pages: DataFrame, html: str = "html",
     The JSON tree sits in a script element. Child SKUs are used when the page
     lists them, else the single current SKU. Missing category levels are null
     (Category3 is the leaf, Category1 the root); product fields are copied to
-    every SKU row.
+    every SKU row. A page without the script, or without a SKU, gives no row.
+    ``date`` is the first sighting and ``update`` the latest; both are
+    ``seen_at`` here, and the price history keeps the earliest ``date``.
     """
     tree = F.from_json(element_text(html, "script", element_id), schemas.PRODUCT_PAGE)
     p = pages.select(tree.page.product.alias("p"))
@@ -138,7 +142,7 @@ def parse_product_pages(pages: DataFrame, html: str = "html",
     c2 = c3.getField("parentCategory")
     c1 = c2.getField("parentCategory")
     stamp = seen_at if seen_at is not None else F.current_timestamp()
-    exploded = p.select("p", F.explode(skus).alias("sku"))
+    exploded = p.select("p", F.explode(skus).alias("sku")).where(F.col("sku.skuId").isNotNull())
     return exploded.select(
         F.col("sku.skuId").alias("skuId"), F.col("sku.listPrice").alias("listPrice"),
         F.col("sku.targetUrl").alias("targetUrl"), F.col("sku.skuImages").alias("skuImages"),
@@ -152,5 +156,6 @@ def parse_product_pages(pages: DataFrame, html: str = "html",
         d.getField("lovesCount").alias("lovesCount"),
         d.getField("reviews").alias("reviews"),
         d.getField("rating").alias("rating"),
+        stamp.alias("date"),
         stamp.alias("update"),
     )

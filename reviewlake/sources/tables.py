@@ -6,7 +6,6 @@ select columns so only those reach the Parquet ``ReadSchema``.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,36 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlake import schemas
+from reviewlake.constants import ATTRIBUTE_KEYS
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str,
-               columns: Sequence[str] | None = None,
-               spread: bool | Sequence[str] = False) -> DataFrame:
-    """One Parquet table of a data folder, optionally projected.
-
-    ``spread`` is for fact tables: a file that cannot be split (one row
-    group) scans as one partition, so all work before the first shuffle would
-    run on one core. When such a scan has fewer partitions than the session's
-    default parallelism it is spread once by a hash of its non-text columns
-    (deterministic on task retry and, unlike round-robin, without a local sort
-    first). ``spread`` may name the hash columns instead: the key of the
-    first aggregation, whose shuffle then reuses this partitioning. A large
-    input already has more partitions and is left as it is; dimension tables
-    are never spread. ``REVIEWLAKE_SPREAD_SCANS=0`` turns it off.
-    """
+               columns: Sequence[str] | None = None) -> DataFrame:
+    """One Parquet table of a data folder, optionally projected. How a scan is
+    cut into tasks is left to the session's file-split settings and AQE."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if columns:
-        df = df.select(*columns)
-    if spread and os.environ.get("REVIEWLAKE_SPREAD_SCANS", "1") == "1":
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            if isinstance(spread, (list, tuple)):
-                keys = list(spread)
-            else:
-                keys = [f.name for f in df.schema.fields
-                        if not isinstance(f.dataType, T.StringType)] or df.columns
-            df = df.repartition(cores, *[F.col(c) for c in keys])
-    return df
+    return df.select(*columns) if columns else df
 
 
 def _nan_free(df: DataFrame) -> DataFrame:
@@ -60,8 +38,18 @@ def read_offers(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
 
 
 def read_reviews(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Reviews with their context-attribute map."""
-    return _nan_free(spark.read.schema(schemas.REVIEW).format(fmt).load(path))
+    """Reviews with their context-attribute map.
+
+    Landed reviews hold the attributes as a map, or flat, as columns of their
+    own; flat ones are gathered into the map (absent attributes are not in it).
+    """
+    schema = T.StructType([*schemas.REVIEW.fields,
+                           *(T.StructField(k, T.StringType()) for k in ATTRIBUTE_KEYS)])
+    df = spark.read.schema(schema).format(fmt).load(path)
+    flat = F.map_filter(F.create_map(*[x for k in ATTRIBUTE_KEYS for x in (F.lit(k), F.col(k))]),
+                        lambda _, v: v.isNotNull())
+    attributes = F.coalesce(F.col("attributes"), flat)
+    return _nan_free(df.withColumn("attributes", attributes).drop(*ATTRIBUTE_KEYS))
 
 
 def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet",

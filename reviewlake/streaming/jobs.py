@@ -1,6 +1,9 @@
 """Structured Streaming forms of the crawler's incremental state.
 
-* ``dedupe_first_seen`` — insert a review only if its id is new: streaming
+* ``insert_first_seen`` — insert a review only if its id was never stored:
+  each micro-batch's first row per id, minus the ids of all earlier batches.
+  The state is the stored table itself, so no id is ever forgotten.
+* ``dedupe_first_seen`` — the same rule in operator state: streaming
   ``dropDuplicates`` (state kept forever) or, with a watermark,
   ``dropDuplicatesWithinWatermark`` (state bounded by the watermark delay;
   a copy arriving later than that is no longer recognised — the trade-off).
@@ -8,11 +11,14 @@
   streaming aggregate in update mode; each trigger emits the changed
   (SKU, price) records.
 * ``price_history_compat_stream`` — the store's exact upsert fold, per SKU,
-  with ``applyInPandasWithState``; state = that SKU's records.
-
-Sinks: ``write_change_log`` appends each micro-batch's updated records under
-one folder per batch id; ``latest_from_change_log`` reads the current state
-back (latest batch per key). Checkpoints live under ``spark.checkpoint.dir``.
+  with ``applyInPandasWithState``; state = the prices of that SKU's older
+  records and its newest record. Each trigger emits the changed records only.
+
+Sinks: ``write_change_log`` writes each micro-batch's rows to the folder
+``batch_id=N`` and overwrites it if the batch is run again, so a batch replayed
+after a crash leaves the table as it was; ``latest_from_change_log`` reads the
+current state back (latest batch per key). Checkpoints live under
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -25,9 +31,10 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from reviewlake.operators.ingest import _fold_sku
+from reviewlake.operators.ingest import SkuFold, first_seen, insert_unseen
 from reviewlake.session import ensure_checkpoint_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -68,29 +75,41 @@ def price_history_updates(obs: DataFrame, sku: str = "sku_id", price: str = "pri
 def price_history_compat_stream(obs: DataFrame, sku: str = "sku_id", price: str = "price",
                                 ts: str = "ts", tiebreak: str = "obs_id",
                                 attrs: Sequence[str] = ("attrs",)) -> DataFrame:
-    """Exact per-SKU upsert fold; emits the SKU's records after each batch.
+    """Exact per-SKU upsert fold in processing order; emits the records that a
+    trigger changed.
 
     Each record carries its index within the SKU (``rec``) so the change log
-    can be reduced to the latest version of every record.
+    can be reduced to the latest version of every record. A late row counts
+    when it is processed, as the store stamped it.
     """
     attrs = list(attrs)
-    types = dict(obs.dtypes)
-    rec_fields = (f"price {types[price]}, first_seen {types[ts]}, updated {types[ts]}, "
-                  + ", ".join(f"{a} {types[a]}" for a in attrs))
-    state_schema = "records array<struct<" + ", ".join(
-        f"{f.split(' ')[0]}:{f.split(' ')[1]}" for f in rec_fields.split(", ")) + ">>"
-    out_schema = f"{sku} {types[sku]}, rec int, " + rec_fields
+    fields = {f.name: f.dataType for f in obs.schema.fields}
+    record = [("price", fields[price]), ("first_seen", fields[ts]), ("updated", fields[ts]),
+              *[(a, fields[a]) for a in attrs]]
+    struct = T.StructType([T.StructField(n, t) for n, t in record])
+    state_schema = T.StructType([
+        T.StructField("frozen", T.ArrayType(fields[price])), T.StructField("number", T.IntegerType()),
+        T.StructField("current", struct)])
+    out_schema = T.StructType([T.StructField(sku, fields[sku]), T.StructField("rec", T.IntegerType()),
+                               *struct.fields])
+    names = [n for n, _ in record]
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        records = [dict(r.asDict()) for r in state.get[0]] if state.exists else []
+        fold = SkuFold()
+        if state.exists:
+            frozen, number, current = state.get
+            fold = SkuFold(frozen, tuple(current), number)
+        # Rows of one trigger are put in processing order; a trigger's size is the
+        # source's to bound (``files_per_trigger``).
         rows = pd.concat(list(batches)).sort_values([ts, tiebreak], kind="stable")
-        _fold_sku(rows, records, sku, price, ts, attrs)
-        state.update(([tuple(r[c] for c in ["price", "first_seen", "updated", *attrs])
-                       for r in records],))
-        out = pd.DataFrame(records).reindex(columns=["price", "first_seen", "updated", *attrs])
-        out.insert(0, "rec", range(len(out)))
-        out.insert(0, sku, key[0])
-        yield out
+        changed = []
+        for row in rows[[price, ts, *attrs]].itertuples(index=False, name=None):
+            final = fold.add(row[0], row[1], row[2:])
+            if final is not None:
+                changed.append((key[0], fold.number - 1, *final))
+        changed.append((key[0], fold.number, *fold.current))
+        state.update((sorted(fold.frozen), fold.number, fold.current))
+        yield pd.DataFrame(changed, columns=[sku, "rec", *names])
 
     return (obs.select(sku, price, ts, tiebreak, *attrs).groupBy(sku)
             .applyInPandasWithState(step, out_schema, state_schema, "update",
@@ -98,10 +117,22 @@ def price_history_compat_stream(obs: DataFrame, sku: str = "sku_id", price: str
 
 
 def write_change_log(stream: DataFrame, path: str, checkpoint: str,
-                     available_now: bool = True, mode: str = "update"):
-    """Append every micro-batch's rows under ``path/batch_id=N`` (start the query)."""
+                     available_now: bool = True, mode: str = "update", insert=None):
+    """Write every micro-batch's rows under ``path/batch_id=N`` (start the query).
+
+    ``insert(batch, stored)`` may reduce a batch to what is to be stored; it
+    gets the rows of the earlier batches (None before the first).
+    """
+    spark = stream.sparkSession
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+        if insert is not None:
+            stored = None
+            if batch_id and _written(spark, path):
+                stored = (spark.read.schema(_with_batch_id(batch.schema)).parquet(path)
+                          .where(F.col("batch_id") < batch_id).drop("batch_id"))
+            batch = insert(batch, stored)
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint) \
         .foreachBatch(sink)
     if available_now:
@@ -109,6 +140,20 @@ def write_change_log(stream: DataFrame, path: str, checkpoint: str,
     return w.start()
 
 
+def _with_batch_id(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+
+
+def insert_first_seen(stream: DataFrame, path: str, checkpoint: str, key: str,
+                      order: Sequence[str], available_now: bool = True):
+    """Store the rows whose ``key`` was never stored, the first per key by
+    ``order`` within a micro-batch (start the query)."""
+    def insert(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
+        return (first_seen(batch, key, order) if stored is None
+                else insert_unseen(stored, batch, key, order))
+    return write_change_log(stream, path, checkpoint, available_now, "append", insert)
+
+
 def latest_from_change_log(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Current state: for every key the row of the latest batch."""
     log = spark.read.parquet(path)
@@ -125,22 +170,23 @@ def scratch_paths(spark: SparkSession, name: str) -> tuple[str, str]:
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
-                 keys: Sequence[str] | None = None, timeout_s: int = 600) -> DataFrame:
+                 keys: Sequence[str] | None = None, first_by: Sequence[str] | None = None) -> DataFrame:
     """Run ``stream`` over what has landed (availableNow) and read the result.
 
     Append mode: the rows written. Update mode: the latest row per ``keys``.
+    With ``first_by``: the first row ever seen per ``keys[0]``, in that order.
     """
     out, ckpt = scratch_paths(spark, name)
-    q = write_change_log(stream, out, ckpt, available_now=True, mode=mode)
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
+    if first_by:
+        q = insert_first_seen(stream, out, ckpt, keys[0], first_by)
+    else:
+        q = write_change_log(stream, out, ckpt, available_now=True, mode=mode)
+    q.awaitTermination()
     if q.exception():
         raise q.exception()
     if q.lastProgress is None or not _written(spark, out):
         return spark.createDataFrame([], stream.schema)
-    if mode == "append" or not keys:
+    if mode == "append" or first_by or not keys:
         return spark.read.parquet(out).drop("batch_id")
     return latest_from_change_log(spark, out, keys)
 
