@@ -8,9 +8,9 @@ they are later than all its registers. Two registers agree with the probability
 Jaccard similarity of the sets.
 
 Texts that share a band of registers meet in a group; within it, whole signatures
-are compared, and a text is paired with the leader of every star it may belong to
-and with its most similar member, not with all. Groups beyond ``GROUP`` texts are
-dealt to several tasks and their leaders meet again. Pairs are verified on the
+are compared, and only the pairs of a spanning forest and of a few stars go on, at
+most two per text, not all. Groups beyond ``GROUP`` texts are dealt to several tasks
+and their leaders meet again. Pairs are verified on the
 whole texts by the exact probability Jaccard similarity; classes are the
 connected components of verified pairs. Equal texts meet once, as one node.
 
@@ -43,7 +43,7 @@ REGISTERS = BANDS * BAND_ROWS
 #: Four standard deviations of the estimate at similarity 0.8.
 MARGIN = 0.125
 #: Texts of a group that one task compares; doubled from one level to the next.
-GROUP = 2048
+GROUP = 1024
 
 NULL_ID = -(2 ** 63)
 SKETCH_SCHEMA = "id long, k long, sig binary, bands array<long>"
@@ -142,45 +142,57 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["id", "k", "sig", "bands"])
 
 
+def _similar(sig: np.ndarray) -> np.ndarray:
+    """Estimated similarities of all members of a group; -1 with itself."""
+    n = len(sig)
+    out = np.empty((n, n), np.float32)
+    step = max(1, (4 << 20) // max(1, sig.size))
+    for i in range(0, n, step):
+        out[i:i + step] = (sig[i:i + step, None, :] == sig[None]).mean(axis=2)
+    np.fill_diagonal(out, -1)
+    return out
+
+
 def _group_pairs(sig: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     """Pairs to verify among the members of a group (rows of ``sig``), and its leaders.
 
-    A member that no earlier leader resembles leads a star of those that resemble
-    it. A leader is paired with all it may be similar to outside the earlier
-    stars, and with the nearest member and the leader of each of those; a member
-    that is not surely similar to its leader, with its two nearest.
+    Classes are connected components, for which a spanning forest of the most
+    similar pairs is enough: at any threshold it connects what all pairs do. As
+    the similarities are estimates, stars are verified as well: the member that
+    resembles most others leads them, then that which resembles most of the
+    rest, and so on. At most two pairs per member.
     """
     n = len(sig)
-    star, sure = np.full(n, -1), np.zeros(n, bool)
-    leaders, out_a, out_b = [], [], []
-
-    def pair(i: int, others) -> None:
-        out_a.extend([i] * len(others))
-        out_b.extend(others)
-
-    for i in range(n):
-        if star[i] >= 0:
-            continue
-        near = (sig == sig[i]).mean(axis=1)
-        may = near >= SIMILARITY - MARGIN
-        may[i] = False
-        old = np.flatnonzero(may & (star >= 0))
-        if len(old):
-            old = old[np.lexsort((-near[old], star[old]))]
-            pair(i, old[np.append(True, star[old][1:] != star[old][:-1])].tolist())
-            pair(i, [x for x in leaders if may[x]])
-        new = np.flatnonzero(may & (star < 0))
-        pair(i, new.tolist())
-        joins = new[near[new] >= SIMILARITY]
-        star[joins], star[i] = len(leaders), len(leaders)
-        sure[joins], sure[i] = near[joins] >= SIMILARITY + MARGIN, True
+    similar = _similar(sig)
+    out_a: list[int] = []
+    out_b: list[int] = []
+    # Prim's tree, without the branches too dissimilar to verify.
+    best, to = similar[0].copy(), np.zeros(n, np.int64)
+    outside = np.ones(n, bool)
+    outside[0] = False
+    for _ in range(n - 1):
+        i = int(np.argmax(np.where(outside, best, -2)))
+        outside[i] = False
+        if best[i] >= SIMILARITY - MARGIN:
+            out_a.append(int(to[i]))
+            out_b.append(i)
+        closer = outside & (similar[i] > best)
+        best[closer], to[closer] = similar[i][closer], i
+    alike = similar >= SIMILARITY
+    left, leaders = np.ones(n, bool), []
+    follows = alike.sum(axis=1)
+    while left.any():
+        i = int(np.argmax(np.where(left, follows, -1)))
+        if follows[i] == 0:
+            leaders += np.flatnonzero(left).tolist()
+            break
+        star = np.flatnonzero(alike[i] & left)
         leaders.append(i)
-    for rows in np.array_split(np.flatnonzero(~sure), max(1, (~sure).sum() // 32)):
-        near = (sig[rows][:, None, :] == sig[None]).mean(axis=2)
-        near[np.arange(len(rows)), rows] = -1
-        for r, i in enumerate(rows.tolist()):
-            two = np.argsort(-near[r], kind="stable")[:2]
-            pair(i, two[near[r][two] >= SIMILARITY - MARGIN].tolist())
+        out_a += [i] * len(star)
+        out_b += star.tolist()
+        gone = np.append(star, i)
+        left[gone] = False
+        follows = follows - alike[:, gone].sum(axis=1)
     return leaders, out_a, out_b
 
 
