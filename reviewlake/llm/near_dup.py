@@ -153,8 +153,10 @@ def _similar(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def _group_pairs(sig: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+def _group_pairs(sig: np.ndarray, label: np.ndarray,
+                 failed: list[list[int]]) -> tuple[list[int], list[int], list[int]]:
     """Pairs to verify among the members of a group (rows of ``sig``), and its leaders.
+    Members of one ``label`` are connected already; ``failed`` pairs are not tried again.
 
     Classes are connected components, for which a spanning forest of the most
     similar pairs is enough: at any threshold it connects what all pairs do. As
@@ -164,8 +166,19 @@ def _group_pairs(sig: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     """
     n = len(sig)
     similar = _similar(sig)
+    for i, others in enumerate(failed):
+        similar[i, others] = similar[others, i] = -1
+    known = label[:, None] == label[None]
+    np.fill_diagonal(known, False)
+    similar[known] = 1
     out_a: list[int] = []
     out_b: list[int] = []
+
+    def pair(i: int, j: int) -> None:
+        if label[i] != label[j]:
+            out_a.append(i)
+            out_b.append(j)
+
     # Prim's tree, without the branches too dissimilar to verify.
     best, to = similar[0].copy(), np.zeros(n, np.int64)
     outside = np.ones(n, bool)
@@ -174,8 +187,7 @@ def _group_pairs(sig: np.ndarray) -> tuple[list[int], list[int], list[int]]:
         i = int(np.argmax(np.where(outside, best, -2)))
         outside[i] = False
         if best[i] >= SIMILARITY - MARGIN:
-            out_a.append(int(to[i]))
-            out_b.append(i)
+            pair(int(to[i]), i)
         closer = outside & (similar[i] > best)
         best[closer], to[closer] = similar[i][closer], i
     alike = similar >= SIMILARITY
@@ -188,8 +200,8 @@ def _group_pairs(sig: np.ndarray) -> tuple[list[int], list[int], list[int]]:
             break
         star = np.flatnonzero(alike[i] & left)
         leaders.append(i)
-        out_a += [i] * len(star)
-        out_b += star.tolist()
+        for j in star.tolist():
+            pair(i, j)
         gone = np.append(star, i)
         left[gone] = False
         follows = follows - alike[:, gone].sum(axis=1)
@@ -204,7 +216,11 @@ def _pairs_of_group(split: bool):
         order = np.argsort(k)
         k = k[order]
         sig = np.stack([np.frombuffer(s, np.uint16) for s in group.column("sig").to_pylist()])[order]
-        leaders, first, second = _group_pairs(sig)
+        label = group.column("label").to_numpy()[order]
+        lists = group.column("failed").to_pylist()
+        failed = [[int(j) for j in np.flatnonzero(np.isin(k, lists[i]))] if lists[i] else []
+                  for i in order.tolist()]
+        leaders, first, second = _group_pairs(sig, label, failed)
         first, second = np.array(first, np.int64), np.array(second, np.int64)
         low, high = np.minimum(k[first], k[second]), np.maximum(k[first], k[second])
         more = leaders if split else []
@@ -215,18 +231,20 @@ def _pairs_of_group(split: bool):
     return run
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs (a < b) of nodes whose signatures agree well enough, without the pairs that
-    the stars of a group make needless. nodes: k, sig, bands."""
+def band_groups(nodes: DataFrame) -> DataFrame:
+    """(key, k, n): the texts that share a band with another, written. nodes: k, bands."""
     rows = nodes.select("k", F.explode("bands").alias("key"))
-    rows = written(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "bands")
-    sigs = nodes.select("k", "sig")
+    return written(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "bands")
+
+
+def candidate_pairs(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a < b) to verify. rows: key, k, n; members: k, sig, label, failed."""
     found, size = None, GROUP
     while True:
         parts = F.ceil(F.col("n") / size)
         dealt = (rows.withColumn("parts", parts)
                  .withColumn("part", F.pmod(F.xxhash64("k", F.lit(size)), F.col("parts")))
-                 .join(sigs, "k"))
+                 .join(members, "k"))
         schema = "key long, a long, b long"
         whole = (dealt.where("parts = 1").groupBy("key", "part")
                  .applyInArrow(_pairs_of_group(False), schema))
@@ -242,7 +260,7 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
         rows = leaders.join(leaders.groupBy("key").agg(F.count("*").alias("n")), "key")
 
 
-def _verify(threshold: float):
+def _verified():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = []
@@ -256,24 +274,44 @@ def _verify(threshold: float):
             similar = np.array([probability_jaccard(*x, *y) for x, y in zip(*sides, strict=True)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(similar, pa.float64())],
-                ["a", "b", "similarity"]).filter(pa.array(similar >= threshold - 1e-12, pa.bool_()))
+                ["a", "b", "similarity"])
     return run
 
 
-def near_duplicate_links(docs: DataFrame, nodes: DataFrame, *, text_col: str,
-                         threshold: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b, similarity) between different texts, by their keys."""
-    pairs = written(candidate_pairs(nodes), "candidates")
-    asked = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    # A text comes once per key, whatever the number of its copies.
+def near_duplicate_labels(docs: DataFrame, nodes: DataFrame, *, text_col: str,
+                          threshold: float = SIMILARITY) -> DataFrame | None:
+    """(node, component) of the texts with a verified link, by their keys; None without.
+
+    Pairs are proposed and verified in rounds: a round proposes pairs of different
+    components that no round has tried, and the last one finds no link.
+    """
+    rows = band_groups(nodes)
+    # The text of each node that has a group, whatever the number of its copies.
+    some = nodes.select("k", "id").join(rows.select("k").distinct(), "k", "left_semi")
     texts = written(docs.select(text_key(text_col).alias("k"), row_id("_id").alias("id"),
                                 F.col(text_col).cast("string").alias("text"))
-                    .join(nodes.select("k", "id").join(asked, "k", "left_semi"), ["k", "id"], "left_semi")
-                    .dropDuplicates(["k"]), "texts")
+                    .join(some, ["k", "id"], "left_semi").dropDuplicates(["k"]), "texts")
     left = texts.select(F.col("k").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("k").alias("b"), F.col("text").alias("text_b"))
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-                   .mapInArrow(_verify(threshold), "a long, b long, similarity double"), "links")
+    members = nodes.select("k", "sig", F.col("k").alias("label"),
+                           F.array().cast("array<long>").alias("failed"))
+    links = tried = labels = None
+    while True:
+        pairs = written(candidate_pairs(rows, members), "candidates")
+        got = written(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+                      .mapInArrow(_verified(), "a long, b long, similarity double"), "verified")
+        new = got.where(F.col("similarity") >= threshold - 1e-12).select("a", "b")
+        if new.isEmpty():
+            return labels
+        links = new if links is None else links.union(new)
+        bad = got.where(F.col("similarity") < threshold - 1e-12).select("a", "b")
+        tried = bad if tried is None else tried.union(bad)
+        labels = components(links)
+        failed = tried.groupBy(F.col("a").alias("k")).agg(F.collect_set("b").alias("failed"))
+        members = (nodes.select("k", "sig").join(labels.withColumnRenamed("node", "k"), "k", "left")
+                   .join(failed, "k", "left").select(
+                       "k", "sig", F.coalesce("component", "k").alias("label"),
+                       F.coalesce("failed", F.array().cast("array<long>")).alias("failed")))
 
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -285,9 +323,10 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     sketches = written(made.mapInArrow(_sketch, SKETCH_SCHEMA), "sketches")
     nodes = written(sketches.groupBy("k").agg(F.min("id").alias("id"), F.first("sig").alias("sig"),
                                               F.first("bands").alias("bands")), "nodes")
-    links = near_duplicate_links(rows, nodes, text_col="_text", threshold=threshold)
-    found = components(links)
-    labelled = (nodes.select("k", "id").join(found.select(F.col("node").alias("k"), "component"), "k", "left")
+    found = near_duplicate_labels(rows, nodes, text_col="_text", threshold=threshold)
+    labelled = nodes.select("k", "id")
+    labelled = (labelled.withColumn("component", F.col("k")) if found is None else
+                labelled.join(found.select(F.col("node").alias("k"), "component"), "k", "left")
                 .withColumn("component", F.coalesce("component", "k")))
     least = labelled.groupBy("component").agg(F.min(F.struct("id", "k")).alias("first"))
     classes = labelled.join(least, "component").select(
