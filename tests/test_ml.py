@@ -35,3 +35,31 @@ def test_exact_auc_matches_definition(spark):
     neg = [s for s, l in rows if l == 0]
     want = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
     assert abs(got - want) < 1e-12
+
+
+def test_auc_of_one_class_is_null(spark):
+    df = spark.createDataFrame([(0.1, 1), (0.4, 1)], "score double, label int")
+    assert sm.exact_auc(df).first().auc is None
+    assert sm.exact_auc(df.limit(0)).first().auc is None
+
+
+def test_topics_read_every_document(spark, monkeypatch):
+    from pyspark.ml.clustering import LDA
+
+    from reviewlake.operators import topics as tp
+    seen = []
+    fit = LDA.fit
+    monkeypatch.setattr(LDA, "fit", lambda self, df: seen.append(self.getSubsamplingRate()) or fit(self, df))
+    df = spark.createDataFrame([(i, f"red lipstick matte {i}") for i in range(8)],
+                               "prod_id int, description string")
+    out = tp.dominant_topics(df, max_iter=2).collect()
+    assert seen == [1.0] and sorted(r.prod_id for r in out) == list(range(8))
+    assert all(0 <= r.topic <= 4 for r in out)
+
+
+def test_hash_sample_takes_rows_of_all_products(spark):
+    rows = [(i, f"P{i // 100}", "text", 5) for i in range(1000)]
+    df = spark.createDataFrame(rows, "review_id long, ProdID string, ReviewText string, Rating int")
+    first = sm.training_set(df, cap=200).select("ProdID").distinct().count()
+    spread = sm.training_set(df, cap=200, sample=True)
+    assert first == 2 and spread.count() == 200 and spread.select("ProdID").distinct().count() == 10

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from reviewlake.plans import QUERIES
 
 D = "/root/testdata/sf0.001"
@@ -11,6 +13,12 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture(scope="module")
+def plans(spark):
+    """The physical plan of every registered query of the reference's operators."""
+    return {name: plan(q(spark, D)) for name, q in sorted(QUERIES.items())}
+
+
 def test_profile_scans_each_table_once(spark):
     p = plan(QUERIES["profile"](spark, D))
     for t in ("lineitem", "orders", "customer", "nation"):
@@ -34,17 +42,30 @@ def test_sql_expressible_queries_have_no_python(spark):
         assert "Python" not in p, name
 
 
-SKIP_PLAN = {"sentiment_counts", "sentiment_auc", "sentiment_preview", "split_sets",
-             "topics", "hashed_tf", "ingest_dedupe_stream", "price_history_stream",
-             "price_history_compat_stream", "split_sets_hash"}
+def test_no_cross_joins_anywhere(plans):
+    for name, p in plans.items():
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
 
 
-def test_no_cross_joins_anywhere(spark):
-    for name, q in sorted(QUERIES.items()):
-        if name in SKIP_PLAN:
-            continue
-        p = plan(q(spark, D))
-        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+def test_training_rows_are_chosen_without_their_text(spark):
+    for name in ("train_set", "train_sample"):
+        p = plan(QUERIES[name](spark, D))
+        limits = [x for x in p.splitlines() if "TakeOrderedAndProject" in x]
+        assert limits and not any("ReviewText" in x or "text" in x for x in limits), name
+
+
+def test_no_join_of_terms_or_vectors_on_the_category_alone(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(QUERIES["tfidf"](spark, D))
+        joins = [x for x in p.splitlines() if "SortMergeJoin" in x]
+        # The corpus size meets the small df table; the term table meets (category, term).
+        assert sum("term#" in x for x in joins) == 1 and len(joins) == 2
+        p = plan(QUERIES["recommend_top10"](spark, D))
+        assert not [x for x in p.splitlines() if "SortMergeJoin [category#" in x and "salt" not in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def _partial_before_exchange(p: str) -> bool:
@@ -82,12 +103,15 @@ def test_hot_product_counts_exactly(spark):
     assert first.id == 0
 
 
-def test_every_query_reads_the_tables(spark):
+def test_every_query_reads_the_tables(plans):
     # Each registered query scans the given parquet tables, or tables Spark
     # wrote from them (materialized intermediates, stream outputs) — none runs
     # on made-up input alone.
-    for name, q in sorted(QUERIES.items()):
-        if name in {"sentiment_counts", "sentiment_auc", "sentiment_preview", "topics"}:
-            continue        # model fits: covered by test_ml and the rows-only oracle run
-        p = plan(q(spark, D))
+    for name, p in plans.items():
         assert "FileScan parquet" in p or "Scan parquet" in p, name
+
+
+def test_python_runs_where_it_is_needed_only(plans):
+    """Block products and the sequential price fold, and what reads their tables."""
+    with_python = {n for n, p in plans.items() if "InPandas" in p or "InArrow" in p or "EvalPython" in p}
+    assert with_python <= {"recommend_top10", "reco_wide", "reco_details", "price_history_compat"}
