@@ -144,11 +144,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _similar(sig: np.ndarray) -> np.ndarray:
     """Estimated similarities of all members of a group; -1 with itself."""
-    n = len(sig)
-    out = np.empty((n, n), np.float32)
-    step = max(1, (4 << 20) // max(1, sig.size))
-    for i in range(0, n, step):
-        out[i:i + step] = (sig[i:i + step, None, :] == sig[None]).mean(axis=2)
+    if len(sig) < 64:
+        equal = (sig[:, None, :] == sig[None]).sum(axis=2)
+    else:       # register by register: no more than one byte per pair is held
+        equal = np.zeros((len(sig), len(sig)), np.uint8)
+        for register in np.ascontiguousarray(sig.T):
+            equal += register[:, None] == register[None]
+    out = equal.astype(np.float32) / sig.shape[1]
     np.fill_diagonal(out, -1)
     return out
 
@@ -239,6 +241,10 @@ def band_groups(nodes: DataFrame) -> DataFrame:
 
 def candidate_pairs(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (a < b) to verify. rows: key, k, n; members: k, sig, label, failed."""
+    # Groups whose members are connected already have nothing to propose.
+    labels = rows.join(members.select("k", "label"), "k").groupBy("key").agg(
+        F.min("label").alias("least"), F.max("label").alias("most"))
+    rows = rows.join(labels.where("least <> most").select("key"), "key", "left_semi")
     found, size = None, GROUP
     while True:
         parts = F.ceil(F.col("n") / size)
