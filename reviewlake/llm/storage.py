@@ -6,12 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-INT_MAX = 2**31 - 1
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a folder in the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``; where it is unset, a folder in the warehouse (in tests
+    the session's checkpoint folder)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return folder.rstrip("/")
