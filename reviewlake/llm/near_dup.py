@@ -155,8 +155,8 @@ def _similar(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def _group_pairs(sig: np.ndarray, label: np.ndarray,
-                 failed: list[list[int]]) -> tuple[list[int], list[int], list[int]]:
+def _group_pairs(sig: np.ndarray, label: np.ndarray, failed: list[list[int]],
+                 forests: int = 1) -> tuple[list[int], list[int], list[int]]:
     """Pairs to verify among the members of a group (rows of ``sig``), and its leaders.
     Members of one ``label`` are connected already; ``failed`` pairs are not tried again.
 
@@ -164,7 +164,10 @@ def _group_pairs(sig: np.ndarray, label: np.ndarray,
     similar pairs is enough: at any threshold it connects what all pairs do. As
     the similarities are estimates, stars are verified as well: the member that
     resembles most others leads them, then that which resembles most of the
-    rest, and so on. At most two pairs per member.
+    rest, and so on. At most two pairs per member. Further ``forests`` are taken from
+    the pairs that are left, at most one more pair per member each.
+
+    No pair is returned only if none of different labels is left to be tried.
     """
     n = len(sig)
     similar = _similar(sig)
@@ -181,18 +184,24 @@ def _group_pairs(sig: np.ndarray, label: np.ndarray,
             out_a.append(i)
             out_b.append(j)
 
-    # Prim's tree, without the branches too dissimilar to verify.
-    best, to = similar[0].copy(), np.zeros(n, np.int64)
-    outside = np.ones(n, bool)
-    outside[0] = False
-    for _ in range(n - 1):
-        i = int(np.argmax(np.where(outside, best, -2)))
-        outside[i] = False
-        if best[i] >= SIMILARITY - MARGIN:
-            pair(int(to[i]), i)
-        closer = outside & (similar[i] > best)
-        best[closer], to[closer] = similar[i][closer], i
     alike = similar >= SIMILARITY
+    for _ in range(forests):
+        # Prim's tree, without the branches too dissimilar to verify.
+        before = len(out_a)
+        best, to = similar[0].copy(), np.zeros(n, np.int64)
+        outside = np.ones(n, bool)
+        outside[0] = False
+        for _ in range(n - 1):
+            i = int(np.argmax(np.where(outside, best, -2)))
+            outside[i] = False
+            if best[i] >= SIMILARITY - MARGIN:
+                pair(int(to[i]), i)
+            closer = outside & (similar[i] > best)
+            best[closer], to[closer] = similar[i][closer], i
+        taken_a, taken_b = out_a[before:], out_b[before:]
+        if not taken_a:
+            break
+        similar[taken_a, taken_b] = similar[taken_b, taken_a] = -1
     left, leaders = np.ones(n, bool), []
     follows = alike.sum(axis=1)
     while left.any():
@@ -210,7 +219,7 @@ def _group_pairs(sig: np.ndarray, label: np.ndarray,
     return leaders, out_a, out_b
 
 
-def _pairs_of_group(split: bool):
+def _pairs_of_group(split: bool, forests: int):
     """Pairs of one group by text key; ``b`` is null in rows for the leaders of a group
     that was dealt to several tasks."""
     def run(group: pa.Table) -> pa.Table:
@@ -222,7 +231,7 @@ def _pairs_of_group(split: bool):
         lists = group.column("failed").to_pylist()
         failed = [[int(j) for j in np.flatnonzero(np.isin(k, lists[i]))] if lists[i] else []
                   for i in order.tolist()]
-        leaders, first, second = _group_pairs(sig, label, failed)
+        leaders, first, second = _group_pairs(sig, label, failed, forests)
         first, second = np.array(first, np.int64), np.array(second, np.int64)
         low, high = np.minimum(k[first], k[second]), np.maximum(k[first], k[second])
         more = leaders if split else []
@@ -239,7 +248,7 @@ def band_groups(nodes: DataFrame) -> DataFrame:
     return written(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "bands")
 
 
-def candidate_pairs(rows: DataFrame, members: DataFrame) -> DataFrame:
+def candidate_pairs(rows: DataFrame, members: DataFrame, forests: int) -> DataFrame:
     """Pairs (a < b) to verify. rows: key, k, n; members: k, sig, label, failed."""
     # Groups whose members are connected already have nothing to propose.
     labels = rows.join(members.select("k", "label"), "k").groupBy("key").agg(
@@ -253,9 +262,9 @@ def candidate_pairs(rows: DataFrame, members: DataFrame) -> DataFrame:
                  .join(members, "k"))
         schema = "key long, a long, b long"
         whole = (dealt.where("parts = 1").groupBy("key", "part")
-                 .applyInArrow(_pairs_of_group(False), schema))
+                 .applyInArrow(_pairs_of_group(False, forests), schema))
         split = (dealt.where("parts > 1").groupBy("key", "part")
-                 .applyInArrow(_pairs_of_group(True), schema))
+                 .applyInArrow(_pairs_of_group(True, forests), schema))
         got = written(whole.union(split), "pairs")
         pairs = got.where("b is not null").select("a", "b")
         found = pairs if found is None else found.union(pairs)
@@ -289,7 +298,8 @@ def near_duplicate_labels(docs: DataFrame, nodes: DataFrame, *, text_col: str,
     """(node, component) of the texts with a verified link, by their keys; None without.
 
     Pairs are proposed and verified in rounds: a round proposes pairs of different
-    components that no round has tried, and the last one finds no link.
+    components that no round has tried, and the last one has none to propose. Each takes
+    twice the forests of the one before, so groups whose pairs fail end soon.
     """
     rows = band_groups(nodes)
     # The text of each node that has a group, whatever the number of its copies.
@@ -302,22 +312,26 @@ def near_duplicate_labels(docs: DataFrame, nodes: DataFrame, *, text_col: str,
     members = nodes.select("k", "sig", F.col("k").alias("label"),
                            F.array().cast("array<long>").alias("failed"))
     links = tried = labels = None
+    forests = 1
     while True:
-        pairs = written(candidate_pairs(rows, members), "candidates")
+        pairs = written(candidate_pairs(rows, members, forests), "candidates")
+        if pairs.isEmpty():
+            return labels
         got = written(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
                       .mapInArrow(_verified(), "a long, b long, similarity double"), "verified")
         new = got.where(F.col("similarity") >= threshold - 1e-12).select("a", "b")
-        if new.isEmpty():
-            return labels
-        links = new if links is None else links.union(new)
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            labels = components(links)
         bad = got.where(F.col("similarity") < threshold - 1e-12).select("a", "b")
         tried = bad if tried is None else tried.union(bad)
-        labels = components(links)
         failed = tried.groupBy(F.col("a").alias("k")).agg(F.collect_set("b").alias("failed"))
-        members = (nodes.select("k", "sig").join(labels.withColumnRenamed("node", "k"), "k", "left")
-                   .join(failed, "k", "left").select(
-                       "k", "sig", F.coalesce("component", "k").alias("label"),
-                       F.coalesce("failed", F.array().cast("array<long>")).alias("failed")))
+        of = (nodes.select("k", "sig").withColumn("component", F.col("k")) if labels is None else
+              nodes.select("k", "sig").join(labels.withColumnRenamed("node", "k"), "k", "left"))
+        members = (of.join(failed, "k", "left").select(
+            "k", "sig", F.coalesce("component", "k").alias("label"),
+            F.coalesce("failed", F.array().cast("array<long>")).alias("failed")))
+        forests *= 2
 
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",

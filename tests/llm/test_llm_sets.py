@@ -89,6 +89,22 @@ def test_group_pairs_keep_components():
     assert all(len(set(label[which == c])) == 1 for c in range(5)) and len(set(label)) == 5
 
 
+def test_near_duplicates_whose_first_pairs_fail(spark):
+    from reviewlake.llm.near_dup import near_duplicate_classes
+    # Seed 6: A-B and B-C are estimated higher than A-C, and A-C alone is at least 0.8.
+    r = random.Random(6)
+    a = [f"w{r.randrange(10**9)}" for _ in range(400)]
+    at = r.sample(range(10, 390, 10), 9)
+    b, c = a[:], a[:]
+    for n, i in enumerate(at):
+        b[i] = f"b{i}"
+        if n < 8:
+            c[i] = f"c{i}"
+    rows = [(k, " ".join(t)) for k, t in enumerate((a, b, c))]
+    got = near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id: x.class_id for x in got.collect()} == {0: 0, 1: 1, 2: 0}
+
+
 def test_components(spark):
     from reviewlake.llm.components import components
     r = random.Random(1)
