@@ -9,8 +9,8 @@ Jaccard similarity of the sets.
 
 Texts that share a band of registers meet in a group; within it, whole signatures
 are compared, and only the pairs of a spanning forest and of a few stars go on, at
-most two per text, not all. Groups beyond ``GROUP`` texts are dealt to several tasks
-and their leaders meet again. Pairs are verified on the
+most two per text, not all. Groups beyond ``GROUP`` texts are cut into parts of about
+``GROUP``, and every two parts meet in a task of their own. Pairs are verified on the
 whole texts by the exact probability Jaccard similarity; classes are the
 connected components of verified pairs. Equal texts meet once, as one node.
 
@@ -42,10 +42,12 @@ BANDS, BAND_ROWS = 28, 6
 REGISTERS = BANDS * BAND_ROWS
 #: Four standard deviations of the estimate at similarity 0.8.
 MARGIN = 0.125
-#: Texts of a group that one task compares; doubled from one level to the next.
+#: Texts of a part of a group; a task compares two parts at most.
 GROUP = 1024
 
 NULL_ID = -(2 ** 63)
+#: A task's band key and parts.
+TASK = ["key", "low", "high"]
 SKETCH_SCHEMA = "id long, k long, sig binary, bands array<long>"
 
 
@@ -219,9 +221,8 @@ def _group_pairs(sig: np.ndarray, label: np.ndarray, failed: list[list[int]],
     return leaders, out_a, out_b
 
 
-def _pairs_of_group(split: bool, forests: int):
-    """Pairs of one group by text key; ``b`` is null in rows for the leaders of a group
-    that was dealt to several tasks."""
+def _pairs_of_group(forests: int):
+    """Pairs of one task by text key."""
     def run(group: pa.Table) -> pa.Table:
         k = group.column("k").to_numpy()
         order = np.argsort(k)
@@ -231,48 +232,62 @@ def _pairs_of_group(split: bool, forests: int):
         lists = group.column("failed").to_pylist()
         failed = [[int(j) for j in np.flatnonzero(np.isin(k, lists[i]))] if lists[i] else []
                   for i in order.tolist()]
-        leaders, first, second = _group_pairs(sig, label, failed, forests)
+        _, first, second = _group_pairs(sig, label, failed, forests)
         first, second = np.array(first, np.int64), np.array(second, np.int64)
-        low, high = np.minimum(k[first], k[second]), np.maximum(k[first], k[second])
-        more = leaders if split else []
         return pa.table({
-            "key": pa.array([group.column("key")[0].as_py()] * (len(low) + len(more)), pa.int64()),
-            "a": pa.array(np.concatenate([low, k[np.array(more, np.int64)]]), pa.int64()),
-            "b": pa.array([*high.tolist(), *[None] * len(more)], pa.int64())})
+            **{c: pa.array([group.column(c)[0].as_py()] * len(first), pa.int64()) for c in TASK},
+            "a": pa.array(np.minimum(k[first], k[second]), pa.int64()),
+            "b": pa.array(np.maximum(k[first], k[second]), pa.int64())})
     return run
 
 
 def band_groups(nodes: DataFrame) -> DataFrame:
-    """(key, k, n): the texts that share a band with another, written. nodes: k, bands."""
+    """(key, k, parts, part): the texts that share a band with another, and the part of
+    their group that they are in, written. nodes: k, bands."""
     rows = nodes.select("k", F.explode("bands").alias("key"))
-    return written(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "bands")
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / GROUP).alias("parts"), F.count("*").alias("n"))
+    return written(rows.join(sizes.where("n > 1"), "key")
+                   .select("key", "k", "parts", part_of("k", "parts").alias("part")), "bands")
 
 
-def candidate_pairs(rows: DataFrame, members: DataFrame, forests: int) -> DataFrame:
-    """Pairs (a < b) to verify. rows: key, k, n; members: k, sig, label, failed."""
-    # Groups whose members are connected already have nothing to propose.
-    labels = rows.join(members.select("k", "label"), "k").groupBy("key").agg(
+def part_of(k: str, parts: str):
+    return F.pmod(F.xxhash64(k, F.lit(GROUP)), F.col(parts))
+
+
+def open_tasks(rows: DataFrame, labels: DataFrame, across: bool) -> DataFrame:
+    """(key, low, high): the parts, or if ``across`` the pairs of parts, of each group whose
+    members are not connected already. rows: key, k, parts, part; labels: k, label."""
+    ends = rows.join(labels, "k").groupBy("key", "parts", "part").agg(
         F.min("label").alias("least"), F.max("label").alias("most"))
-    rows = rows.join(labels.where("least <> most").select("key"), "key", "left_semi")
-    found, size = None, GROUP
-    while True:
-        parts = F.ceil(F.col("n") / size)
-        dealt = (rows.withColumn("parts", parts)
-                 .withColumn("part", F.pmod(F.xxhash64("k", F.lit(size)), F.col("parts")))
-                 .join(members, "k"))
-        schema = "key long, a long, b long"
-        whole = (dealt.where("parts = 1").groupBy("key", "part")
-                 .applyInArrow(_pairs_of_group(False, forests), schema))
-        split = (dealt.where("parts > 1").groupBy("key", "part")
-                 .applyInArrow(_pairs_of_group(True, forests), schema))
-        got = written(whole.union(split), "pairs")
-        pairs = got.where("b is not null").select("a", "b")
-        found = pairs if found is None else found.union(pairs)
-        leaders = got.where("b is null").select("key", F.col("a").alias("k"))
-        if leaders.isEmpty():
-            return found.distinct()
-        size *= 2
-        rows = leaders.join(leaders.groupBy("key").agg(F.count("*").alias("n")), "key")
+    if not across:
+        return ends.where("least <> most").select("key", F.col("part").alias("low"), F.col("part").alias("high"))
+    ends = written(ends, "parts")
+    one = ends.where("parts = 1 and least <> most").select(
+        "key", F.col("part").alias("low"), F.col("part").alias("high"))
+    many = ends.where("parts > 1")
+    low = many.select("key", F.col("part").alias("low"), F.col("least").alias("l"), F.col("most").alias("m"))
+    high = many.select("key", F.col("part").alias("high"), "least", "most")
+    return one.union(low.join(high, "key").where("low < high and least(l, least) <> greatest(m, most)")
+                     .select(*TASK))
+
+
+def candidate_pairs(rows: DataFrame, members: DataFrame, forests: int, across: bool = True,
+                    last: DataFrame | None = None) -> DataFrame:
+    """Pairs (a < b) to verify, with the task (key, low, high) that found them; written.
+    rows: key, k, parts, part; members: k, sig, label, failed.
+
+    A task holds two parts at most. Every two members of a group meet in a task if
+    ``across``; else those of one part. A task without a pair among those of ``last``, the
+    round before, has none left.
+    """
+    tasks = open_tasks(rows, members.select("k", "label"), across)
+    if last is not None:
+        tasks = tasks.join(last.select(*TASK).distinct(), TASK, "left_semi")
+    part = F.explode(F.array_distinct(F.array("low", "high"))).alias("part")
+    dealt = (rows.join(tasks.select(*TASK, part), ["key", "part"]).join(members, "k")
+             .select(*TASK, "k", "sig", "label", "failed"))
+    return written(dealt.groupBy(*TASK).applyInArrow(
+        _pairs_of_group(forests), "key long, low long, high long, a long, b long"), "pairs")
 
 
 def _verified():
@@ -299,7 +314,8 @@ def near_duplicate_labels(docs: DataFrame, nodes: DataFrame, *, text_col: str,
 
     Pairs are proposed and verified in rounds: a round proposes pairs of different
     components that no round has tried, and the last one has none to propose. Each takes
-    twice the forests of the one before, so groups whose pairs fail end soon.
+    twice the forests of the one before, so groups whose pairs fail end soon. Large groups
+    begin with the pairs inside a part, so that later the parts are connected mostly.
     """
     rows = band_groups(nodes)
     # The text of each node that has a group, whatever the number of its copies.
@@ -312,11 +328,18 @@ def near_duplicate_labels(docs: DataFrame, nodes: DataFrame, *, text_col: str,
     members = nodes.select("k", "sig", F.col("k").alias("label"),
                            F.array().cast("array<long>").alias("failed"))
     links = tried = labels = None
-    forests = 1
+    forests, last = 1, None
+    across = rows.where("parts > 1").isEmpty()
     while True:
-        pairs = written(candidate_pairs(rows, members, forests), "candidates")
-        if pairs.isEmpty():
-            return labels
+        proposed = candidate_pairs(rows, members, forests, across, last)
+        last = proposed if across else None
+        if proposed.isEmpty():
+            if across:
+                return labels
+            across = True
+            continue
+        across = True
+        pairs = proposed.select("a", "b").distinct()
         got = written(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
                       .mapInArrow(_verified(), "a long, b long, similarity double"), "verified")
         new = got.where(F.col("similarity") >= threshold - 1e-12).select("a", "b")

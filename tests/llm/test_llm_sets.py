@@ -105,6 +105,54 @@ def test_near_duplicates_whose_first_pairs_fail(spark):
     assert {x.doc_id: x.class_id for x in got.collect()} == {0: 0, 1: 1, 2: 0}
 
 
+def _rounds(spark, sigs):
+    """Classes of signatures that share one band, pairs verified by the signatures themselves,
+    and the largest number of texts among the pairs of a task."""
+    from reviewlake.llm.near_dup import band_groups, candidate_pairs
+    n = len(sigs)
+    nodes = spark.createDataFrame([(k, bytearray(s.tobytes()), [5]) for k, s in enumerate(sigs)],
+                                  "k long, sig binary, bands array<long>")
+    rows, label, failed, most = band_groups(nodes), list(range(n)), [[] for _ in range(n)], 0
+    while True:
+        state = spark.createDataFrame(list(zip(range(n), label, failed, strict=True)),
+                                      "k long, label long, failed array<long>")
+        got = candidate_pairs(rows, nodes.select("k", "sig").join(state, "k"), 4).collect()
+        if not got:
+            return label, most
+        tasks = {}
+        for x in got:
+            tasks.setdefault(tuple(x[:-2]), set()).update((x.a, x.b))
+            if (sigs[x.a] == sigs[x.b]).mean() >= 0.8:
+                old, new = sorted((label[x.a], label[x.b]), reverse=True)
+                label = [new if v == old else v for v in label]
+            else:
+                failed[x.a].append(x.b)
+        most = max(most, *map(len, tasks.values()))
+
+
+def test_large_groups_meet_part_by_part(spark, monkeypatch):
+    import numpy as np
+
+    from reviewlake.llm import near_dup
+    monkeypatch.setattr(near_dup, "GROUP", 16)
+    r = np.random.default_rng(1)
+
+    def changed(sig, registers):
+        out = sig.copy()
+        out[registers] = r.integers(0, 60000, len(registers))
+        return out
+    # Two families joined by X and Y alone, which are no leaders of their stars.
+    one = r.integers(0, 60000, near_dup.REGISTERS).astype(np.uint16)
+    x = changed(one, np.arange(25))
+    y = changed(x, np.arange(25, 42))
+    two = changed(y, np.arange(42, 67))
+    sigs = [changed(one, 70 + r.integers(0, 90, 3)) for _ in range(20)]
+    sigs += [changed(two, 70 + r.integers(0, 90, 3)) for _ in range(20)]
+    for k in range(4):          # whichever parts X and Y fall in
+        label, _ = _rounds(spark, [*sigs, x, *[one] * k, y])
+        assert len(set(label)) == 1
+
+
 def test_components(spark):
     from reviewlake.llm.components import components
     r = random.Random(1)
