@@ -284,8 +284,11 @@ def candidate_pairs(rows: DataFrame, members: DataFrame, forests: int, across: b
     if last is not None:
         tasks = tasks.join(last.select(*TASK).distinct(), TASK, "left_semi")
     part = F.explode(F.array_distinct(F.array("low", "high"))).alias("part")
+    # Members of one task alone among the failed ones: those of other parts are not in it.
+    failed = F.filter("failed", lambda j: F.pmod(F.xxhash64(j, F.lit(GROUP)), F.col("parts"))
+                      .isin(F.col("low"), F.col("high")))
     dealt = (rows.join(tasks.select(*TASK, part), ["key", "part"]).join(members, "k")
-             .select(*TASK, "k", "sig", "label", "failed"))
+             .select(*TASK, "k", "sig", "label", failed.alias("failed")))
     return written(dealt.groupBy(*TASK).applyInArrow(
         _pairs_of_group(forests), "key long, low long, high long, a long, b long"), "pairs")
 

@@ -153,6 +153,27 @@ def test_large_groups_meet_part_by_part(spark, monkeypatch):
         assert len(set(label)) == 1
 
 
+def test_tasks_hold_two_parts_at_most(spark, monkeypatch):
+    import numpy as np
+
+    from reviewlake.llm import near_dup
+    monkeypatch.setattr(near_dup, "GROUP", 16)
+    r = np.random.default_rng(2)
+    # Copies edited independently from one template, about 0.7 to each other: no pair links.
+    template = r.integers(0, 60000, near_dup.REGISTERS)
+    sigs = [np.where(r.random(near_dup.REGISTERS) < 0.16, r.integers(0, 60000, near_dup.REGISTERS),
+                     template).astype(np.uint16) for _ in range(150)]
+    label, most = _rounds(spark, sigs)
+    alike = np.array([[(a == b).mean() >= 0.8 for b in sigs] for a in sigs])
+    want = np.arange(len(sigs))
+    for i, j in np.argwhere(alike):
+        want[want == want[i]] = want[j]
+    assert Counter(Counter(label).values()) == Counter(Counter(want.tolist()).values())
+    parts = Counter(x.part for x in near_dup.band_groups(spark.createDataFrame(
+        [(k, [5]) for k in range(len(sigs))], "k long, bands array<long>")).collect())
+    assert most <= sum(sorted(parts.values())[-2:]) < 4 * 16
+
+
 def test_components(spark):
     from reviewlake.llm.components import components
     r = random.Random(1)
