@@ -26,7 +26,7 @@ from reviewlake.llm.suffix_dedup import cut_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return keep_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"), toxic_col="toxic"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

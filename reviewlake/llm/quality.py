@@ -3,11 +3,15 @@
 Rules and features are computed on the bytes of each text in Arrow batches.
 The regression sees relative frequencies of hashed word 1- and 2-grams and of
 character 3- and 4-grams (bytes, A-Z lower-cased); its margin is turned into a
-probability by Platt scaling on labelled rows that it was not fitted on.
+probability by Platt scaling on labelled rows that it was not fitted on. Given a
+toxicity label, a second head learns it from the words (runs of letters and digits) that
+are present, however long the text: smoothed log-odds of those that tell, calibrated
+alike. A text is rejected by either; the probability is then the lesser of being good
+and of not being toxic.
 
 Defined cases: a null text has no words and fails the base rules; rows are
 judged one by one, so repeated ids give repeated results; a label table that is
-empty or holds one class gives no model, and then the base rules decide alone;
+empty or holds one class gives no head, and without any the base rules decide alone;
 null labels are ignored, repeated labels of an id are averaged; empty tables
 give empty results; columns other than id and text are never looked at.
 """
@@ -15,11 +19,11 @@ give empty results; columns other than id and text are never looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.llm.textbytes import (LOWER, WHITE, Chunk, byte_prefix_hash, chunks, mix, owners,
@@ -42,9 +46,13 @@ ITERATIONS = 60
 L2 = 1e-6
 #: Relative frequencies are small numbers; this brings them to about 1.
 FEATURE_SCALE = 32.0
+#: A word tells of toxicity if its count among toxic rows is so many standard deviations off.
+TELLING = 5.0
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
+_IS_LETTER = np.zeros(256, bool)
+_IS_LETTER[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = _IS_LETTER[128:] = True
 
 RESULT_SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
                  "n_repeat_words long, base_failed boolean, kept boolean, probability double")
@@ -58,6 +66,10 @@ class QualityModel:
     bias: float
     slope: float
     offset: float
+    #: Whether it sums the weights of the words present, or relative frequencies of all features.
+    presence: bool = False
+    #: A model of being not toxic, or none.
+    other: QualityModel | None = None
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.offset, -60, 60)))
@@ -123,7 +135,19 @@ def _window_bounds(bounds: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(np.maximum(np.diff(bounds) - width + 1, 0))))
 
 
+def words_present(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct word buckets of each text: text, bucket; by text."""
+    data = LOWER[chunk.data]
+    starts, ends, bounds = spans(_IS_LETTER[data], chunk.offs)
+    bucket = span_hash(byte_prefix_hash(data), starts, ends) >> np.uint64(64 - BUCKET_BITS)
+    each = np.unique(owners(bounds) << BUCKET_BITS | bucket.astype(np.int64))
+    return each >> BUCKET_BITS, each & ((1 << BUCKET_BITS) - 1)
+
+
 def margins(chunk: Chunk, model: QualityModel) -> np.ndarray:
+    if model.presence:
+        text, bucket = words_present(chunk)
+        return model.bias + np.bincount(text, weights=model.weights[bucket], minlength=len(chunk))
     out = np.full(len(chunk), model.bias)
     for bucket, bounds in feature_families(chunk):
         total = np.concatenate(([0.0], np.cumsum(model.weights[bucket], dtype=np.float64)))
@@ -132,12 +156,18 @@ def margins(chunk: Chunk, model: QualityModel) -> np.ndarray:
     return out
 
 
+def probabilities(chunk: Chunk, model: QualityModel) -> np.ndarray:
+    """The least probability of the model and the other one with it."""
+    own = model.probability(margins(chunk, model))
+    return np.minimum(own, probabilities(chunk, model.other)) if model.other else own
+
+
 def judge(texts: pa.Array, model: QualityModel | None) -> dict[str, np.ndarray]:
     """All result columns but the id, for one Arrow batch of texts."""
     parts: list[dict[str, np.ndarray]] = []
     for chunk in chunks(texts):
         part = rule_counts(chunk)
-        part["probability"] = model.probability(margins(chunk, model)) if model \
+        part["probability"] = probabilities(chunk, model) if model \
             else np.full(len(chunk), np.nan)
         parts.append(part)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "probability")
@@ -221,6 +251,48 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.array([b]), pa.array([slope]), pa.array([offset])], ["w", "b", "slope", "shift"])
 
 
+def _present_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for chunk in chunks(batch.column(2)):
+            text, bucket = words_present(chunk)
+            at = np.searchsorted(text, np.arange(len(chunk) + 1))
+            here = slice(chunk.first, chunk.first + len(chunk))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0)[here], batch.column(1)[here],
+                pa.array([bucket[i:j].astype(np.int32).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)],
+                         pa.binary())], ["label", "held", "features"])
+
+
+def _fit_present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Log-odds of the words that tell, and their calibration: one row of parameters, or none."""
+    label, held, features = [], [], []
+    for batch in batches:
+        label += batch.column(0).to_pylist()
+        held += batch.column(1).to_pylist()
+        features += [np.frombuffer(b, np.int32) for b in batch.column(2).to_pylist()]
+    good, held = np.array(label) > 0.5, np.array(held, bool)
+    if len(set(good[~held])) < 2:
+        return
+
+    def seen(rows: np.ndarray) -> np.ndarray:
+        own = [features[i] for i in np.flatnonzero(rows)]
+        return np.bincount(np.concatenate(own), minlength=1 << BUCKET_BITS)
+
+    clean, toxic = seen(good & ~held), seen(~good & ~held)
+    n, m = (good & ~held).sum(), (~good & ~held).sum()
+    share = m / (n + m)
+    both = clean + toxic
+    off = (toxic - share * both) / np.sqrt(np.maximum(both, 1) * share * (1 - share))
+    w = np.where(np.abs(off) >= TELLING, np.log((clean + 1 - share) / n) - np.log((toxic + share) / m), 0.0)
+    calibrate = np.flatnonzero(held)
+    if len(set(good[calibrate])) < 2:
+        calibrate = np.flatnonzero(~held)
+    slope, offset = _platt(np.array([w[features[i]].sum() for i in calibrate]), good[calibrate])
+    yield pa.RecordBatch.from_arrays([
+        pa.array([w.astype(np.float32).tobytes()], pa.binary()),
+        pa.array([0.0]), pa.array([slope]), pa.array([offset])], ["w", "b", "slope", "shift"])
+
+
 def _platt(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     """Newton steps for sigmoid(slope * margin + offset), with Platt's smoothed targets."""
     n_good, n_bad = good.sum(), (~good).sum()
@@ -239,28 +311,40 @@ def _platt(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
-                text_col: str = "text", label_col: str = "quality",
+                text_col: str = "text", label_col: str = "quality", toxic_col: str | None = None,
                 max_train_rows: int = MAX_TRAIN_ROWS) -> QualityModel | None:
-    """Fit the classifier on a bounded sample of labelled rows.
+    """Fit the classifier, and with ``toxic_col`` a second one of texts that are not toxic,
+    each on its own bounded sample of labelled rows; None if neither has two classes."""
+    fits = [_fit_column(docs, labels, F.col(label_col).cast("double"), id_col, text_col, max_train_rows)]
+    if toxic_col:
+        fits.append(_fit_column(docs, labels, 1 - F.col(toxic_col).cast("double"), id_col, text_col,
+                                max_train_rows, presence=True))
+    first, *others = [m for m in fits if m] or [None]
+    return replace(first, other=others[0]) if others else first
+
+
+def _fit_column(docs: DataFrame, labels: DataFrame, label: Column, id_col: str, text_col: str,
+                max_train_rows: int, presence: bool = False) -> QualityModel | None:
+    """Fit one head on a bounded sample of labelled rows.
 
     The sample is the ``max_train_rows`` labelled ids of lowest hash; a quarter
     of it, by another hash, calibrates. None if one class alone is left.
     """
     order = F.xxhash64(F.lit("quality"), "id")
-    sample = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
+    sample = (labels.select(F.col(id_col).alias("id"), label.alias("label"))
               .dropna().groupBy("id").agg(F.avg("label").alias("label"))
               .orderBy(order, "id").limit(max_train_rows))
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
             .join(F.broadcast(sample), "id")     # at most max_train_rows ids
             .select("label", (F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(4)) == 0).alias("held"),
                     "text"))
-    fitted = (rows.mapInArrow(_sparse_rows, "label double, held boolean, features binary")
+    fitted = (rows.mapInArrow(_present_rows if presence else _sparse_rows, "label double, held boolean, features binary")
               .repartition(1)
-              .mapInArrow(_fit, "w binary, b double, slope double, shift double").collect())
+              .mapInArrow(_fit_present if presence else _fit, "w binary, b double, slope double, shift double").collect())
     if not fitted:
         return None
     r = fitted[0]
-    return QualityModel(np.frombuffer(r.w, np.float32), r.b, r.slope, r.shift)
+    return QualityModel(np.frombuffer(r.w, np.float32), r.b, r.slope, r.shift, presence)
 
 
 # -- scoring ---------------------------------------------------------------

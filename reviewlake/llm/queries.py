@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None):
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewlake.llm.quality import fit_quality, score_quality
     docs = table(spark, sf_dir, "documents")
-    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"), toxic_col="toxic"))
 
 
 def byte_bpe_path() -> str:

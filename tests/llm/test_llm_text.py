@@ -97,6 +97,20 @@ def test_quality_held_out_accuracy(spark):
     assert r["right"] > 0.97 and r["keeps"] > 0.97
 
 
+def test_op8_rejects_held_out_toxic_texts(spark, tmp_path):
+    from reviewlake.llm.queries import QUERIES
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    fifth = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(5)) == 0
+    docs.join(labels, "doc_id", "left_semi").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.where(~fifth).write.parquet(f"{tmp_path}/labels.parquet")
+    judged = QUERIES["op8_quality_rules"](spark, str(tmp_path)).join(labels.where(fifth), "doc_id").where(
+        "not base_failed and quality = 1")
+    kept = {r.toxic: (r.kept, r.n) for r in judged.groupBy("toxic").agg(
+        F.avg(F.col("kept").cast("double")).alias("kept"), F.count("*").alias("n")).collect()}
+    assert kept[1][0] < 0.25 and kept[0][0] > 0.97
+
+
 def brute_spans(rows, width=50):
     order = lambda i: -1 if i is None else i
     first = {}
