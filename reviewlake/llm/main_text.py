@@ -5,8 +5,9 @@ do). Elements that are never article text by their tag, role or name are cut out
 Every remaining paragraph earns points for its length and commas and passes them to
 its ancestors, in full to the parent and less with each level; an element's score is
 its points times its share of text outside links. The best element is the container
-(or the article or main element around it); of its siblings those that score well
-too, and a heading before it, are kept with it.
+(or the article or main element around it, or the elements that hold no other text);
+of its siblings those without a link are kept with it, of the others those that score
+well too, and a heading before it.
 
 Blocks are the texts between block-level tags, character references decoded,
 white space turned into one space, trimmed, joined by line ends in page order.
@@ -212,16 +213,20 @@ def main_blocks(page: str) -> list[str]:
         best = around
     if best.tag in ("body", "html", "#root") or best.parent is None:
         return _blocks([best])
-    least = max(10.0, 0.2 * scores.get(id(best), 0.0))
+    while around is None and best.parent.tag not in ("body", "html", "#root") \
+            and best.parent.length == best.length:
+        best = best.parent      # a wrapper without other text
+    least = 0.2 * scores.get(id(best), 0.0)
     siblings = [c for c in best.parent.children if type(c) is Node and not c.cut]
     at = siblings.index(best)
     kept = []
     for i, c in enumerate(siblings):
         dense = c.length and c.linked / c.length > 0.33
+        plain = c.length and not c.linked
         long_p = c.tag in PARAGRAPHS and c.length > 80 and not dense
         heading = i == at - 1 and c.tag in ("h1", "h2")
         same = c.tag == best.tag and c.tag != "article" or c.tag in ("div", "section")
-        if c is best or heading or long_p or (same and scores.get(id(c), 0.0) >= least and not dense):
+        if c is best or heading or plain or long_p or (same and scores.get(id(c), 0.0) >= least and not dense):
             kept.append(c)
     return _blocks(kept)
 

@@ -309,6 +309,18 @@ def test_main_blocks(page, want):
     assert main_blocks(page) == want
 
 
+@pytest.mark.parametrize("size", [20, 150])
+def test_main_blocks_of_two_wrappers(size):
+    from reviewlake.llm.main_text import main_blocks
+    text = ["".join(f"{n}{i}" for i in range(size // 2)) + ", x" for n in "abcdef"]
+    p = [f"<p>{t}</p>" for t in text]
+    menu = "<ul><li><a href=/x>one</a><li><a href=/x>two</a><li><a href=/x>three</a></ul>"
+    body = f"<div><div>{''.join(p[:4])}</div></div><div>{''.join(p[4:])}</div><p>Short.</p><ul><li>item</ul>"
+    want = [*text, "Short.", "item"]
+    assert main_blocks(f"<body>{menu}{body}<div class=sidebar><p>Side, bar, bar</p></div></body>") == want
+    assert main_blocks(f"<body>{menu}<div class=page>{menu}{body}</div></body>") == want
+
+
 def test_main_texts_rows(spark):
     from reviewlake.llm.main_text import main_texts
     rows = [(1, "u", None), (1, "u", None), (None, None, "<p>é x</p>"), (2, "v", "<p>" + "w, " * 50000)]
