@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reviewlake.llm.conversation_repair import oracle_sql as conversation_repair_sql
 from reviewlake.llm.storage import table
 from reviewlake.llm.url_filter import oracle_sql as url_filter_sql
 
@@ -88,3 +89,9 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewlake.llm.quotations import reply_conversations
     return reply_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_conversation_repair", conversation_repair_sql())
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.conversation_repair import repair_damaged
+    return repair_damaged(table(spark, sf_dir, "conversations"))
