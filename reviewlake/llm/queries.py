@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewlake.llm.conversation_repair import oracle_sql as conversation_repair_sql
+from reviewlake.llm.patricia import oracle_sql as exact_dedup_sql
 from reviewlake.llm.storage import table
 from reviewlake.llm.url_filter import oracle_sql as url_filter_sql
 
@@ -95,3 +96,9 @@ def quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewlake.llm.conversation_repair import repair_damaged
     return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_exact_dedup", exact_dedup_sql())
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.patricia import exact_duplicates
+    return exact_duplicates(table(spark, sf_dir, "documents"))

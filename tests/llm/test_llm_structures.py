@@ -134,3 +134,81 @@ def test_chart_cells_of_a_split_are_those_of_any_other():
     for k in range(1, 9):
         assert combine(parse(leaves[:k]), parse(leaves[k:])) == whole
     assert deleted(6) == parse([row_cells("", "blank")] * 6)
+
+
+# -- exact copies ----------------------------------------------------------
+
+def copies(seed=1, n=300):
+    r = random.Random(seed)
+    base = [None, "", " ", "a", "a b", "a  b", "a\t\nb", " a b", "ab", "abc", "abcd", "é", "e\u0301", "x" * 70_000]
+    base += [" ".join(r.choice(["same", "start", "of", "text", "é"]) for _ in range(r.randint(1, 12))) for _ in range(60)]
+    rows = [(i, r.choice(base[:4] * 9 + base)) for i in range(n)]
+    return rows + rows[:20] + [(None, "a b"), (None, "only here"), (None, "only here")]
+
+
+def brute_copies(rows):
+    groups = defaultdict(list)
+    for doc, text in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", text or "")].append(doc)
+    out = Counter()
+    for text, docs in groups.items():
+        docs.sort(key=lambda d: (d is None, d))
+        for k, doc in enumerate(docs):
+            out[doc, docs[0], len(docs), k == 0, hashlib.sha256(text.encode()).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("budget", [1 << 26, 3000])
+def test_exact_duplicates(spark, monkeypatch, budget):
+    from reviewlake.llm import patricia
+    monkeypatch.setattr(patricia, "PARTITION_BYTES", 40_000)
+    rows = copies()
+    random.Random(2).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("keep_id", F.lit("x"))
+    got = patricia.exact_duplicates(docs.repartition(5), trie_bytes=budget)
+    assert Counter(map(tuple, got.collect())) == brute_copies(rows)
+    assert patricia.exact_duplicates(docs.limit(0)).isEmpty()
+
+
+def test_copies_of_one_text_are_dealt_to_several_tasks(spark, monkeypatch):
+    from reviewlake.llm import patricia
+    monkeypatch.setattr(patricia, "COPY_BYTES", 100)
+    rows = [(i, "the same text of forty bytes or a few more") for i in range(90)] + [(100 + i, f"other {i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(30)
+    texts = spark.createDataFrame([(o, 42, 5, bytearray(b"t" * 42), o, 1) for o in range(40)],
+                                  "owner long, length long, hash long, text binary, least long, n long")
+    assert patricia.salted_copies(texts).agg(F.max("salts")).first()[0] == 17
+    assert {(r.owner, r.least, r.n) for r in patricia.owners(texts, 4).collect()} == {(o, 0, 40) for o in range(40)}
+    assert Counter(map(tuple, patricia.exact_duplicates(docs).collect())) == brute_copies(rows)
+
+
+def test_trie_against_a_dict():
+    from reviewlake.llm.patricia import Trie
+    r = random.Random(6)
+    for budget in (10 ** 9, 6000, 1500):
+        trie, inside, outside = Trie(), {}, set()
+        for _ in range(3000):
+            key = bytes(r.choice(b"ab") for _ in range(r.randint(0, 9))) * r.choice([1, 1, 20])
+            got = trie.insert(key, lambda key=key: key)
+            assert got in (key, None)
+            if got is None:
+                outside.add(key)
+            else:
+                assert key not in outside
+                inside[key] = True
+            while trie.root.weight > budget:
+                gone = list(trie.spill())
+                if not gone:
+                    break
+                for k, v in gone:
+                    assert k == v and inside.pop(k)
+                    outside.add(k)
+        left = list(trie.items())
+        assert sorted(left) == sorted(inside) and not outside & set(inside) and left
+        assert budget < 10 ** 9 or not outside
+
+        def weight(node):
+            from reviewlake.llm.patricia import NODE_BYTES
+            assert node.weight == NODE_BYTES + len(node.label) + sum(weight(c) for c in node.children.values())
+            return node.weight
+        weight(trie.root)
