@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reviewlake.llm.collocations import oracle_sql as collocations_sql
 from reviewlake.llm.conversation_repair import oracle_sql as conversation_repair_sql
 from reviewlake.llm.patricia import oracle_sql as exact_dedup_sql
 from reviewlake.llm.storage import table
@@ -94,7 +95,8 @@ def quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op13_conversation_repair", conversation_repair_sql())
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from reviewlake.llm.conversation_repair import repair_damaged
+    from reviewlake.llm.collocations import oracle_sql as collocations_sql
+from reviewlake.llm.conversation_repair import repair_damaged
     return repair_damaged(table(spark, sf_dir, "conversations"))
 
 
@@ -102,3 +104,9 @@ def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewlake.llm.patricia import exact_duplicates
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_collocations", collocations_sql())
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewlake.llm.collocations import collocations
+    return collocations(table(spark, sf_dir, "documents"))

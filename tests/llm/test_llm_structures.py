@@ -212,3 +212,89 @@ def test_trie_against_a_dict():
             assert node.weight == NODE_BYTES + len(node.label) + sum(weight(c) for c in node.children.values())
             return node.weight
         weight(trie.root)
+
+
+# -- collocations ----------------------------------------------------------
+
+def brute_collocations(rows, least, top):
+    counts, n = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\\x0A-\\x0D]", text):
+            w = re.findall("[^\\x20\\x09]+", piece)
+            n[lang] += len(w)
+            for m in range(1, 6):
+                counts[lang].update(tuple(w[i:i + m]) for i in range(len(w) - m + 1))
+    out = {}
+    for lang, f in counts.items():
+        held, scored = {}, []
+        found = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        for p, a in found.items():
+            for i, j in itertools.combinations(range(len(p) + 1), 2):
+                if 2 <= j - i < len(p):
+                    held[p[i:j]] = max(held.get(p[i:j], 0), a)
+        for p, a in found.items():
+            if 100 * held.get(p, 0) >= 100 * a:
+                continue
+            score, k = min((1000 * a * n[lang] // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            scored.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out |= {(lang, i + 1): (p.decode(), -a, left, right, n[lang], -score)
+                for i, (score, a, p, left, right) in enumerate(sorted(scored)[:top])}
+    return out
+
+
+def speech(seed, n):
+    r = random.Random(seed)
+    words = ["The", "of", "ti", "on", "é", "a\u00a0b", "x" * 30] + [f"w{i}" for i in range(25)]
+    weights = [60, 30, 9, 9, 9, 4, 2] + [3] * 25
+    langs = ["en", "en", "en", "de", None, "und"]
+    rows = []
+    for _ in range(n):
+        text = "".join(w + r.choice([" ", " ", " ", "  ", "\t", ". ", ", ", "\n", "!"])
+                       for w in r.choices(words, weights, k=r.randint(0, 40)))
+        if r.random() < .2:
+            text += "as a matter of fact we SAY the the the the."
+        rows.append((r.choice(langs), text))
+    return rows + rows[:9] + [("en", None), ("en", ""), ("en", " ..\n"), ("xx", "only"), ("xx", "of " * 500)]
+
+
+@pytest.mark.parametrize("block", [1 << 23, 900])
+def test_collocations(spark, monkeypatch, block):
+    from reviewlake.llm import collocations as c
+    monkeypatch.setattr(c, "BLOCK_BYTES", block)
+    monkeypatch.setattr(c, "PART_BYTES", block)
+    rows = speech(1, 400)
+    docs = spark.createDataFrame(rows, "lang string, text string").withColumn("rank", F.lit("x")).repartition(3)
+    for least, top in ((5, 10 ** 6), (12, 20)):
+        got = {(r.lang, r["rank"]): tuple(r)[2:] for r in c.collocations(docs, min_count=least, top=top).collect()}
+        assert got == brute_collocations(rows, least, top)
+    assert c.collocations(docs.limit(0)).isEmpty()
+
+
+def test_hot_prefixes_are_cut_by_the_following_word(spark, monkeypatch):
+    from reviewlake.llm import collocations as c
+    monkeypatch.setattr(c, "BLOCK_BYTES", 2000)
+    docs = spark.createDataFrame(speech(2, 200), "lang string, text string")
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    blocks = c.written(rows.mapInArrow(c._blocks, c.BLOCK_SCHEMA), "test-blocks")
+    hot = c.hot_words(blocks)
+    total = Counter()
+    for lang, text in rows.collect():
+        text = "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in text)
+        total.update((lang, w) for w in re.findall("[^\\x20\\x09\\x0A-\\x0D.,;:!?]+", text))
+    n = sum(total.values())
+    # Every word of twice the share is named, none of less, no share is too large.
+    assert {w for w, k in total.items() if k >= 2 * n * c.HOT_SHARE} <= set(hot)
+    assert all(share <= total[w] / n + 1e-12 for w, share in hot.items()) and len(hot) <= 1024
+    sent = blocks.select("block", "lang", "words", "codes").mapInArrow(c._word_stripes(hot, 64), c.STRIPE_SCHEMA)
+    salts = {(r.lang, r.prefix): r.n for r in sent.groupBy("lang", "prefix").agg(F.countDistinct("salt").alias("n")).collect()}
+    assert salts["en", "the"] > 3 and salts["en", "w3"] <= 2
+
+
+def test_collocation_scores_are_exact_beyond_64_bits(spark):
+    # What the score computes, at counts of a very large corpus.
+    a, n, left, right = 9 * 10 ** 12, 10 ** 14, 10 ** 13, 10 ** 13 - 7
+    got = spark.sql(f"SELECT (CAST(1000 * {a}L AS DECIMAL(19, 0)) * CAST({n}L AS DECIMAL(19, 0))) div "
+                    f"(CAST({left}L AS DECIMAL(19, 0)) * CAST({right}L AS DECIMAL(19, 0)))").first()[0]
+    assert got == 1000 * a * n // (left * right)
