@@ -9,8 +9,9 @@ largest extension of a phrase (what subsumes it).
 
 First the stripes of single words are merged; a merged stripe tells each block which of its
 own pairs are frequent. Words that follow a run of frequent pairs alone can make a longer
-frequent phrase, so the stripes of two to four words hold little else. Counts are exact:
-nothing is sampled, hashed or bounded, words are compared as strings.
+frequent phrase, so the second stripes, in which a word counts all that follows it for two
+to four words, hold little else: the counters of longer prefixes, nested in that of their
+first word. Counts are exact: nothing is sampled, hashed or bounded, words are compared as strings.
 
 Blocks and merged partitions hold so many bytes of text. A prefix that begins a large share
 of all pairs has its stripes cut into sub-stripes by the following word, as many as its share of
@@ -148,22 +149,23 @@ class Vocabulary:
                     self.salts[i] = max(1, n)
 
 
-def stripes(v: Vocabulary, lang: str, block: int, prefixes: pa.Array, prefix: np.ndarray, following: np.ndarray,
-            count: np.ndarray, salts: np.ndarray) -> pa.RecordBatch:
-    """The stripes of a block, from its entries: numbers of prefix and following word, counts; ``salts`` by prefix."""
-    salt = (v.hash[following] % salts[prefix].astype(np.uint64)).astype(np.int64)
+def stripes(v: Vocabulary, lang: str, block: int, prefix: np.ndarray, second: np.ndarray, nexts: pa.Array,
+            following: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """The stripes of a block, from its entries: the prefix' number, that of the word after it, what
+    follows it as a whole (a place in ``nexts``) and how often."""
+    salt = (v.hash[second] % v.salts[prefix].astype(np.uint64)).astype(np.int64)
     order = np.lexsort((salt, prefix))
     prefix, following, count, salt = prefix[order], following[order], count[order], salt[order]
     new = np.ones(len(prefix), bool)
     new[1:] = (prefix[1:] != prefix[:-1]) | (salt[1:] != salt[:-1])
     first = np.flatnonzero(new)
     bounds = np.append(first, len(prefix)).astype(np.int32)
-    nexts = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), v.words.take(pa.array(following))), " ")
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), nexts.take(pa.array(following))), " ")
     counts = pa.BinaryArray.from_buffers(pa.binary(), len(first), [
         None, pa.py_buffer((bounds * 4).astype(np.int32).tobytes()), pa.py_buffer(count.astype(np.uint32).tobytes())])
     return pa.RecordBatch.from_arrays([
-        pa.array([lang] * len(first), pa.string()), prefixes.take(pa.array(prefix[first])),
-        pa.array(salt[first].astype(np.int32)), pa.array(np.full(len(first), block)), nexts, counts],
+        pa.array([lang] * len(first), pa.string()), v.words.take(pa.array(prefix[first])),
+        pa.array(salt[first].astype(np.int32)), pa.array(np.full(len(first), block)), joined, counts],
         ["lang", "prefix", "salt", "block", "nexts", "counts"])
 
 
@@ -177,13 +179,15 @@ def _word_stripes(hot: dict, parts: int):
             here = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
             pair, count = np.unique(codes[here].astype(np.int64) * n + codes[here + 1], return_counts=True)
             total = np.bincount(codes[codes >= 0], minlength=n)
-            yield stripes(v, lang, block, v.words, np.concatenate((pair // n, np.arange(n))),
-                          np.concatenate((pair % n, np.full(n, n))), np.concatenate((count, total)), v.salts)
+            following = np.concatenate((pair % n, np.full(n, n)))
+            yield stripes(v, lang, block, np.concatenate((pair // n, np.arange(n))), following, v.words, following,
+                          np.concatenate((count, total)))
     return run
 
 
 def _phrase_stripes(hot: dict, parts: int):
-    """Stripes of two to four words, of a block and the pairs of it that are frequent."""
+    """Stripes of what follows a word for two to four words, of a block and the pairs of it that are
+    frequent; the following words stand together, with tabs between."""
     schema = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("salt", pa.int32()), ("block", pa.int64()),
                         ("nexts", pa.string()), ("counts", pa.binary())])
 
@@ -204,6 +208,7 @@ def _phrase_stripes(hot: dict, parts: int):
             frequent_here = frequent[at] == pair
             # Where a phrase of the length begins whose pairs are frequent, and its number.
             begin, number = np.flatnonzero(frequent_here), at[frequent_here]
+            places, counts, nexts = [], [], []
             for length in range(3, LONGEST + 1):
                 last = begin + length - 2
                 going = last < len(frequent_here)
@@ -211,13 +216,17 @@ def _phrase_stripes(hot: dict, parts: int):
                 begin, number = begin[going], number[going]
                 if not len(begin):
                     break
-                _, some, prefix = np.unique(number, return_index=True, return_inverse=True)
-                prefixes = pc.binary_join_element_wise(
-                    *(v.words.take(pa.array(codes[begin[some] + k])) for k in range(length - 1)), " ")
-                salts = np.min([v.salts[codes[begin[some] + k]] for k in range(length - 1)], axis=0)
-                entry, number, count = np.unique(prefix * n + codes[begin + length - 1], return_inverse=True,
-                                                 return_counts=True)
-                out.append(stripes(v, lang, block, prefixes, entry // n, entry % n, count, salts))
+                _, number = np.unique(number, return_inverse=True)
+                _, some, number, count = np.unique(number * n + codes[begin + length - 1], return_index=True,
+                                                   return_inverse=True, return_counts=True)
+                places.append(begin[some])
+                counts.append(count)
+                nexts.append(pc.binary_join_element_wise(
+                    *(v.words.take(pa.array(codes[begin[some] + k])) for k in range(1, length)), "\t"))
+            if places:
+                place = np.concatenate(places)
+                out.append(stripes(v, lang, block, codes[place], codes[place + 1], pa.concat_arrays(nexts),
+                                   np.arange(len(place)), np.concatenate(counts)))
         return pa.Table.from_batches(out, schema) if out else schema.empty_table()
     return run
 
@@ -294,7 +303,8 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     more = merge_stripes(content.groupBy("block").cogroup(replies.groupBy("block"))
                          .applyInArrow(_phrase_stripes(hot, parts), STRIPE_SCHEMA), parts, min_count, False, "stripes-2")
     entries = one.where("kind = 0").union(more.where("kind = 0"))
-    phrase = F.when(F.col("next") == "", F.col("prefix")).otherwise(F.concat_ws(" ", "prefix", "next"))
+    phrase = F.when(F.col("next") == "", F.col("prefix")).otherwise(
+        F.concat_ws(" ", "prefix", F.translate("next", "\t", " ")))
     counts = entries.select("lang", phrase.alias("phrase"), "a").withColumn("m", F.size(F.split("phrase", " ")))
     return counts, blocks.groupBy("lang").agg(F.sum("n").alias("n"))
 
