@@ -5,7 +5,7 @@ page frontier. Streaming versions live in ``reviewlake.streaming``.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, MutableSet, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -106,8 +106,8 @@ class SkuFold:
     record is final once the next one is inserted.
     """
 
-    def __init__(self, frozen=(), current: tuple | None = None, number: int = -1) -> None:
-        self.frozen, self.current, self.number = set(frozen), current, number
+    def __init__(self, frozen: MutableSet | None = None, current: tuple | None = None, number: int = -1) -> None:
+        self.frozen, self.current, self.number = set() if frozen is None else frozen, current, number
 
     def add(self, price, ts, attrs: tuple) -> tuple | None:
         """Apply one observation; the record that became final by it, if any."""

@@ -46,4 +46,4 @@ def price_history_compat_stream(spark: SparkSession, d: str) -> DataFrame:
     """Exact store-upsert fold kept as per-SKU streaming state."""
     recs = jobs.price_history_compat_stream(_observations(spark, d))
     return jobs.run_to_table(spark, recs, "price_history_compat", mode="update",
-                             keys=["sku_id", "rec"]).drop("rec")
+                             keys=["sku_id", "rec"], rocksdb=True).drop("rec")

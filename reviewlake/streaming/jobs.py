@@ -11,8 +11,11 @@
   streaming aggregate in update mode; each trigger emits the changed
   (SKU, price) records.
 * ``price_history_compat_stream`` — the store's exact upsert fold, per SKU,
-  with ``applyInPandasWithState``; state = the prices of that SKU's older
-  records and its newest record. Each trigger emits the changed records only.
+  with ``transformWithStateInPandas``: a map state with an entry per (SKU, price)
+  of its older records and a value state with its newest record, kept in RocksDB
+  (``rocksdb_state``). A trigger reads and writes the entries of the prices that it
+  meets, however many a SKU has, and emits the changed records only.
+* Keyed stores that a trigger merges into are in ``streaming.stores``.
 
 Sinks: ``write_change_log`` writes each micro-batch's rows to the folder
 ``batch_id=N`` and overwrites it if the batch is run again, so a batch replayed
@@ -26,13 +29,14 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager, nullcontext
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from reviewlake.operators.ingest import SkuFold, first_seen, insert_unseen
 from reviewlake.session import ensure_checkpoint_dir
@@ -84,44 +88,88 @@ def price_history_compat_stream(obs: DataFrame, sku: str = "sku_id", price: str
     """
     attrs = list(attrs)
     fields = {f.name: f.dataType for f in obs.schema.fields}
-    record = [("price", fields[price]), ("first_seen", fields[ts]), ("updated", fields[ts]),
+    record = [(price, fields[price]), ("first_seen", fields[ts]), ("updated", fields[ts]),
               *[(a, fields[a]) for a in attrs]]
-    struct = T.StructType([T.StructField(n, t) for n, t in record])
-    state_schema = T.StructType([
-        T.StructField("frozen", T.ArrayType(fields[price])), T.StructField("number", T.IntegerType()),
-        T.StructField("current", struct)])
-    out_schema = T.StructType([T.StructField(sku, fields[sku]), T.StructField("rec", T.IntegerType()),
-                               *struct.fields])
-    names = [n for n, _ in record]
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold = SkuFold()
-        if state.exists:
-            frozen, number, current = state.get
-            fold = SkuFold(frozen, tuple(current), number)
+    numbered = [T.StructField("rec", T.IntegerType()), *[T.StructField(n, t) for n, t in record]]
+    out_schema = T.StructType([T.StructField(sku, fields[sku]), *numbered])
+    processor = _PriceProcessor(sku, price, ts, tiebreak, attrs, fields[price], T.StructType(numbered))
+    return (obs.select(sku, price, ts, tiebreak, *attrs).groupBy(sku)
+            .transformWithStateInPandas(processor, out_schema, "Update", "None"))
+
+
+class _StoredPrices:
+    """The prices of a SKU's older records, in map state: an entry is looked up when it is asked for."""
+
+    def __init__(self, state) -> None:
+        self.state, self.met = state, {}
+
+    def __contains__(self, price) -> bool:
+        if price not in self.met:
+            self.met[price] = self.state.containsKey((price,))
+        return self.met[price]
+
+    def add(self, price) -> None:
+        if price not in self:
+            self.state.updateValue((price,), (True,))
+            self.met[price] = True
+
+
+class _PriceProcessor(StatefulProcessor):
+    """The upsert rule of one SKU over the rows of a trigger."""
+
+    def __init__(self, sku: str, price: str, ts: str, tiebreak: str, attrs: list[str],
+                 price_type: T.DataType, current: T.StructType) -> None:
+        self.order, self.columns, self.names = [ts, tiebreak], [price, ts, *attrs], [sku, *current.names]
+        self.price_schema, self.current_schema = T.StructType([T.StructField("price", price_type)]), current
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.older = handle.getMapState("older", self.price_schema, "stored boolean")
+        self.current = handle.getValueState("current", self.current_schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        prices, stored = _StoredPrices(self.older), self.current.get() if self.current.exists() else None
+        fold = SkuFold(prices) if stored is None else SkuFold(prices, tuple(stored[1:]), stored[0])
         # Rows of one trigger are put in processing order; a trigger's size is the
         # source's to bound (``files_per_trigger``).
-        rows = pd.concat(list(batches)).sort_values([ts, tiebreak], kind="stable")
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        columns = [[None if x is pd.NaT or x is None or x is pd.NA else x for x in batch[c]] for c in self.columns]
         changed = []
-        for row in rows[[price, ts, *attrs]].itertuples(index=False, name=None):
+        for row in zip(*columns, strict=True):
             final = fold.add(row[0], row[1], row[2:])
             if final is not None:
                 changed.append((key[0], fold.number - 1, *final))
         changed.append((key[0], fold.number, *fold.current))
-        state.update((sorted(fold.frozen), fold.number, fold.current))
-        yield pd.DataFrame(changed, columns=[sku, "rec", *names])
-
-    return (obs.select(sku, price, ts, tiebreak, *attrs).groupBy(sku)
-            .applyInPandasWithState(step, out_schema, state_schema, "update",
-                                    GroupStateTimeout.NoTimeout))
+        self.current.update((fold.number, *fold.current))
+        yield pd.DataFrame(changed, columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, with a changelog of the changed
+    entries per trigger; the session's settings are as before afterwards."""
+    want = {"spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+            "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    old = {k: spark.conf.get(k, None) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def write_change_log(stream: DataFrame, path: str, checkpoint: str,
-                     available_now: bool = True, mode: str = "update", insert=None):
+                     available_now: bool = True, mode: str = "update", insert=None, rocksdb: bool = False):
     """Write every micro-batch's rows under ``path/batch_id=N`` (start the query).
 
     ``insert(batch, stored)`` may reduce a batch to what is to be stored; it
-    gets the rows of the earlier batches (None before the first).
+    gets the rows of the earlier batches (None before the first). ``rocksdb``: for
+    streams with map or list state.
     """
     spark = stream.sparkSession
 
@@ -137,7 +185,8 @@ def write_change_log(stream: DataFrame, path: str, checkpoint: str,
         .foreachBatch(sink)
     if available_now:
         w = w.trigger(availableNow=True)
-    return w.start()
+    with rocksdb_state(spark) if rocksdb else nullcontext():
+        return w.start()
 
 
 def _with_batch_id(schema: T.StructType) -> T.StructType:
@@ -170,7 +219,8 @@ def scratch_paths(spark: SparkSession, name: str) -> tuple[str, str]:
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
-                 keys: Sequence[str] | None = None, first_by: Sequence[str] | None = None) -> DataFrame:
+                 keys: Sequence[str] | None = None, first_by: Sequence[str] | None = None,
+                 rocksdb: bool = False) -> DataFrame:
     """Run ``stream`` over what has landed (availableNow) and read the result.
 
     Append mode: the rows written. Update mode: the latest row per ``keys``.
@@ -180,7 +230,7 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str =
     if first_by:
         q = insert_first_seen(stream, out, ckpt, keys[0], first_by)
     else:
-        q = write_change_log(stream, out, ckpt, available_now=True, mode=mode)
+        q = write_change_log(stream, out, ckpt, available_now=True, mode=mode, rocksdb=rocksdb)
     q.awaitTermination()
     if q.exception():
         raise q.exception()

@@ -139,7 +139,7 @@ def test_compat_fold_time_grows_with_the_rows(spark):
 def test_compat_stream_over_batches_emits_changed_records(spark, tmp_path):
     stream = landed(spark, tmp_path, [ABA[:9], ABA[9:18], ABA[18:]])
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
-    run(jobs.write_change_log(jobs.price_history_compat_stream(stream), out, check))
+    run(jobs.write_change_log(jobs.price_history_compat_stream(stream), out, check, rocksdb=True))
     log = spark.read.parquet(out)
     assert log.select("batch_id").distinct().count() == 3
     assert records(jobs.latest_from_change_log(spark, out, ["sku_id", "rec"])) == by_rule(ABA)
@@ -149,6 +149,43 @@ def test_compat_stream_over_batches_emits_changed_records(spark, tmp_path):
     assert all(per_batch[2, r.sku_id] <= r.last + 1 for r in total)
 
 
+def test_compat_stream_takes_null_prices(spark, tmp_path):
+    rows = [obs(i, i, i % 2, p) for i, p in enumerate(["a", None, "b", None, None, "a", "b", "c", "a", None, None, "c"])]
+    stream = landed(spark, tmp_path, [rows[:5], rows[5:8], rows[8:]])
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    run(jobs.write_change_log(jobs.price_history_compat_stream(stream), out, check, rocksdb=True))
+    got = jobs.latest_from_change_log(spark, out, ["sku_id", "rec"])
+    key = lambda r: (r[0], r[1] or "", r[2])
+    assert sorted(((r.sku_id, r.price, r.first_seen, r.updated, r.attrs) for r in got.collect()), key=key) \
+        == sorted(by_rule_with_nulls(rows), key=key)
+
+
+def by_rule_with_nulls(rows):
+    named = [(*r[:3], r[3] or "null", r[4]) for r in rows]
+    return [(s, None if p == "null" else p, *x) for s, p, *x in by_rule(named)]
+
+
+def test_compat_stream_writes_only_the_entries_that_a_trigger_changes(spark, tmp_path):
+    n, triggers = 20_000, 10
+    folder = str(tmp_path / "in")
+    frame = spark.range(n).select(F.col("id").alias("obs_id"), F.timestamp_seconds("id").alias("ts"),
+                                  F.lit(1).cast("long").alias("sku_id"), F.col("id").cast("string").alias("price"),
+                                  F.lit(0.5).alias("attrs"))
+    for k in range(triggers):
+        frame.where(F.floor(F.col("obs_id") * triggers / n) == k).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+    stream = jobs.read_landed(spark, folder, "*.parquet", frame.schema, 1)
+    q = jobs.write_change_log(jobs.price_history_compat_stream(stream), str(tmp_path / "out"),
+                              str(tmp_path / "check"), rocksdb=True)
+    run(q)
+    written = [p.stateOperators[0].numRowsUpdated for p in q.recentProgress if p.numInputRows]
+    assert len(written) == triggers and max(written) <= n / triggers + 5
+    log = spark.read.parquet(str(tmp_path / "out"))
+    # A record leaves when the next one comes: its own trigger's records, and the one before.
+    assert log.groupBy("batch_id").count().agg(F.max("count")).first()[0] <= n / triggers + 1
+    assert jobs.latest_from_change_log(spark, str(tmp_path / "out"), ["sku_id", "rec"]).count() == n
+
+
 def test_checkpoint_folder_rule(spark):
     from reviewlake.session import ensure_checkpoint_dir
     folder = ensure_checkpoint_dir(spark)
