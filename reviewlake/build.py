@@ -5,11 +5,16 @@
 Writes ``catalog``, ``sentiment``, ``profile``, ``enriched`` and
 ``recommendations`` under ``out``. Every step is a distributed job; nothing
 is collected to the driver.
+
+``update_catalog`` and ``update_profile`` take a later batch into stored tables
+instead: the mergeable partial aggregates (rollup, trait counts) are stored, and
+only partitions that hold a product of the batch are read and written.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +23,10 @@ from reviewlake.operators import catalog as cat
 from reviewlake.operators import dashboard as dash
 from reviewlake.operators import recommend as rec
 from reviewlake.operators import sentiment as sm
+from reviewlake.operators import traits as tr
 from reviewlake.operators.review_profile import review_facts, review_profile
 from reviewlake.sources.tables import read_offers, read_reviews, write_dataset
+from reviewlake.streaming.stores import PARTS, derive_partitions, merge_partitions
 
 
 def build(spark: SparkSession, offers: DataFrame, reviews: DataFrame) -> dict[str, DataFrame]:
@@ -38,6 +45,21 @@ def build(spark: SparkSession, offers: DataFrame, reviews: DataFrame) -> dict[st
             "enriched": enriched, "recommendations": recos}
 
 
+def update_catalog(offers: DataFrame, batch_id: int, out: str, parts: int = PARTS) -> list[int]:
+    """Take a batch of offers into ``out/catalog_rollup`` and ``out/catalog``; the partitions written."""
+    rollup = cat.catalog_rollup(offers)
+    merge_partitions(rollup, batch_id, f"{out}/catalog_rollup", "prod_id", cat.merge_rollup, parts)
+    return derive_partitions(rollup, batch_id, f"{out}/catalog_rollup", f"{out}/catalog", "prod_id",
+                             cat.catalog_dedupe, parts)
+
+
+def update_profile(facts: DataFrame, batch_id: int, out: str, key: str, traits: Sequence[tr.Trait],
+                   parts: int = PARTS) -> list[int]:
+    """Take a batch of review facts into ``out/profile``; the partitions written."""
+    return merge_partitions(tr.trait_counts(facts, key, traits), batch_id, f"{out}/profile", key,
+                            lambda stored, rows: tr.merge_trait_counts(stored, rows, key), parts)
+
+
 def run(spark: SparkSession, offers_path: str, reviews_path: str, out: str,
         fmt: str = "parquet") -> dict[str, str]:
     """Read the landed files, build, write each table; returns the paths."""

@@ -55,6 +55,13 @@ def catalog_rollup(offers: DataFrame, strict_price: bool = False) -> DataFrame:
     )
 
 
+def merge_rollup(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """A stored rollup with that of a later batch: maxima of maxima, sums of sizes."""
+    both = batch if stored is None else stored.select(batch.columns).unionByName(batch)
+    return both.groupBy(*GROUP_KEYS).agg(
+        *[(F.sum(m) if m == "variant" else F.max(m)).alias(m) for m in METRICS])
+
+
 def catalog_dedupe(rollup: DataFrame) -> DataFrame:
     """Keep, per product, the group that is last in ascending key order."""
     rest = [k for k in GROUP_KEYS if k != "prod_id"]

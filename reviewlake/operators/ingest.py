@@ -9,7 +9,7 @@ from collections.abc import Iterator, MutableSet, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,7 +63,7 @@ def insert_unseen(stored: DataFrame, batch: DataFrame, key: str,
         known, F.col(key).eqNullSafe(F.col("__known")), "left_anti")
 
 
-def merge_price_history(stored: DataFrame, batch: DataFrame, sku: str = "sku_id",
+def merge_price_history(stored: DataFrame | None, batch: DataFrame, sku: str = "sku_id",
                         price: str = "price", ts: str = "ts", tiebreak: str = "obs_id",
                         attrs: Sequence[str] = ("attrs",)) -> DataFrame:
     """The stored (SKU, price) records updated with a batch of observations.
@@ -73,6 +73,8 @@ def merge_price_history(stored: DataFrame, batch: DataFrame, sku: str = "sku_id"
     sightings the batch's counts as the later one.
     """
     new = price_history(batch, sku, price, ts, tiebreak, attrs)
+    if stored is None:
+        return new
     both = (stored.select(new.columns).withColumn("__new", F.lit(0))
             .unionByName(new.withColumn("__new", F.lit(1))))
     latest = F.max_by(F.struct(*[F.col(a) for a in attrs]), _order_key(["last_seen", "__new"]))
@@ -210,3 +212,36 @@ def frontier(plan: DataFrame, fetched: DataFrame) -> DataFrame:
     """Planned pages minus fetched pages, keyed on (product, offset); no
     credential is part of the key."""
     return plan.join(fetched, ["prod_id", "offset"], "left_anti")
+
+
+def frontier_ranges(offers: DataFrame, fetched: DataFrame, page_size: int = REVIEW_PAGE_SIZE,
+                    include_tail: bool = False, url: str = "targetUrl",
+                    reviews: str = "reviews") -> DataFrame:
+    """(prod_id, first_offset, last_offset, n_pages, priority): the missing pages of each product
+    as ranges, without a row per planned page.
+
+    A product's plan is the interval of its greatest review count, which holds those of
+    smaller counts. Its fetched pages cut the interval; what lies between one and the
+    next is missing.
+    """
+    r = F.col(reviews).cast("bigint")
+    pages = F.ceil(r / page_size) if include_tail else F.floor(r / page_size)
+    plan = (offers.select(product_id_from_url(url).alias("prod_id"), r.alias("priority"), pages.alias("n"))
+            .groupBy("prod_id").agg(F.max("priority").alias("priority"), F.max("n").alias("n")).where("n > 0"))
+    page = (F.col("offset") / page_size).cast("bigint")
+    done = (fetched.where(F.col("offset") % page_size == 0).select("prod_id", page.alias("page")).distinct()
+            .join(plan, "prod_id").where("page BETWEEN 0 AND n - 1"))
+    marks = plan.withColumn("page", F.lit(-1).cast("bigint")).unionByName(done)
+    following = F.lead("page").over(Window.partitionBy("prod_id").orderBy("page"))
+    gaps = marks.select("prod_id", "priority", (F.col("page") + 1).alias("first"),
+                        (F.coalesce(following, F.col("n")) - 1).alias("last")).where("first <= last")
+    return gaps.select("prod_id", (F.col("first") * page_size).cast("int").alias("first_offset"),
+                       (F.col("last") * page_size).cast("int").alias("last_offset"),
+                       (F.col("last") - F.col("first") + 1).alias("n_pages"), "priority")
+
+
+def expand_ranges(ranges: DataFrame, page_size: int = REVIEW_PAGE_SIZE) -> DataFrame:
+    """The pages of missing ranges, with their requests: the rows of ``frontier``."""
+    offsets = F.sequence("first_offset", "last_offset", F.lit(page_size))
+    return (ranges.select("prod_id", F.explode(offsets).alias("offset"), "priority")
+            .withColumn("request_url", review_api_url("prod_id", "offset", page_size=page_size)))

@@ -67,6 +67,14 @@ def trait_counts(reviews: DataFrame, key: str, traits: Sequence[Trait]) -> DataF
     return reviews.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
 
 
+def merge_trait_counts(stored: DataFrame | None, batch: DataFrame, key: str) -> DataFrame:
+    """A stored wide profile with that of a later batch: counts add up, 0 stays null."""
+    if stored is None:
+        return batch
+    both = stored.select(batch.columns).unionByName(batch)
+    return both.groupBy(key).agg(*[F.sum(c).alias(c) for c in batch.columns if c != key])
+
+
 def trait_pivot(reviews: DataFrame, key: str, column: str,
                 values: Sequence[object]) -> DataFrame:
     """One pivot: ``key`` + one count column per declared value of ``column``.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlake.build import update_catalog
 from reviewlake.functions import expr as X
 from reviewlake.operators import catalog as cat
 from reviewlake.operators import dashboard as dash
@@ -12,6 +13,8 @@ from reviewlake.plans import sql, standins
 from reviewlake.plans.profile import PROFILE_SQL, profile
 from reviewlake.plans.registry import query
 from reviewlake.sources.tables import read_table
+from reviewlake.streaming.jobs import scratch_paths
+from reviewlake.streaming.stores import read_merged
 
 OFFER_COLUMNS = ["skuId", "listPrice", "targetUrl", "size", "name", "brand", "shortDesc",
                  "Category1", "Category2", "Category3", "lovesCount", "reviews", "rating",
@@ -36,6 +39,37 @@ def catalog_rollup(spark: SparkSession, d: str) -> DataFrame:
 query("catalog_dedupe", sql.CATALOG)(catalog)
 
 
+@query("merge_catalog", sql.CATALOG)
+def merge_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue after three batches of offers, each merged into the stored rollup and
+    catalogue of the products that it concerns: the one-shot table."""
+    offers = standins.offers(spark, d)
+    out, _ = scratch_paths(spark, "merge_catalog")
+    for n, rows in enumerate(standins.in_batches(offers, "date", MERGE_DATES)):
+        update_catalog(rows, n, out, parts=8)
+    return read_merged(spark, f"{out}/catalog")
+
+
+MERGE_DATES = ("1994-06-01", "1996-06-01")
+
+
+@query("price_rejects", f"""
+SELECT brand, count(*) AS n_rejected FROM (
+  SELECT brand, TRY_CAST(replace(p, '$', '') AS DOUBLE) AS price, p FROM (
+    SELECT brand, CASE WHEN CAST(substr(listPrice, 2) AS DECIMAL(18,2)) >= 50000
+                       THEN printf('$%,.2f', CAST(substr(listPrice, 2) AS DOUBLE)) ELSE listPrice END AS p
+    FROM ({sql.OFFERS}))) WHERE p IS NOT NULL AND price IS NULL GROUP BY brand
+""")
+def price_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Offers per brand whose price does not parse: large prices are shown here with a
+    thousands separator."""
+    o = standins.offers(spark, d)
+    value = F.substring("listPrice", 2, 30).cast("decimal(18,2)")
+    shown = F.when(value >= 50000, F.format_string("$%,.2f", value.cast("double"))).otherwise(F.col("listPrice"))
+    return (cat.price_rejects(o.withColumn("listPrice", shown)).groupBy("brand")
+            .agg(F.count(F.lit(1)).alias("n_rejected")))
+
+
 @query("price_parse", """
 SELECT p_partkey, p_retailprice,
        TRY_CAST(replace(printf('$%.2f', p_retailprice), '$', '') AS DOUBLE) AS price,

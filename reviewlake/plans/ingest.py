@@ -11,6 +11,8 @@ from reviewlake.plans import sql, standins
 from reviewlake.plans.registry import query
 from reviewlake.sources import pages as pg
 from reviewlake.sources.tables import read_table
+from reviewlake.streaming.jobs import scratch_paths
+from reviewlake.streaming.stores import SeenIds
 
 URL_ID_RE = r"/(\d+)(?:[?#]|$)"
 SCRIPT_RE = "(?s)<script[^>]*>(.*?)</script>"
@@ -68,6 +70,15 @@ def attr_columns(spark: SparkSession, d: str) -> DataFrame:
     return pg.attribute_columns(ev, ["k", "missing"]).drop("attributes")
 
 
+@query("attr_variant", """
+SELECT key, json_extract_string(props, '$."' || key || '"') AS value, count(*) AS n
+FROM (SELECT props, unnest(json_keys(props)) AS key FROM events) GROUP BY ALL
+""")
+def attr_variant(spark: SparkSession, d: str) -> DataFrame:
+    """Values of every attribute that events carry; no key is declared."""
+    return pg.attribute_profile(read_table(spark, d, "events", ["props"]), "props")
+
+
 @query("url_id", """
 SELECT page_id, split_part(string_split(url, '/')[-1], '?', 1) AS prod_id FROM pages
 """)
@@ -156,6 +167,27 @@ def frontier(spark: SparkSession, d: str) -> DataFrame:
     return ing.frontier(_plan(spark, d), fetched)
 
 
+@query("frontier_ranges", f"""
+WITH missing AS (
+  SELECT prod_id, "offset", priority FROM ({PAGE_PLAN_SQL}) plan
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT nullif(regexp_extract(url, 'ProductId%3A(\\w+)', 1), '') AS prod_id,
+                                          TRY_CAST(regexp_extract(url, '[?&]offset=(\\d+)', 1) AS INTEGER) AS "offset"
+                                   FROM ({sql.REVIEW_PAGES})) f
+                    WHERE f.prod_id = plan.prod_id AND f."offset" = plan."offset")),
+top AS (SELECT prod_id, max(priority) AS priority FROM ({PAGE_PLAN_SQL}) GROUP BY ALL),
+islands AS (
+  SELECT prod_id, "offset", "offset" // {PAGE} - row_number() OVER (PARTITION BY prod_id ORDER BY "offset") AS island
+  FROM missing)
+SELECT i.prod_id, min("offset") AS first_offset, max("offset") AS last_offset, count(*) AS n_pages,
+       any_value(t.priority) AS priority
+FROM islands i JOIN top t USING (prod_id) GROUP BY i.prod_id, island
+""")
+def frontier_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Missing pages of each product as ranges."""
+    fetched = ing.fetched_pages(standins.review_pages(spark, d))
+    return ing.frontier_ranges(standins.offers(spark, d), fetched, page_size=PAGE)
+
+
 INGEST_DEDUPE_SQL = """
 SELECT review_id, obs_id, ts, sku_id, price, attrs FROM (
   SELECT CAST(user_id AS VARCHAR) || ':' || event_type AS review_id, event_id AS obs_id, ts,
@@ -192,6 +224,20 @@ def insert_unseen(spark: SparkSession, d: str) -> DataFrame:
     return stored.unionByName(ing.insert_unseen(stored, batch, "review_id", ["ts", "obs_id"]))
 
 
+BATCH_CUTS = ("2024-01-08", STORED_UNTIL, "2024-01-24 12:00:00")
+
+
+@query("insert_unseen_bucketed", INGEST_DEDUPE_SQL)
+def insert_unseen_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """Four batches inserted into a store whose ids lie in buckets that a batch joins in
+    place: the one-shot result."""
+    rows, (out, ids) = _arrivals(spark, d), scratch_paths(spark, "seen_ids")
+    seen = SeenIds(spark, ids, out, buckets=16)
+    for n, batch in enumerate(standins.in_batches(rows, "ts", BATCH_CUTS)):
+        seen.insert(batch, n, "review_id", ["ts", "obs_id"])
+    return seen.rows(rows.schema)
+
+
 PRICE_HISTORY_SQL = """
 SELECT user_id AS sku_id, event_type AS price, min(ts) AS first_seen, max(ts) AS last_seen,
        count(*) AS n_obs, max({'t': ts, 'b': event_id, 'a': value}).a AS attrs

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlake.build import update_profile
 from reviewlake.operators import sentiment as sm
 from reviewlake.operators import traits as tr
 from reviewlake.operators.catalog import build_catalog
 from reviewlake.plans import sql, standins
 from reviewlake.plans.registry import query
 from reviewlake.sources.tables import read_table
+from reviewlake.streaming.jobs import scratch_paths
+from reviewlake.streaming.stores import read_merged
 
 TRAITS = standins.STANDIN_TRAITS
 
@@ -43,6 +46,16 @@ def profile_join_chain(spark: SparkSession, d: str) -> DataFrame:
     return tr.profile_join_chain(_reviews(spark, d), "prod_id", TRAITS)
 
 
+@query("merge_profile", PROFILE_SQL)
+def merge_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The profile after three batches of reviews, each merged into the stored counts of the
+    products that it concerns: the one-shot table."""
+    out, _ = scratch_paths(spark, "merge_profile")
+    for n, rows in enumerate(standins.in_batches(_reviews(spark, d), "Date", ("1994-06-01", "1996-06-01"))):
+        update_profile(rows, n, out, "prod_id", TRAITS, parts=8)
+    return read_merged(spark, f"{out}/profile")
+
+
 @query("load_reviews", f"SELECT CID, ProdID, url, Rating, ContentLocale, Date FROM ({sql.REVIEWS})")
 def load_reviews(spark: SparkSession, d: str) -> DataFrame:
     return standins.reviews(spark, d).select("CID", "ProdID", "url", "Rating",

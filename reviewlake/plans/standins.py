@@ -19,6 +19,8 @@ columns with the same rules.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,15 @@ def offers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def in_batches(rows: DataFrame, column: str, cuts: Sequence[str]) -> list[DataFrame]:
+    """The rows in batches by ascending ``column``, cut at the given moments; nulls come first."""
+    at = [F.lit(c).cast(rows.schema[column].dataType) for c in cuts]
+    col = F.col(column)
+    return [rows.where((col >= a) & (col < b)) if a is not None and b is not None else
+            rows.where(col.isNull() | (col < b)) if a is None else rows.where(col >= a)
+            for a, b in zip([None, *at], [*at, None], strict=True)]
+
+
 def reviews(spark: SparkSession, d: str) -> DataFrame:
     """One review per line item; traits from the order and the customer."""
     li = read_table(spark, d, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber",

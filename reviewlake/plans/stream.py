@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.plans.ingest import COMPAT_SQL, INGEST_DEDUPE_SQL
+from reviewlake.operators import ingest as ing
+from reviewlake.plans import standins
+from reviewlake.plans.ingest import COMPAT_SQL, INGEST_DEDUPE_SQL, PRICE_HISTORY_SQL
 from reviewlake.plans.registry import query
 from reviewlake.sources.tables import read_table
-from reviewlake.streaming import jobs
+from reviewlake.streaming import jobs, stores
 
 
 def _observations(spark: SparkSession, d: str) -> DataFrame:
@@ -47,3 +49,22 @@ def price_history_compat_stream(spark: SparkSession, d: str) -> DataFrame:
     recs = jobs.price_history_compat_stream(_observations(spark, d))
     return jobs.run_to_table(spark, recs, "price_history_compat", mode="update",
                              keys=["sku_id", "rec"], rocksdb=True).drop("rec")
+
+
+UPSERT_TRIGGERS = 10
+
+
+@query("price_history_upsert", PRICE_HISTORY_SQL)
+def price_history_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Ten files of observations, one per trigger, merged into the touched partitions of the
+    stored history."""
+    out, checkpoint = jobs.scratch_paths(spark, "price_history_upsert")
+    landed = f"{out}/landed"
+    obs = standins.price_observations(spark, d).drop("props")
+    obs.repartitionByRange(UPSERT_TRIGGERS, "ts").write.parquet(landed)
+    stream = jobs.read_landed(spark, landed, "*.parquet", obs.schema, files_per_trigger=1)
+    q = stores.merge_stream(stream, f"{out}/history", checkpoint, "sku_id", ing.merge_price_history, parts=8)
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return stores.read_merged(spark, f"{out}/history")
