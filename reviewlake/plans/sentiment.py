@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from reviewlake.constants import TRAIN_ROW_CAP
 from reviewlake.operators import sentiment as sm
+from reviewlake.operators import factorise as nmf
+from reviewlake.operators import newton
+from reviewlake.operators import term_model as tm
+from reviewlake.operators import tfidf as tfi
 from reviewlake.operators import topics as tp
 from reviewlake.operators.traits import ranked, trait_counts, trait_long, trait_share
 from reviewlake.plans import sql, standins
@@ -198,3 +202,97 @@ def topics(spark: SparkSession, d: str) -> DataFrame:
     """Dominant topic of every description: each product once, topic 0 to 4."""
     t = tp.dominant_topics(standins.descriptions(spark, d))
     return t.select("prod_id", F.col("topic").between(0, 4).alias("topic_in_range"))
+
+
+# Length, punctuation and line breaks of a labelled document, about standard size.
+NUMERIC_SQL = """
+SELECT l.quality::DOUBLE AS y, 1.0::DOUBLE AS x0, ln(1 + length(d.text)) - 7 AS x1,
+       20 * length(regexp_replace(d.text, '[^.,;:!?]', '', 'g')) / (1.0 + length(d.text)) AS x2
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL AND l.quality IS NOT NULL
+"""
+NEWTON_STEPS, NEWTON_L2 = 8, 1.0
+
+
+def _newton_sql() -> str:
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    h = {(i, j): f"h{min(i, j)}{max(i, j)}" for i in range(3) for j in range(3)}
+
+    def minor(rows: tuple[int, int], cols: tuple[int, int]) -> str:
+        (a, b), (c, e) = rows, cols
+        return f"({h[a, c]} * {h[b, e]} - {h[a, e]} * {h[b, c]})"
+    rest = {0: (1, 2), 1: (0, 2), 2: (0, 1)}
+    det = " + ".join(f"{'-' if j == 1 else ''}{h[0, j]} * {minor((1, 2), rest[j])}" for j in range(3))
+    solved = [" + ".join(f"{'-' if (i + j) % 2 else ''}g{i} * {minor(rest[i], rest[j])}" for i in range(3))
+              for j in range(3)]
+    sums = ", ".join([f"sum((y - p) * x{i}) - {NEWTON_L2} * b{i} AS g{i}" for i in range(3)]
+                     + [f"sum(p * (1 - p) * x{i} * x{j}) + {NEWTON_L2 if i == j else 0.0} AS h{i}{j}" for i, j in pairs])
+    return f"""
+WITH RECURSIVE known AS ({NUMERIC_SQL}),
+b AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2
+  UNION ALL
+  SELECT step + 1, {', '.join(f'b{j} + ({solved[j]}) / ({det})' for j in range(3))}
+  FROM (SELECT step, b0, b1, b2, {sums}
+        FROM (SELECT b.*, y, x0, x1, x2, 1 / (1 + exp(-(b0 * x0 + b1 * x1 + b2 * x2))) AS p FROM b, known
+              WHERE step < {NEWTON_STEPS})
+        GROUP BY step, b0, b1, b2))
+SELECT unnest(['intercept', 'length', 'punctuation']) AS feature,
+       unnest([round(b0, 6), round(b1, 6), round(b2, 6)]) AS coefficient
+FROM b WHERE step = {NEWTON_STEPS}
+"""
+
+
+@query("logreg_newton", _newton_sql())
+def logreg_newton(spark: SparkSession, d: str) -> DataFrame:
+    """Quality by length and punctuation: coefficients of the regression fitted by Newton steps."""
+    docs = read_table(spark, d, "documents", ["doc_id", "text"])
+    rows = sm.materialize(docs.join(read_table(spark, d, "labels", ["doc_id", "quality"]), "doc_id")
+                          .select("quality", F.length("text").alias("n"),
+                                  F.length(F.regexp_replace("text", "[^.,;:!?]", "")).alias("marks")))
+    n = F.col("n")
+    features = {"length": F.log(1 + n) - 7, "punctuation": 20 * F.col("marks") / (F.lit(1.0) + n)}
+    beta = newton.fit_newton(rows, "quality", features, l2=NEWTON_L2, steps=NEWTON_STEPS)
+    table = F.explode(F.map_from_arrays(F.lit(list(beta)), F.lit([float(v) for v in beta.values()])))
+    # One row per coefficient, hung on the fitted table itself.
+    return (rows.agg(F.count(F.lit(1)).alias("n")).select(table.alias("feature", "coefficient"))
+            .select("feature", F.round("coefficient", 6).alias("coefficient")))
+
+
+TABLE_SCORED_SQL = f"""
+WITH r AS (SELECT ProdID, review_id, ReviewText, CASE WHEN Rating = 5 THEN 1 WHEN Rating = 1 THEN 0 END AS label
+           FROM ({sql.REVIEW_TEXTS}) WHERE ReviewText IS NOT NULL),
+t AS (SELECT ProdID, review_id, label, unnest({sentiment_tokens_sql('ReviewText')}) AS term FROM r),
+c AS (SELECT term, count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0
+      FROM t WHERE label IS NOT NULL GROUP BY term),
+s AS (SELECT sum(n1) AS s1, sum(n0) AS s0, count(*) AS v FROM c),
+w AS (SELECT term, ln((n1 + 1) / (s1 + v)) - ln((n0 + 1) / (s0 + v)) AS weight FROM c, s),
+i AS (SELECT ln((count(*) FILTER (WHERE label = 1) + 1) / (count(*) FILTER (WHERE label = 0) + 1)) AS b FROM r),
+m AS (SELECT review_id, sum(weight) AS s FROM t JOIN w USING (term) GROUP BY review_id),
+p AS (SELECT r.ProdID, round(i.b + coalesce(m.s, 0), 6) > 0 AS good FROM r LEFT JOIN m USING (review_id), i)
+SELECT ProdID AS prod_id, nullif(count(*) FILTER (WHERE NOT good), 0) AS sentiment__BadSentiment,
+       nullif(count(*) FILTER (WHERE good), 0) AS sentiment__GoodSentiment
+FROM p WHERE ProdID IS NOT NULL GROUP BY ProdID
+"""
+
+
+@query("sentiment_by_table", TABLE_SCORED_SQL)
+def sentiment_by_table(spark: SparkSession, d: str) -> DataFrame:
+    """Negative and positive reviews per product by a table of term weights: both counts."""
+    texts = _texts(spark, d)
+    weights, classes = tm.log_odds_table(sm.training_set(texts, cap=None))
+    scored = tm.score_by_table(texts, weights, classes.scalar())
+    return tm.class_counts(scored.withColumnRenamed("ProdID", "prod_id"), "prod_id")
+
+
+@query("topics_nmf", "SELECT source AS category, doc_id AS prod_id, true AS non_negative, true AS in_range FROM documents")
+def topics_nmf(spark: SparkSession, d: str) -> DataFrame:
+    """Dominant factor of every description, fitted per category: each product once, factors
+    finite and not negative."""
+    docs = standins.descriptions(spark, d)
+    made, _ = nmf.factorise(tfi.tfidf(tfi.unique_docs(docs)), passes=NMF_PASSES)
+    t = nmf.dominant_factor(made, docs, ["category", "prod_id"])
+    return t.select("category", "prod_id", F.coalesce(F.col("weight") >= 0, F.lit(True)).alias("non_negative"),
+                    F.coalesce(F.col("topic").between(0, 4), F.col("weight").isNull()).alias("in_range"))
+
+
+NMF_PASSES = 3

@@ -124,12 +124,14 @@ def open_attributes(rows: DataFrame, payload: str) -> DataFrame:
     """One row per attribute of a JSON object, whatever its keys: the columns of ``rows`` with
     ``key`` and ``value`` (text). Nobody declares the keys: the payload is read as a VARIANT.
 
-    A nested value is its JSON text; a payload that is no object gives no row.
+    A nested value is its JSON text, a JSON null is null; a payload that is no object
+    gives no row.
     """
     v = F.try_parse_json(F.col(payload))
     held = rows.withColumn("_payload", F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
     each = held.sparkSession.tvf.variant_explode(F.col("_payload").outer())
-    text = F.coalesce(F.try_variant_get("_value", "$", "string"), F.to_json(F.col("_value")))
+    text = F.when(~F.is_variant_null("_value"), F.coalesce(
+        F.try_variant_get("_value", "$", "string"), F.to_json(F.col("_value"))))
     return (held.lateralJoin(each.toDF("_pos", "_key", "_value"))
             .select(*rows.columns, F.col("_key").alias("key"), text.alias("value")))
 

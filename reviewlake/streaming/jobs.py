@@ -2,7 +2,8 @@
 
 * ``insert_first_seen`` — insert a review only if its id was never stored:
   each micro-batch's first row per id, minus the ids of all earlier batches.
-  The state is the stored table itself, so no id is ever forgotten.
+  The state is a bucketed table of the ids (``stores.SeenIds``), so no id is ever
+  forgotten and the stored ids are not shuffled.
 * ``dedupe_first_seen`` — the same rule in operator state: streaming
   ``dropDuplicates`` (state kept forever) or, with a watermark,
   ``dropDuplicatesWithinWatermark`` (state bounded by the watermark delay;
@@ -38,8 +39,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from reviewlake.operators.ingest import SkuFold, first_seen, insert_unseen
+from reviewlake.operators.ingest import SkuFold
 from reviewlake.session import ensure_checkpoint_dir
+from reviewlake.streaming.stores import SeenIds, exists
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -164,43 +166,31 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
 
 
 def write_change_log(stream: DataFrame, path: str, checkpoint: str,
-                     available_now: bool = True, mode: str = "update", insert=None, rocksdb: bool = False):
+                     available_now: bool = True, mode: str = "update", rocksdb: bool = False):
     """Write every micro-batch's rows under ``path/batch_id=N`` (start the query).
-
-    ``insert(batch, stored)`` may reduce a batch to what is to be stored; it
-    gets the rows of the earlier batches (None before the first). ``rocksdb``: for
-    streams with map or list state.
-    """
-    spark = stream.sparkSession
-
+    ``rocksdb``: for streams with map or list state."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if insert is not None:
-            stored = None
-            if batch_id and _written(spark, path):
-                stored = (spark.read.schema(_with_batch_id(batch.schema)).parquet(path)
-                          .where(F.col("batch_id") < batch_id).drop("batch_id"))
-            batch = insert(batch, stored)
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    with rocksdb_state(stream.sparkSession) if rocksdb else nullcontext():
+        return _start(stream, checkpoint, available_now, mode, sink)
+
+
+def _start(stream: DataFrame, checkpoint: str, available_now: bool, mode: str, sink):
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint) \
         .foreachBatch(sink)
     if available_now:
         w = w.trigger(availableNow=True)
-    with rocksdb_state(spark) if rocksdb else nullcontext():
-        return w.start()
-
-
-def _with_batch_id(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    return w.start()
 
 
 def insert_first_seen(stream: DataFrame, path: str, checkpoint: str, key: str,
                       order: Sequence[str], available_now: bool = True):
     """Store the rows whose ``key`` was never stored, the first per key by
-    ``order`` within a micro-batch (start the query)."""
-    def insert(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
-        return (first_seen(batch, key, order) if stored is None
-                else insert_unseen(stored, batch, key, order))
-    return write_change_log(stream, path, checkpoint, available_now, "append", insert)
+    ``order`` within a micro-batch, under ``path/batch_id=N`` (start the query).
+    The stored ids lie in buckets under ``path_ids``; a trigger joins them in place."""
+    seen = SeenIds(stream.sparkSession, f"{path}_ids", path)
+    return _start(stream, checkpoint, available_now, "append",
+                  lambda batch, n: seen.insert(batch, n, key, order))
 
 
 def latest_from_change_log(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
@@ -234,15 +224,8 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str =
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    if q.lastProgress is None or not _written(spark, out):
+    if q.lastProgress is None or not exists(spark, out):
         return spark.createDataFrame([], stream.schema)
     if mode == "append" or first_by or not keys:
         return spark.read.parquet(out).drop("batch_id")
     return latest_from_change_log(spark, out, keys)
-
-
-def _written(spark: SparkSession, path: str) -> bool:
-    """Whether the sink folder exists (no micro-batch had rows otherwise)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
