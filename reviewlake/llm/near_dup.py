@@ -23,10 +23,11 @@ Equal texts are told by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,10 @@ REGISTERS = BANDS * BAND_ROWS
 MARGIN = 0.125
 #: Texts of a part of a group; a task compares two parts at most.
 GROUP = 1024
+#: How many bands the first rounds take, before all of them.
+FIRST_BANDS = (2, 8)
+#: Text bytes whose shingles are held at once when pairs are verified, unless a pair has more.
+VERIFY_BYTES = 4 << 20
 
 NULL_ID = -(2 ** 63)
 #: A task's band key and parts.
@@ -157,7 +162,7 @@ def _similar(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def _group_pairs(sig: np.ndarray, label: np.ndarray, failed: list[list[int]],
+def _group_pairs(sig: np.ndarray, label: np.ndarray, failed: Sequence[Sequence[int]],
                  forests: int = 1) -> tuple[list[int], list[int], list[int]]:
     """Pairs to verify among the members of a group (rows of ``sig``), and its leaders.
     Members of one ``label`` are connected already; ``failed`` pairs are not tried again.
@@ -174,7 +179,8 @@ def _group_pairs(sig: np.ndarray, label: np.ndarray, failed: list[list[int]],
     n = len(sig)
     similar = _similar(sig)
     for i, others in enumerate(failed):
-        similar[i, others] = similar[others, i] = -1
+        if len(others):
+            similar[i, others] = similar[others, i] = -1
     known = label[:, None] == label[None]
     np.fill_diagonal(known, False)
     similar[known] = 1
@@ -222,16 +228,18 @@ def _group_pairs(sig: np.ndarray, label: np.ndarray, failed: list[list[int]],
 
 
 def _pairs_of_group(forests: int):
-    """Pairs of one task by text key."""
-    def run(group: pa.Table) -> pa.Table:
+    """Pairs of one task by text key; ``tried``: the pairs that it has proposed before."""
+    def run(group: pa.Table, tried: pa.Table | None = None) -> pa.Table:
         k = group.column("k").to_numpy()
         order = np.argsort(k)
         k = k[order]
         sig = np.stack([np.frombuffer(s, np.uint16) for s in group.column("sig").to_pylist()])[order]
         label = group.column("label").to_numpy()[order]
-        lists = group.column("failed").to_pylist()
-        failed = [[int(j) for j in np.flatnonzero(np.isin(k, lists[i]))] if lists[i] else []
-                  for i in order.tolist()]
+        failed = [np.zeros(0, np.int64)] * len(k)
+        if tried is not None and tried.num_rows:
+            i, j = (np.searchsorted(k, tried.column(c).to_numpy()) for c in ("a", "b"))
+            by = np.argsort(i, kind="stable")
+            failed = np.split(j[by], np.searchsorted(i[by], np.arange(1, len(k))))
         _, first, second = _group_pairs(sig, label, failed, forests)
         first, second = np.array(first, np.int64), np.array(second, np.int64)
         return pa.table({
@@ -242,12 +250,12 @@ def _pairs_of_group(forests: int):
 
 
 def band_groups(nodes: DataFrame) -> DataFrame:
-    """(key, k, parts, part): the texts that share a band with another, and the part of
+    """(key, band, k, parts, part): the texts that share a band with another, and the part of
     their group that they are in, written. nodes: k, bands."""
-    rows = nodes.select("k", F.explode("bands").alias("key"))
+    rows = nodes.select("k", F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / GROUP).alias("parts"), F.count("*").alias("n"))
     return written(rows.join(sizes.where("n > 1"), "key")
-                   .select("key", "k", "parts", part_of("k", "parts").alias("part")), "bands")
+                   .select("key", "band", "k", "parts", part_of("k", "parts").alias("part")), "bands")
 
 
 def part_of(k: str, parts: str):
@@ -272,42 +280,49 @@ def open_tasks(rows: DataFrame, labels: DataFrame, across: bool) -> DataFrame:
 
 
 def candidate_pairs(rows: DataFrame, members: DataFrame, forests: int, across: bool = True,
-                    last: DataFrame | None = None) -> DataFrame:
+                    last: DataFrame | None = None, tried: DataFrame | None = None) -> DataFrame:
     """Pairs (a < b) to verify, with the task (key, low, high) that found them; written.
-    rows: key, k, parts, part; members: k, sig, label, failed.
+    rows: key, k, parts, part; members: k, sig, label; tried: what tasks proposed before.
 
     A task holds two parts at most. Every two members of a group meet in a task if
     ``across``; else those of one part. A task without a pair among those of ``last``, the
-    round before, has none left.
+    round before, has none left. What a task has tried goes to that task alone.
     """
     tasks = open_tasks(rows, members.select("k", "label"), across)
     if last is not None:
         tasks = tasks.join(last.select(*TASK).distinct(), TASK, "left_semi")
     part = F.explode(F.array_distinct(F.array("low", "high"))).alias("part")
-    # Members of one task alone among the failed ones: those of other parts are not in it.
-    failed = F.filter("failed", lambda j: F.pmod(F.xxhash64(j, F.lit(GROUP)), F.col("parts"))
-                      .isin(F.col("low"), F.col("high")))
     dealt = (rows.join(tasks.select(*TASK, part), ["key", "part"]).join(members, "k")
-             .select(*TASK, "k", "sig", "label", failed.alias("failed")))
-    return written(dealt.groupBy(*TASK).applyInArrow(
-        _pairs_of_group(forests), "key long, low long, high long, a long, b long"), "pairs")
+             .select(*TASK, "k", "sig", "label").groupBy(*TASK))
+    schema = "key long, low long, high long, a long, b long"
+    propose = _pairs_of_group(forests)
+    if tried is None:
+        return written(dealt.applyInArrow(lambda x: propose(x), schema), "pairs")
+    known = tried.join(tasks, TASK, "left_semi").select(*TASK, "a", "b").distinct().groupBy(*TASK)
+    return written(dealt.cogroup(known).applyInArrow(lambda x, y: propose(x, y), schema), "pairs")
 
 
 def _verified():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for column in (2, 3):
-                profile = []
-                for chunk in chunks(batch.column(column)):
-                    shingle, bounds = shingles(chunk)
-                    profile += [np.unique(shingle[bounds[i]:bounds[i + 1]], return_counts=True)
-                                for i in range(len(chunk))]
-                sides.append(profile)
-            similar = np.array([probability_jaccard(*x, *y) for x, y in zip(*sides, strict=True)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(similar, pa.float64())],
-                ["a", "b", "similarity"])
+            size = np.cumsum([0, *pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3)))
+                              .fill_null(0).to_numpy(zero_copy_only=False)])
+            start = 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(size, size[start] + VERIFY_BYTES, "right")) - 1)
+                sides = []
+                for column in (2, 3):
+                    profile = []
+                    for chunk in chunks(batch.column(column)[start:end]):
+                        shingle, bounds = shingles(chunk)
+                        profile += [np.unique(shingle[bounds[i]:bounds[i + 1]], return_counts=True)
+                                    for i in range(len(chunk))]
+                    sides.append(profile)
+                similar = [probability_jaccard(*x, *y) for x, y in zip(*sides, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[start:end], batch.column(1)[start:end], pa.array(similar, pa.float64())],
+                    ["a", "b", "similarity"])
+                start = end
     return run
 
 
@@ -316,9 +331,11 @@ def near_duplicate_labels(docs: DataFrame, nodes: DataFrame, *, text_col: str,
     """(node, component) of the texts with a verified link, by their keys; None without.
 
     Pairs are proposed and verified in rounds: a round proposes pairs of different
-    components that no round has tried, and the last one has none to propose. Each takes
-    twice the forests of the one before, so groups whose pairs fail end soon. Large groups
-    begin with the pairs inside a part, so that later the parts are connected mostly.
+    components that its task has not tried, and the last one has none to propose. The
+    first rounds take some bands only, and the pairs inside a part of a large group, for
+    these connect most of a group; all bands and all pairs of parts then have the rest to
+    try. From there each round takes twice the forests of the one before, so groups whose
+    pairs fail end soon. A pair is verified once, whichever tasks propose it.
     """
     rows = band_groups(nodes)
     # The text of each node that has a group, whatever the number of its copies.
@@ -328,36 +345,34 @@ def near_duplicate_labels(docs: DataFrame, nodes: DataFrame, *, text_col: str,
                     .join(some, ["k", "id"], "left_semi").dropDuplicates(["k"]), "texts")
     left = texts.select(F.col("k").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("k").alias("b"), F.col("text").alias("text_b"))
-    members = nodes.select("k", "sig", F.col("k").alias("label"),
-                           F.array().cast("array<long>").alias("failed"))
-    links = tried = labels = None
-    forests, last = 1, None
-    across = rows.where("parts > 1").isEmpty()
+    members = nodes.select("k", "sig", F.col("k").alias("label"))
+    links = tried = labels = seen = last = None
+    large = not rows.where("parts > 1").isEmpty()
+    stages = [(n, False) for n in (*FIRST_BANDS, BANDS)] if large else [(n, True) for n in FIRST_BANDS]
+    forests = 1
     while True:
-        proposed = candidate_pairs(rows, members, forests, across, last)
-        last = proposed if across else None
+        bands, across = stages.pop(0) if stages else (BANDS, True)
+        proposed = candidate_pairs(rows.where(F.col("band") < bands), members, forests, across, last, tried)
+        final = not stages and bands == BANDS and across
         if proposed.isEmpty():
-            if across:
+            if final:
                 return labels
-            across = True
             continue
-        across = True
+        if final:
+            last, forests = proposed, forests * 2
+        tried = proposed if tried is None else tried.union(proposed)
         pairs = proposed.select("a", "b").distinct()
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
         got = written(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
                       .mapInArrow(_verified(), "a long, b long, similarity double"), "verified")
+        seen = got.select("a", "b") if seen is None else seen.union(got.select("a", "b"))
         new = got.where(F.col("similarity") >= threshold - 1e-12).select("a", "b")
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             labels = components(links)
-        bad = got.where(F.col("similarity") < threshold - 1e-12).select("a", "b")
-        tried = bad if tried is None else tried.union(bad)
-        failed = tried.groupBy(F.col("a").alias("k")).agg(F.collect_set("b").alias("failed"))
-        of = (nodes.select("k", "sig").withColumn("component", F.col("k")) if labels is None else
-              nodes.select("k", "sig").join(labels.withColumnRenamed("node", "k"), "k", "left"))
-        members = (of.join(failed, "k", "left").select(
-            "k", "sig", F.coalesce("component", "k").alias("label"),
-            F.coalesce("failed", F.array().cast("array<long>")).alias("failed")))
-        forests *= 2
+            members = (nodes.select("k", "sig").join(labels.withColumnRenamed("node", "k"), "k", "left")
+                       .select("k", "sig", F.coalesce("component", "k").alias("label")))
 
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",

@@ -107,16 +107,19 @@ def test_near_duplicates_whose_first_pairs_fail(spark):
 
 def _rounds(spark, sigs):
     """Classes of signatures that share one band, pairs verified by the signatures themselves,
-    and the largest number of texts among the pairs of a task."""
+    and the largest number of texts among the pairs of a task. No task tries a pair twice."""
     from reviewlake.llm.near_dup import band_groups, candidate_pairs
     n = len(sigs)
     nodes = spark.createDataFrame([(k, bytearray(s.tobytes()), [5]) for k, s in enumerate(sigs)],
                                   "k long, sig binary, bands array<long>")
-    rows, label, failed, most = band_groups(nodes), list(range(n)), [[] for _ in range(n)], 0
+    rows, label, tried, most, every = band_groups(nodes), list(range(n)), None, 0, Counter()
     while True:
-        state = spark.createDataFrame(list(zip(range(n), label, failed, strict=True)),
-                                      "k long, label long, failed array<long>")
-        got = candidate_pairs(rows, nodes.select("k", "sig").join(state, "k"), 4).collect()
+        state = spark.createDataFrame(list(enumerate(label)), "k long, label long")
+        proposed = candidate_pairs(rows, nodes.select("k", "sig").join(state, "k"), 4, tried=tried)
+        tried = proposed if tried is None else tried.union(proposed)
+        got = set(proposed.collect())
+        every.update(got)
+        assert max(every.values(), default=1) == 1
         if not got:
             return label, most
         tasks = {}
@@ -125,8 +128,6 @@ def _rounds(spark, sigs):
             if (sigs[x.a] == sigs[x.b]).mean() >= 0.8:
                 old, new = sorted((label[x.a], label[x.b]), reverse=True)
                 label = [new if v == old else v for v in label]
-            else:
-                failed[x.a].append(x.b)
         most = max(most, *map(len, tasks.values()))
 
 
@@ -174,6 +175,33 @@ def test_tasks_hold_two_parts_at_most(spark, monkeypatch):
     assert most <= sum(sorted(parts.values())[-2:]) < 4 * 16
 
 
+def test_classes_equal_those_of_all_pairs(spark):
+    from reviewlake.llm import near_dup
+    r = random.Random(12)
+    rows = []
+    for family in range(6):         # copies edited more and more, some below the threshold
+        base = [f"f{family}w{r.randrange(10 ** 6)}" for _ in range(150)]
+        for _ in range(25):
+            words = base[:]
+            for i in r.sample(range(150), r.randint(0, 7)):
+                words[i] = f"x{r.randrange(10 ** 9)}"
+            rows.append((len(rows), " ".join(words)))
+    import pyarrow as pa
+    chunk = next(iter(near_dup.chunks(pa.array([t for _, t in rows]))))
+    shingle, bounds = near_dup.shingles(chunk)
+    import numpy as np
+    sets = [np.unique(shingle[bounds[i]:bounds[i + 1]], return_counts=True) for i in range(len(rows))]
+    want = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if want[i] != want[j] and near_dup.probability_jaccard(*sets[i], *sets[j]) >= 0.8:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if v == old else v for v in want]
+    got = near_dup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id: x.class_id for x in got.collect()} == dict(enumerate(want))
+    assert 6 < len(set(want)) < len(rows)
+
+
 def test_components(spark):
     from reviewlake.llm.components import components
     r = random.Random(1)
