@@ -106,9 +106,14 @@ def link_quotes(messages: DataFrame) -> DataFrame:
                          F.col("uid").alias("asker"), "level", "passage", "whole")
     here = latest_before(said.unionByName(asks), ["conv", "hash"], "place", "said", "source").where(
         "asker is not null")
-    first = own.groupBy("hash").agg(F.min(F.struct("conv", "place", "uid")).alias("first"))
-    both = here.join(first, "hash", "left").withColumn("elsewhere", F.when(
-        F.col("first.conv") != F.col("conv"), F.col("first.uid")))
+    # The first message of each of the two lowest conversations that say it: one of them is
+    # not the asker's own.
+    by_conv = own.groupBy("hash", "conv").agg(F.min(F.struct("place", "uid")).getField("uid").alias("from"))
+    two = (by_conv.withColumn("turn", F.row_number().over(W.partitionBy("hash").orderBy("conv")))
+           .where("turn <= 2").groupBy("hash").agg(F.min(F.struct("conv", "from")).alias("first"),
+                                                   F.max(F.struct("conv", "from")).alias("second")))
+    both = here.join(two, "hash", "left").withColumn("elsewhere", F.coalesce(
+        *(F.when(F.col(f"{c}.conv") != F.col("conv"), F.col(f"{c}.from")) for c in ("first", "second"))))
     # Preferred: the same conversation, then whole passages, then the latest.
     best = F.max(F.when(F.col("source").isNotNull() | F.col("elsewhere").isNotNull(), F.struct(
         F.col("source").isNotNull().alias("same"), "whole", F.col("source.place").alias("place"),
