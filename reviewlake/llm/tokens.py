@@ -6,6 +6,7 @@ each distinct pre-token is encoded once per worker process by the tokenizer.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,9 @@ class Encoder:
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.alphabet = {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+        # Added tokens are found in the text before it is split, wherever they stand.
+        self.added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.find_added = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)))
         self.forget()
 
     def forget(self) -> None:
@@ -86,6 +90,24 @@ class Encoder:
 
     def encode(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk's texts end to end, and n+1 offsets into them."""
+        whole = chunk.data.tobytes()
+        if not any(t in whole for t in self.added):
+            return self.encode_plain(chunk)
+        # Added tokens are segments of their own; what stands between them is split by itself.
+        found = [(o + m.start(), o + m.end()) for o, e in zip(chunk.offs[:-1].tolist(), chunk.offs[1:].tolist(), strict=True)
+                 for m in self.find_added.finditer(whole[o:e])]
+        segments = np.unique(np.concatenate((chunk.offs, np.array(found, np.int64).reshape(-1))))
+        ids, offs = self.encode_plain(Chunk(chunk.first, chunk.data, segments))
+        parts, at, count = [], 0, np.diff(offs)
+        for start, end in found:
+            i = int(np.searchsorted(segments, start))
+            parts += [ids[at:offs[i]], np.array([self.added[whole[start:end]]], np.uint32)]
+            at, count[i] = offs[i + 1], 1
+        total = np.concatenate(([0], np.cumsum(count)))
+        return np.concatenate([*parts, ids[at:]]), total[np.searchsorted(segments, chunk.offs)]
+
+    def encode_plain(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens."""
         text = chunk.data.tobytes().decode()
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         begin = np.flatnonzero((chunk.data & 0xC0) != 0x80)
