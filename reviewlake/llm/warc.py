@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -61,6 +61,15 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(rest[:cut].lower().split("."))) + ")" + (rest[cut:] or "/")
 
 
+def _utc(at: Column) -> Column:
+    """A moment in UTC as archives write it, whatever the session's zone."""
+    second = F.unix_seconds(at)
+    day = F.date_from_unix_date(F.floor(second / 86400).cast("int")).cast("string")
+    of_day = F.pmod(second, F.lit(86400))
+    clock = F.format_string("T%02d:%02d:%02dZ", F.floor(of_day / 3600), F.floor(of_day / 60) % 60, of_day % 60)
+    return F.concat(day, clock)
+
+
 def captures(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
              html_col: str = "html", time_col: str | None = None) -> DataFrame:
     """The pages with a row number, payload size and digest, written."""
@@ -70,7 +79,7 @@ def captures(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                         F.col(id_col).cast("long").alias("page_id"),
                         F.regexp_replace(F.regexp_replace(F.col(url_col).cast("string"), "\r", "%0D"),
                                          "\n", "%0A").alias("url"),
-                        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"),
+                        _utc(at).alias("at"),
                         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
