@@ -20,8 +20,10 @@ words (a shorter part: the part itself) must stand in the passage.
 Items are indexed in shards of at most ``SHARD_ITEMS``, so what a task holds does
 not grow with the benchmark; every document is compared with every shard.
 
-Defined cases: null texts and texts or items without words match nothing; items
-of equal text are reported each; repeated documents are reported each; an empty
+Defined cases: null texts and texts or items without words match nothing; an item
+without an id is an item like others, reported under a null; items of equal text are
+reported each; documents are dropped by their text (a 64-bit hash of it), whatever their
+ids; repeated documents are reported each; an empty
 table on either side gives no rows; columns other than the named are not looked at.
 """
 
@@ -109,7 +111,7 @@ class Index:
     """Inverted index of one shard of items: impacts, block maxima, thresholds."""
 
     def __init__(self, items: list[Item], df: dict[int, int], n_items: int, mean_words: float) -> None:
-        items = sorted(items, key=lambda i: i.item_id)
+        items = sorted(items, key=lambda i: (i.item_id is not None, i.item_id or 0))
         self.items = items
         self.terms = np.unique(np.concatenate([i.words for i in items]))
         idf = np.array([math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) for t in self.terms.tolist()])
@@ -211,7 +213,7 @@ def build_shards(items: DataFrame, *, item_col: str = "item_id", text_col: str =
                  shard_items: int = SHARD_ITEMS) -> tuple[DataFrame, int]:
     """The items with their shard number, written, and the number of shards."""
     named = items.select(F.col(item_col).cast("long").alias("item_id"),
-                         F.col(text_col).cast("string").alias("text")).dropna()
+                         F.col(text_col).cast("string").alias("text")).dropna(subset=["text"])
     n = named.count()
     shards = max(1, -(-n // shard_items))
     return written(named.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int")),
@@ -291,6 +293,9 @@ def _search(rows: DataFrame, index: Index, stride: int) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    hit = written(find_contaminated(docs, items, id_col=id_col, text_col=text_col)
+    # Told by the text: rows that share an id, or have none, are judged one by one.
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    hit = written(find_contaminated(docs.select(key.alias("_hit"), F.col(text_col).alias("_text")), items,
+                                    id_col="_hit", text_col="_text")
                   .select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
-    return docs.join(hit, F.col(id_col).cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+    return docs.join(hit, key == F.col("_hit"), "left_anti")

@@ -298,3 +298,66 @@ def test_collocation_scores_are_exact_beyond_64_bits(spark):
     got = spark.sql(f"SELECT (CAST(1000 * {a}L AS DECIMAL(19, 0)) * CAST({n}L AS DECIMAL(19, 0))) div "
                     f"(CAST({left}L AS DECIMAL(19, 0)) * CAST({right}L AS DECIMAL(19, 0)))").first()[0]
     assert got == 1000 * a * n // (left * right)
+
+
+# -- contracts of earlier operators ----------------------------------------
+
+def test_a_quote_is_linked_though_its_own_conversation_says_it_later(spark):
+    from reviewlake.llm.quotations import reply_conversations
+    said = "the quick brown fox jumps over it"
+    rows = [(1, 0, "user", "hello there"), (1, 1, "assistant", f"> {said}\nindeed"), (1, 2, "user", said),
+            (2, 0, "user", said), (3, 0, "user", f"> {said}")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.n_linked for r in reply_conversations(frame).collect()}
+    assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 0, (2, 0): 0, (3, 0): 1}
+    only = reply_conversations(frame.where("conv_id = 1")).where("turn = 1").first()
+    assert only.n_linked == 0
+
+
+def test_added_tokens_have_their_ids_anywhere(spark):
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from reviewlake.llm.queries import byte_bpe_path
+    from reviewlake.llm.textbytes import chunks
+    from reviewlake.llm.tokens import encoder
+    r = random.Random(8)
+    bits = ["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "a", "don't", "\n", "é", "12", "<", "word"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 9))) for _ in range(600)] + ["<|endoftext|>", "<|endof", "text|>"]
+    tok, enc = Tokenizer.from_file(byte_bpe_path()), encoder(byte_bpe_path())
+    chunk = next(iter(chunks(pa.array(texts))))
+    ids, offs = enc.encode(chunk)
+    for i, t in enumerate(texts):
+        assert np.array_equal(ids[offs[i]:offs[i + 1]], tok.encode(t, add_special_tokens=False).ids), t
+
+
+def test_archive_dates_are_utc_in_any_session_zone(spark):
+    from reviewlake.llm.warc import captures
+    pages = spark.createDataFrame([(1, "u", "x"), (None, "u", "y"), (90_000, "v", "z")], "page_id long, url string, html string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("America/New_York", "Asia/Kolkata", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = {r.page_id: r["at"] for r in captures(pages).collect()}
+            assert got == {1: "2000-01-01T00:00:01Z", None: "2000-01-01T00:00:00Z", 90_000: "2000-01-02T01:00:00Z"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_items_and_documents_without_ids_are_judged_by_their_texts(spark):
+    from reviewlake.llm.decontaminate import drop_contaminated, find_contaminated
+    r = random.Random(9)
+
+    def words(n):
+        return " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    items = [words(30) + ". " + words(8) + "." for _ in range(4)]
+    clean = [words(120) for _ in range(4)]
+    bench = spark.createDataFrame([(None, items[0]), (None, items[1]), (7, items[2]), (8, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, clean[0]), (None, f"{clean[1]} {items[0]} {clean[2]}"), (None, clean[3]),
+                                  (5, f"{items[2]} {clean[1]}"), (5, clean[1]), (6, None)], "doc_id long, text string")
+    found = find_contaminated(docs, bench)
+    assert sorted(((x.doc_id, x.item_id) for x in found.collect()), key=str) == [(5, 7), (None, None)]
+    kept = drop_contaminated(docs.withColumn("_hit", F.lit(1)).drop("_hit"), bench)
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted(
+        [(None, clean[0]), (None, clean[3]), (5, clean[1]), (6, None)], key=str)
