@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlake.llm import storage
 from reviewlake.llm.storage import shared_folder, written
 from reviewlake.llm.textbytes import Chunk, chunks
 
@@ -92,7 +93,7 @@ def write_blocks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield block()
 
     name = f"llm_blocks_{uuid.uuid4().hex}"
-    parts = 2 * max(1, -(-n_bytes // block_bytes))
+    parts = min(2 * max(1, -(-n_bytes // block_bytes)), storage.MAX_BUCKETS)
     (rows.mapInArrow(run, BLOCK_SCHEMA).write.format("parquet").option("compression", "zstd")
          .option("path", f"{shared_folder(spark)}/{name}").bucketBy(parts, "block").saveAsTable(name))
     return Blocks(spark.table(name), parts, n_bytes)

@@ -7,6 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Buckets that Spark allows a table to have at most (``spark.sql.sources.bucketing.maxBuckets``).
+#: Beyond it a bucket holds several keys or blocks, one after the other.
+MAX_BUCKETS = 100_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a folder in the warehouse (in tests
     the session's checkpoint folder)."""
@@ -31,7 +36,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def written_by(df: DataFrame, key: str, parts: int, tag: str) -> DataFrame:
     """Like ``written``, dealt by a key into ``parts`` buckets, so that what needs the
     rows of a key together reads them without another shuffle."""
-    name = f"llm_{tag}_{uuid.uuid4().hex}"
+    name, parts = f"llm_{tag}_{uuid.uuid4().hex}", min(parts, MAX_BUCKETS)
     (df.repartition(parts, key).write.format("parquet").option("compression", "zstd")
        .option("path", f"{shared_folder(df.sparkSession)}/{name}").bucketBy(parts, key).saveAsTable(name))
     return df.sparkSession.table(name)

@@ -144,6 +144,24 @@ def test_suffix_dedup(spark, corpus, monkeypatch):
     assert repeated_spans(docs.limit(0)).isEmpty() and cut_repeats(docs.limit(0)).isEmpty()
 
 
+def test_more_blocks_than_a_table_may_have_buckets(spark, corpus, monkeypatch):
+    from reviewlake.llm import blocks, storage
+    from reviewlake.llm.suffix_dedup import repeated_spans
+    docs, rows = corpus
+    monkeypatch.setattr(storage, "MAX_BUCKETS", 3)
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", 2000)
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "3")
+    try:
+        made = blocks.write_blocks(docs, block_bytes=200)
+        assert made.parts == 3 and made.frame.count() > 20
+        texts = Counter(c.text(i) for _, c in map(blocks.unpack, (r.asDict() for r in made.frame.collect()))
+                        for i in range(len(c)))
+        assert texts == Counter((t or "").encode() for _, t, _ in rows)
+        assert Counter(tuple(r)[:5] for r in repeated_spans(docs).collect()) == brute_spans(rows)
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+
+
 def brute_tree(texts, learnt, depth):
     """Context trees by their definition, node by node."""
     count = defaultdict(lambda: [0, 0])
