@@ -6,8 +6,8 @@ Every remaining paragraph earns points for its length and commas and passes them
 its ancestors, in full to the parent and less with each level; an element's score is
 its points times its share of text outside links. The best element is the container
 (or the article or main element around it, or the elements that hold no other text);
-of its siblings those without a link are kept with it, of the others those that score
-well too, and a heading before it.
+of its siblings those with text are kept with it unless a third of it is links, and a
+heading before it.
 
 Blocks are the texts between block-level tags, character references decoded,
 white space turned into one space, trimmed, joined by line ends in page order.
@@ -58,6 +58,7 @@ PARAGRAPHS = frozenset("p pre td blockquote li dd h2 h3 h4 h5 h6 figcaption".spl
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_UNCLOSED = re.compile(r"<!--.*|<!\[CDATA\[.*", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -103,16 +104,23 @@ def parse(page: str) -> Node:
     """The element tree of a page; texts are strings among the children."""
     root = at = Node("#root", None)
     place = 0
+    # No tag ends beyond the last ">", so none is looked for there: unclosed ones cost nothing.
+    last = page.rfind(">") + 1
     while True:
-        token = _TOKEN.search(page, place)
+        token = (_TOKEN.search(page, place, last) if place < last else None) or _UNCLOSED.search(page, max(place, last))
         end = token.start() if token else len(page)
         if end > place:
             at.children.append(page[place:end])
         if token is None:
             return root
         place = token.end()
+        if token[0].startswith("<!--"):
+            place = place if token[0].endswith("-->") else len(page)
+            continue
         if token[0].startswith("<![CDATA["):
-            at.children.append(html.escape(token[0][9:-3]))
+            if not token[0].endswith("]]>"):
+                place = len(page)
+            at.children.append(html.escape(page[token.start() + 9:place].removesuffix("]]>")))
             continue
         closing, tag, attributes = (token[1], token[2], token[3]) if token[2] else (
             token[4], token[5], token[6])
@@ -216,17 +224,13 @@ def main_blocks(page: str) -> list[str]:
     while around is None and best.parent.tag not in ("body", "html", "#root") \
             and best.parent.length == best.length:
         best = best.parent      # a wrapper without other text
-    least = 0.2 * scores.get(id(best), 0.0)
     siblings = [c for c in best.parent.children if type(c) is Node and not c.cut]
     at = siblings.index(best)
     kept = []
     for i, c in enumerate(siblings):
-        dense = c.length and c.linked / c.length > 0.33
-        plain = c.length and not c.linked
-        long_p = c.tag in PARAGRAPHS and c.length > 80 and not dense
+        text = c.length and c.linked / c.length <= 0.33
         heading = i == at - 1 and c.tag in ("h1", "h2")
-        same = c.tag == best.tag and c.tag != "article" or c.tag in ("div", "section")
-        if c is best or heading or plain or long_p or (same and scores.get(id(c), 0.0) >= least and not dense):
+        if c is best or heading or text:
             kept.append(c)
     return _blocks(kept)
 

@@ -361,3 +361,61 @@ def test_items_and_documents_without_ids_are_judged_by_their_texts(spark):
     kept = drop_contaminated(docs.withColumn("_hit", F.lit(1)).drop("_hit"), bench)
     assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted(
         [(None, clean[0]), (None, clean[3]), (5, clean[1]), (6, None)], key=str)
+
+
+def test_linked_paragraphs_and_further_articles_stay(spark):
+    from reviewlake.llm.main_text import main_blocks
+    body = "".join(f"<p>{'A sentence of the article, with commas, and more. ' * 4}{i}</p>" for i in range(3))
+    linked = "<p>Also told, at length, with <a href='x'>a link</a> inside of a longer paragraph here.</p>"
+    nav = "<ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li></ul>"
+    links = "<div><a href='y'>Only links here</a> <a href='z'>and more of them</a></div>"
+    pages = [f"<body><div><div>{body}</div><div>{linked}</div>{links}</div>{nav}</body>",
+             f"<body><main><article>{body}</article><article>{linked}</article>{links}</main></body>",
+             f"<body><main><article>{body}</article><section>{linked}</section>{links}</main></body>"]
+    for page in pages:
+        got = main_blocks(page)
+        assert len(got) == 4 and got[3].startswith("Also told") and "Only links" not in " ".join(got)
+
+
+def test_generated_pages_give_their_article_and_nothing_else(spark):
+    """Pages without article or main, from known parts: the text is what was put in."""
+    from reviewlake.llm.main_text import main_texts
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdeéfgh") for _ in range(r.randint(2, 8)))
+    say = lambda n: " ".join(word() for _ in range(n)).capitalize() + ", " + word() + "."
+    menu = lambda: "<ul>" + "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(r.randint(3, 7))) + "</ul>"
+    junk = [lambda: f"<nav>{menu()}</nav>", lambda: f"<div class='sidebar'>{say(20)}</div>",
+            lambda: f"<div id=cookie-notice>{say(9)}</div>", lambda: f"<form><p>{say(12)}</p></form>",
+            lambda: f"<script>if (a < b) {{ {word()} }}</script>", lambda: f"<div class=comments><p>{say(30)}</p></div>",
+            lambda: f"<footer>{say(6)}</footer>", lambda: "<!-- " + say(5) + " -->", menu]
+    rows, want = [], {}
+    for i in range(60):
+        blocks, parts = [], []
+        for _ in range(r.randint(3, 8)):
+            text = say(r.randint(25, 60))
+            blocks.append(text)
+            words = text.split(" ")
+            if r.random() < .4:
+                words[3] = f"<a href='#'>{words[3]}</a>"
+            if r.random() < .4:
+                words[5] = f"<b>{words[5].replace('e', '&#101;')}</b>"
+            parts.append(r.choice(["<p>%s</p>", "<p>%s", "<blockquote>%s</blockquote>"]) % r.choice([" ", "\n\t "]).join(words))
+        before, after = ("".join(f() for f in r.sample(junk, 4)) for _ in range(2))
+        wrap = r.choice(["<div>%s</div>", "<div class=post><div>%s</div></div>", "<td>%s</td>"])
+        wrap = "<table><tr>" + wrap + "</tr></table>" if wrap.startswith("<td") else wrap
+        rows.append((i, f"u{i}", f"<html><head><title>{word()}</title></head><body>{before}{wrap % ''.join(parts)}{after}</body>"))
+        want[i] = "\n".join(blocks)
+    frame = spark.createDataFrame([*rows, (None, None, None)], "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in main_texts(frame).collect()}
+    assert got == {**want, None: ""} and main_texts(frame.limit(0)).isEmpty()
+
+
+def test_long_and_broken_pages_take_time_in_proportion():
+    import time
+
+    from reviewlake.llm.main_text import main_blocks
+    for page in ("<p>text here</p>" + "<a " * 350_000, "a > b " + "<a " * 350_000, "<p>t" + "<!-- " * 200_000):
+        start = time.perf_counter()
+        main_blocks(page)
+        assert time.perf_counter() - start < 2
+    assert main_blocks("<p>a</p><!-- b > c") == ["a"] and main_blocks("<p>a</p><![CDATA[x<y") == ["a", "x<y"]
