@@ -10,6 +10,11 @@ read again as the next one's documents. All but the last return the columns of
    document of smaller id (a character cut into goes whole) and renews ``n_chars``.
 4. ``decontaminate`` drops documents that hold a benchmark item.
 5. ``packing`` packs the documents into sequences of at most 2048 tokens.
+
+Defined cases: a null or empty text has fewer than 20 words, so the rules drop it; rows
+that share an id are judged by their texts; of repeated rows one stays (``near_dedup``); an
+empty table gives no rows; a text of any length goes through whole; further columns of
+``documents``, whatever their names, go along up to the packing, whose rows are pieces.
 """
 
 from __future__ import annotations

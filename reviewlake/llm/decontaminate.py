@@ -294,8 +294,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_i
                       text_col: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     # Told by the text: rows that share an id, or have none, are judged one by one.
+    name = "_hit"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    hit = written(find_contaminated(docs.select(key.alias("_hit"), F.col(text_col).alias("_text")), items,
-                                    id_col="_hit", text_col="_text")
-                  .select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
-    return docs.join(hit, key == F.col("_hit"), "left_anti")
+    hit = written(find_contaminated(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), items,
+                                    id_col="_key", text_col="_text")
+                  .select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.withColumn(name, key).join(hit, name, "left_anti").select(*docs.columns)

@@ -419,3 +419,37 @@ def test_long_and_broken_pages_take_time_in_proportion():
         main_blocks(page)
         assert time.perf_counter() - start < 2
     assert main_blocks("<p>a</p><!-- b > c") == ["a"] and main_blocks("<p>a</p><![CDATA[x<y") == ["a", "x<y"]
+
+
+# -- the pipeline on odd tables --------------------------------------------
+
+def test_pipeline_takes_nulls_repeats_clashing_columns_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+    sf = "/root/testdata/sf0.001"
+    some = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null and lang = 'en'").orderBy("doc_id").limit(60)
+    long = some.agg(F.max("doc_id")).first()[0] + 1
+    r = random.Random(3)
+    text = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9))) for _ in range(30_000))
+    odd = spark.createDataFrame([(None, None, "en", "s", 0), (long, "", "en", "s", 0), (long, " \n", None, None, None),
+                                 (None, text, "en", "s", len(text)), (None, text, "en", "s", len(text))], some.schema)
+    docs = some.union(odd).union(some.limit(5)).withColumns(
+        {c: F.lit("x") for c in ("length", "k", "component", "label", "_hit", "block")})
+    folder = str(tmp_path / "sf")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    frame, sizes = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for k, (_, stage) in enumerate(cp.STAGES):
+        frame = stage(spark, frame, folder)
+        if k < len(cp.STAGES) - 1:
+            frame = cp.written(frame, f"test-stage-{k}")
+            assert frame.columns == docs.columns
+            sizes.append(frame.count())
+    assert sizes == sorted(sizes, reverse=True) and sizes[1] < sizes[0]
+    pieces = frame.collect()
+    assert max(p.length for p in pieces) <= 2048 and sum(p.doc_id is None for p in pieces) >= 20
+    empty = str(tmp_path / "empty")
+    spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{empty}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{empty}/{name}.parquet")
+    assert cp.run(spark, empty).isEmpty()
