@@ -30,3 +30,20 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
         if new.where("moved").isEmpty():
             return labels.withColumnRenamed("label", "component")
+
+
+def merged_components(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The labels (node, component) of all edges so far, from those before ``edges`` and the new
+    ones: the old components, as nodes, are connected by the new edges."""
+    if labels is None:
+        return components(edges)
+    ends = edges.select("a", "b")
+    for c in ("a", "b"):
+        of = labels.select(F.col("node").alias(c), F.col("component").alias("_of"))
+        ends = ends.join(of, c, "left").withColumn(c, F.coalesce("_of", c)).drop("_of")
+    joined = components(ends.where("a <> b"))
+    old = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_new")),
+                      "component", "left").select("node", F.coalesce("_new", "component").alias("component"))
+    # Nodes that had no edge before; a component's least node is in the old labels.
+    fresh = joined.join(labels.select("node"), "node", "left_anti")
+    return written(old.unionByName(fresh), "labels")

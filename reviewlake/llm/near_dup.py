@@ -31,8 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.llm.components import components
-from reviewlake.llm.storage import written
+from reviewlake.llm.components import merged_components
+from reviewlake.llm.storage import Rounds, written
 from reviewlake.llm.textbytes import (LOWER, Chunk, byte_prefix_hash, chunks, distinct, mix, owners,
                                       prefix_hash, salted, span_hash, words)
 
@@ -291,6 +291,8 @@ def candidate_pairs(rows: DataFrame, members: DataFrame, forests: int, across: b
     tasks = open_tasks(rows, members.select("k", "label"), across)
     if last is not None:
         tasks = tasks.join(last.select(*TASK).distinct(), TASK, "left_semi")
+    # Written, as two sides of what follows begin with them.
+    tasks = written(tasks, "tasks")
     part = F.explode(F.array_distinct(F.array("low", "high"))).alias("part")
     dealt = (rows.join(tasks.select(*TASK, part), ["key", "part"]).join(members, "k")
              .select(*TASK, "k", "sig", "label").groupBy(*TASK))
@@ -346,13 +348,14 @@ def near_duplicate_labels(docs: DataFrame, nodes: DataFrame, *, text_col: str,
     left = texts.select(F.col("k").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("k").alias("b"), F.col("text").alias("text_b"))
     members = nodes.select("k", "sig", F.col("k").alias("label"))
-    links = tried = labels = seen = last = None
+    labels = last = None
+    proposals, verified = Rounds(docs.sparkSession, "proposals"), Rounds(docs.sparkSession, "verified")
     large = not rows.where("parts > 1").isEmpty()
     stages = [(n, False) for n in (*FIRST_BANDS, BANDS)] if large else [(n, True) for n in FIRST_BANDS]
     forests = 1
     while True:
         bands, across = stages.pop(0) if stages else (BANDS, True)
-        proposed = candidate_pairs(rows.where(F.col("band") < bands), members, forests, across, last, tried)
+        proposed = candidate_pairs(rows.where(F.col("band") < bands), members, forests, across, last, proposals.all())
         final = not stages and bands == BANDS and across
         if proposed.isEmpty():
             if final:
@@ -360,17 +363,15 @@ def near_duplicate_labels(docs: DataFrame, nodes: DataFrame, *, text_col: str,
             continue
         if final:
             last, forests = proposed, forests * 2
-        tried = proposed if tried is None else tried.union(proposed)
         pairs = proposed.select("a", "b").distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        got = written(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-                      .mapInArrow(_verified(), "a long, b long, similarity double"), "verified")
-        seen = got.select("a", "b") if seen is None else seen.union(got.select("a", "b"))
+        if verified.all() is not None:
+            pairs = pairs.join(verified.all().select("a", "b"), ["a", "b"], "left_anti")
+        got = verified.add(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+                           .mapInArrow(_verified(), "a long, b long, similarity double"))
+        proposals.add(proposed)
         new = got.where(F.col("similarity") >= threshold - 1e-12).select("a", "b")
         if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            labels = components(links)
+            labels = merged_components(labels, new)
             members = (nodes.select("k", "sig").join(labels.withColumnRenamed("node", "k"), "k", "left")
                        .select("k", "sig", F.coalesce("component", "k").alias("label")))
 

@@ -33,6 +33,26 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Tables of the same columns, one per round, in one folder of the shared folder: all of
+    them are one scan, however many rounds there were."""
+
+    def __init__(self, spark: SparkSession, tag: str) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+        self.schema, self.n = None, 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write a round; its own rows, read back."""
+        self.schema, path = df.schema, f"{self.folder}/round={self.n}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.n += 1
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame | None:
+        """The rows of all rounds; None before the first."""
+        return self.spark.read.schema(self.schema).parquet(self.folder).drop("round") if self.n else None
+
+
 def written_by(df: DataFrame, key: str, parts: int, tag: str) -> DataFrame:
     """Like ``written``, dealt by a key into ``parts`` buckets, so that what needs the
     rows of a key together reads them without another shuffle."""

@@ -453,3 +453,17 @@ def test_pipeline_takes_nulls_repeats_clashing_columns_and_empty_tables(spark, t
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{empty}/{name}.parquet")
     assert cp.run(spark, empty).isEmpty()
+
+
+def test_components_merge_as_edges_come(spark):
+    from reviewlake.llm.components import components, merged_components
+    r = random.Random(11)
+    edges, labels = [], None
+    for _ in range(4):
+        new = [tuple(sorted(r.sample(range(60), 2))) for _ in range(9)]
+        edges += new
+        labels = merged_components(labels, spark.createDataFrame(new, "a long, b long"))
+        want = components(spark.createDataFrame(edges, "a long, b long"))
+        assert sorted(labels.collect()) == sorted(want.collect())
+    again = merged_components(labels, spark.createDataFrame(edges[:5], "a long, b long"))
+    assert sorted(again.collect()) == sorted(labels.collect())
