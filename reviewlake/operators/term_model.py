@@ -14,8 +14,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.functions.text import sentiment_tokens
+from reviewlake.functions.text import counted, sentiment_tokens
 from reviewlake.operators.sentiment import SENTIMENT, with_text
+from reviewlake.operators.tfidf import materialize
 from reviewlake.operators.traits import trait_counts
 
 
@@ -45,9 +46,10 @@ def regression_table(model: PipelineModel, terms: DataFrame) -> tuple[DataFrame,
 def log_odds_table(labelled: DataFrame, text: str = "ReviewText", label: str = "label") -> tuple[DataFrame, DataFrame]:
     """(term, weight): smoothed log-odds of a token in reviews of class 1 against class 0;
     and the one-row table of the intercept, the log-odds of the classes."""
-    tokens = token_counts(labelled, [label], text).groupBy("term").agg(
+    # Written: the texts are read once, not for each of the sums and for the weights.
+    tokens = materialize(token_counts(labelled, [label], text).groupBy("term").agg(
         F.sum(F.when(F.col(label) == 1, F.col("tf")).otherwise(0)).alias("n1"),
-        F.sum(F.when(F.col(label) == 0, F.col("tf")).otherwise(0)).alias("n0"))
+        F.sum(F.when(F.col(label) == 0, F.col("tf")).otherwise(0)).alias("n0")))
     sizes = tokens.agg(F.sum("n1").alias("s1"), F.sum("n0").alias("s0"), F.count(F.lit(1)).alias("v"))
     s1, s0, v = (sizes.select(c).scalar() for c in ("s1", "s0", "v"))
     weight = F.log((F.col("n1") + 1) / (s1 + v)) - F.log((F.col("n0") + 1) / (s0 + v))
@@ -62,9 +64,9 @@ def score_by_table(reviews: DataFrame, weights: DataFrame, intercept, key: str =
     that a class does not hang on the order of a sum. ``intercept``: a number or a scalar column.
 
     Tokens meet the table by a join on the term; the table has one row per term, so only
-    the tokens' side can be skewed, which AQE splits.
+    the tokens' side can be skewed, which AQE splits. Tokens are counted in their review's row.
     """
-    tf = token_counts(reviews, [review_id], text)
+    tf = with_text(reviews, text).select(review_id, F.inline(counted(sentiment_tokens(text))))
     sums = tf.join(weights, "term").groupBy(review_id).agg(F.sum(F.col("tf") * F.col("weight")).alias("s"))
     base = F.lit(intercept) if isinstance(intercept, (int, float)) else intercept
     scored = (with_text(reviews, text).select(review_id, key).join(sums, review_id, "left")

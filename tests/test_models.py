@@ -111,3 +111,36 @@ def test_factorisation_equals_numpy_and_its_error_falls(spark):
         assert np.allclose(matrix(last[0], "prod_id", ids), w) and np.allclose(matrix(last[1], "term", names).T, h)
         assert np.allclose([e[cat] for e in errors], [want[0], want[1], want[3]])
         assert want[0] > want[1] > want[2] > want[3] and (w >= 0).all()
+
+
+def test_terms_are_counted_in_their_documents_row(spark):
+    from collections import Counter
+
+    from reviewlake.functions.text import counted
+    from reviewlake.operators.tfidf import document_frequencies, term_frequencies
+    rows = [(1, "c", "red Red blue, the red"), (1, "c", "blue x green"), (2, None, "red the the"), (3, "c", None),
+            (4, "c", ""), (5, "c", " , "), (None, "c", "red"), (6, "d", "one")]
+    docs = spark.createDataFrame(rows, "prod_id int, category string, description string")
+    tf = term_frequencies(docs)
+    assert {(r.prod_id, r.category, r.term, r.tf) for r in tf.collect()} == {
+        (1, "c", "red", 3), (1, "c", "blue", 2), (1, "c", "green", 1), (2, None, "red", 1), (None, "c", "red", 1),
+        (6, "d", "one", 1)}
+    # One grouping, on the document; no table of all terms of a task's documents.
+    plan = tf._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
+    assert {(r.category, r.term): r.df for r in document_frequencies(tf).collect()}["c", "red"] == 2
+    words = [["b", "a", "b", "", "a", "b"], [], ["z"]]
+    got = spark.createDataFrame([(w,) for w in words], "w array<string>").select(counted(F.col("w")).alias("n")).collect()
+    assert [{x.term: x.tf for x in r.n} for r in got] == [dict(Counter(w)) for w in words]
+
+
+def test_the_table_of_weights_reads_the_texts_once(spark):
+    rows = [(1, "p", "good good", 1), (2, "p", "bad", 0), (3, "q", "", 1)]
+    labelled = spark.createDataFrame(rows, "review_id int, ProdID string, ReviewText string, label int")
+    weights, classes = tm.log_odds_table(labelled)
+    assert "explode" not in weights._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.review_id: r.margin for r in tm.score_by_table(labelled, weights, classes.scalar()).collect()}
+    n1, n0, s1, s0, v = {"good": 2, "": 1}, {"bad": 1}, 3, 1, 3
+    want = {w: np.log((n1.get(w, 0) + 1) / (s1 + v)) - np.log((n0.get(w, 0) + 1) / (s0 + v)) for w in ("good", "bad", "")}
+    base = np.log(3 / 2)
+    assert np.allclose([got[1], got[2], got[3]], [base + 2 * want["good"], base + want["bad"], base + want[""]], atol=2e-6)
