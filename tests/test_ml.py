@@ -63,3 +63,15 @@ def test_hash_sample_takes_rows_of_all_products(spark):
     first = sm.training_set(df, cap=200).select("ProdID").distinct().count()
     spread = sm.training_set(df, cap=200, sample=True)
     assert first == 2 and spread.count() == 200 and spread.select("ProdID").distinct().count() == 10
+
+
+def test_topic_passes_read_written_counts(spark, monkeypatch):
+    from pyspark.ml.clustering import LDA
+
+    from reviewlake.operators import topics as tp
+    plans = []
+    fit = LDA.fit
+    monkeypatch.setattr(LDA, "fit", lambda self, df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or fit(self, df))
+    df = spark.createDataFrame([(i, f"red matte {i}") for i in range(4)] + [(9, None)], "prod_id int, description string")
+    assert sorted(r.prod_id for r in tp.dominant_topics(df.where("description is not null"), max_iter=1).collect()) == [0, 1, 2, 3]
+    assert "regexp_replace" not in plans[0] and "parquet" in plans[0]
