@@ -58,9 +58,10 @@ def open_parts(batch: DataFrame, batch_id: int, path: str, key: str, parts: int)
 
 
 def overwrite_parts(rows: DataFrame, batch_id: int, path: str, key: str, parts: int) -> None:
-    """Write the rows' partitions anew; the files of the others stay."""
+    """Write the rows' partitions anew; the files of the others stay. A task writes the rows of a
+    partition, or some of them if they are many (AQE's advisory partition size)."""
     (rows.withColumns({"_part": part_of(key, parts), "_applied": F.lit(batch_id).cast("long")})
-     .repartition(F.col("_part")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .hint("rebalance", F.col("_part")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("_part").parquet(path))
 
 

@@ -249,3 +249,17 @@ def test_pickers_are_sorted_and_rank_matches(spark):
                                "prod_id string, loc string")
     got = dash.country_counts(rv, "prod_id", "loc", {"en_CA": "Canada", "en_US": "USA"}).orderBy("rank").collect()
     assert [(r.country, r.n, r.rank) for r in got] == [("USA", 3, 1), ("Canada", 2, 2), ("xx", 1, 3)]
+
+
+def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path):
+    from reviewlake.streaming import stores
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    rows = spark.range(0, 60000, 1, 8).select(F.col("id").cast("string").alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("v"))
+    path = str(tmp_path / "t")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "500000")
+        stores.merge_partitions(rows, 0, path, "k", lambda stored, new: new, parts=1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert len(list((tmp_path / "t" / "_part=0").glob("*.parquet"))) > 1
+    assert stores.read_merged(spark, path).exceptAll(rows).isEmpty() and stores.read_merged(spark, path).count() == 60000
