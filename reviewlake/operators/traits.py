@@ -14,6 +14,7 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,15 +57,55 @@ def _count_value(col: Column, value: object) -> Column:
     return F.nullif(F.count_if(col == F.lit(value)), F.lit(0))
 
 
+def _known(traits: Sequence[Trait], column: str) -> list:
+    """The values declared for a column, by any of the traits."""
+    return list(dict.fromkeys(v for t in traits if t.column == column for v in t.values))
+
+
+def _digit(columns: Sequence[str], traits: Sequence[Trait], column: str) -> tuple[int, int]:
+    """A column's place value in the code, and its number of digits (0: no declared value)."""
+    sizes = [len(_known(traits, c)) + 1 for c in columns]
+    n = list(columns).index(column)
+    return prod(sizes[:n]), sizes[n]
+
+
+def _code(columns: Sequence[str], traits: Sequence[Trait]) -> Column | None:
+    """One number for a row's declared values; None if there are too many for exact division."""
+    scale, size = _digit(columns, traits, columns[-1])
+    if scale * size >= 2 ** 31:
+        return None
+    parts = []
+    for c in columns:
+        first = F.coalesce(*[F.when(F.col(c) == F.lit(v), F.lit(n + 1))
+                             for n, v in enumerate(_known(traits, c))], F.lit(0))
+        parts.append(first * F.lit(_digit(columns, traits, c)[0]))
+    return reduce(lambda a, b: a + b, parts).cast("int")
+
+
 def trait_counts(reviews: DataFrame, key: str, traits: Sequence[Trait]) -> DataFrame:
     """Wide profile in one pass: ``key`` + one bigint column per trait value.
 
     Rows with a null key are excluded (the join chain drops them too); null
     trait values are counted nowhere, the product row stays.
     """
-    aggs = [_count_value(F.col(t.column), v).alias(t.out_name(v))
-            for t in traits for v in t.values]
-    return reviews.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
+    rows = reviews.where(F.col(key).isNotNull())
+    columns = list(dict.fromkeys(t.column for t in traits))
+    code = _code(columns, traits)
+    if code is None:
+        return rows.groupBy(key).agg(*[_count_value(F.col(t.column), v).alias(t.out_name(v))
+                                       for t in traits for v in t.values])
+    # Counts by (key, code) are dealt by key: a key has one row per combination of its values
+    # at most, so no key is hot, and a narrow one, not one with all the counts.
+    coded = (rows.select(key, code.alias("_code")).groupBy(key, "_code").agg(F.count(F.lit(1)).alias("_n"))
+             .repartition(F.col(key)))
+    aggs = []
+    for t in traits:
+        scale, size = _digit(columns, traits, t.column)
+        at = F.pmod(F.floor(F.col("_code") / scale), F.lit(size))
+        known = _known(traits, t.column)
+        aggs += [F.nullif(F.sum(F.when(at == known.index(v) + 1, F.col("_n")).otherwise(0)), F.lit(0)).alias(t.out_name(v))
+                 for v in t.values]
+    return coded.groupBy(key).agg(*aggs)
 
 
 def merge_trait_counts(stored: DataFrame | None, batch: DataFrame, key: str) -> DataFrame:

@@ -115,3 +115,21 @@ def test_python_runs_where_it_is_needed_only(plans):
     """Block products and the sequential price fold, and what reads their tables."""
     with_python = {n for n, p in plans.items() if "InPandas" in p or "InArrow" in p or "EvalPython" in p}
     assert with_python <= {"recommend_top10", "reco_wide", "reco_details", "price_history_compat"}
+
+
+def test_a_profile_deals_narrow_counts_by_product(spark):
+    from pyspark.sql import functions as F
+
+    from reviewlake.operators import traits as tr
+    two = [tr.Trait("a", "x", ["u", "v"]), tr.Trait("b", "y", [False, True]), tr.Trait("c", "x", ["v", "w"])]
+    rows = [("p", "u", True), ("p", "v", True), ("p", "v", None), ("p", "other", False), ("q", None, None),
+            (None, "u", True), ("r", "w", False)]
+    df = spark.createDataFrame(rows, "k string, x string, y boolean")
+    got = tr.trait_counts(df, "k", two)
+    assert {tuple(r) for r in got.collect()} == {("p", 1, 2, 1, 2, 2, None), ("q",) + (None,) * 6,
+                                                 ("r", None, None, 1, None, None, 1)}
+    wide = df.where("k is not null").groupBy("k").agg(*[
+        F.nullif(F.count_if(F.col(t.column) == F.lit(v)), F.lit(0)).alias(t.out_name(v)) for t in two for v in t.values])
+    assert got.schema == wide.schema
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_code" in plan and "RepartitionByExpression" in plan
