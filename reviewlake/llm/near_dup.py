@@ -14,6 +14,10 @@ most two per text, not all. Groups beyond ``GROUP`` texts are cut into parts of
 whole texts by the exact probability Jaccard similarity; classes are the
 connected components of verified pairs. Equal texts meet once, as one node.
 
+Texts of a task whose proposed pairs failed while others are untried are sent whole to a
+task that counts what every two of them share, which gives all their similarities at
+once; it returns a forest of links, so failing pairs, however many, are never rows.
+
 Defined cases: a null text is empty; texts with fewer than five words have one
 shingle of all their words; texts without a word have no links but to equal
 texts; a null id is smaller than all others; repeated rows are one class; an empty
@@ -28,7 +32,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.llm.components import merged_components
@@ -51,6 +55,13 @@ FIRST_BANDS = (2, 8)
 VERIFY_BYTES = 4 << 20
 
 NULL_ID = -(2 ** 63)
+#: Text bytes of a part of the texts whose pairs are all told at once; a task holds two parts
+#: at most, unless a text has more.
+HELD_BYTES = 8 << 20
+#: A shingle that a text in so many has is counted by a product of matrices, a rarer one by pairs.
+DENSE = 16
+#: Columns of such a product, and pairs counted at once.
+COLUMNS, PAIRS = 512, 1 << 20
 #: A task's band key and parts.
 TASK = ["key", "low", "high"]
 SKETCH_SCHEMA = "id long, k long, sig binary, bands array<long>"
@@ -118,6 +129,84 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
     return float((1.0 / (above / u[both] + below / v[both])).sum())
 
 
+def shared_sums(text: np.ndarray, key: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
+    """n x n sums over the keys that texts i and j both have, of ``left`` of i. A text has
+    a key once. Each key costs no more than the cheaper of its pairs and a column."""
+    out = np.zeros((n, n), np.int32)
+    order = np.argsort(key, kind="stable")
+    key, text, left = key[order], text[order], left[order].astype(np.int32)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+    size = np.diff(np.append(first, len(key)))
+    wide = (size > 1) & (size * DENSE >= n)
+    kind = np.float32 if left.max(initial=1) * COLUMNS < 1 << 24 else np.float64
+    columns = np.flatnonzero(wide)
+    for some in (columns[c:c + COLUMNS] for c in range(0, len(columns), COLUMNS)):
+        column = np.repeat(np.arange(len(some)), size[some])
+        at = np.arange(len(column)) - np.repeat(np.cumsum(size[some]) - size[some], size[some]) + first[some][column]
+        has, values = np.zeros((n, len(some)), kind), np.zeros((n, len(some)), kind)
+        has[text[at], column], values[text[at], column] = 1, left[at]
+        out += (values @ has.T).astype(np.int32)
+    for f in np.unique(size[~wide & (size > 1)]).tolist():
+        starts = first[~wide & (size == f)]
+        step = max(1, PAIRS // f ** 2)
+        for some in (starts[c:c + step, None] for c in range(0, len(starts), step)):
+            at = some + np.arange(f)
+            pairs = text[at][:, :, None] * n + text[at][:, None, :]
+            np.add.at(out.reshape(-1), pairs.reshape(-1), np.repeat(left[at].reshape(-1), f))
+    return out
+
+
+def exact_links(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, label: np.ndarray,
+                threshold: float) -> tuple[list[int], list[int]]:
+    """Pairs of similarity ``threshold`` or more that connect what all such pairs of the texts
+    connect, given by their weighted shingles; members of one ``label`` are connected already.
+
+    With what two texts share, the sum of the lesser weights (least) and of the greater ones
+    (most), and all = the sum of both texts' weights without least, the probability Jaccard
+    similarity is between least / all and most / all: a shared shingle adds one over the sum of
+    max(x_j / x_i, y_j / y_i), and that sum is between all / max(x_i, y_i) and
+    all / min(x_i, y_i). The two are one number if no shared shingle's weights differ; if they
+    lie on either side of the threshold, the pair itself is compared.
+    """
+    n, threshold = len(label), threshold - 1e-12
+    nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    item = np.repeat(shingle, weight)
+    item[nth > 0] = mix(item[nth > 0] + nth[nth > 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    least = shared_sums(np.repeat(text, weight), item, np.ones(len(item)), n)
+    uneven = bool((weight > 1).any())
+    own = shared_sums(text, shingle, weight, n) if uneven else least
+    total = np.bincount(text, weight, n)
+    bounds = np.searchsorted(text, np.arange(n + 1))
+    component = np.unique(label, return_inverse=True)[1]
+    out_a: list[int] = []
+    out_b: list[int] = []
+
+    def link(i: int, j: int) -> None:
+        out_a.append(i)
+        out_b.append(j)
+        component[component == component[j]] = component[i]
+
+    def every(i: int) -> np.ndarray:
+        return np.maximum(total[i] + total - least[i], 1)
+
+    def profile(i: int) -> tuple[np.ndarray, np.ndarray]:
+        here = slice(bounds[i], bounds[i + 1])
+        order = np.argsort(shingle[here])
+        return shingle[here][order], weight[here][order]
+
+    for i in range(n):
+        for j in np.flatnonzero((component != component[i]) & (least[i] / every(i) >= threshold)).tolist():
+            if component[i] != component[j]:
+                link(i, j)
+    for i in range(n) if uneven else ():
+        most = own[i] + own[:, i] - least[i]
+        open_ = (component != component[i]) & (most / every(i) >= threshold)
+        for j in np.flatnonzero(open_[i + 1:]) + i + 1:
+            if component[i] != component[j] and probability_jaccard(*profile(i), *profile(j)) >= threshold:
+                link(i, int(j))
+    return out_a, out_b
+
+
 # -- steps -----------------------------------------------------------------
 
 def text_key(text_col: str):
@@ -227,19 +316,52 @@ def _group_pairs(sig: np.ndarray, label: np.ndarray, failed: Sequence[Sequence[i
     return leaders, out_a, out_b
 
 
+def _task(group: pa.Table, tried: pa.Table | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, Sequence]:
+    """Keys, signatures, labels and, per member, the places of those that it was tried with."""
+    k = group.column("k").to_numpy()
+    order = np.argsort(k)
+    k = k[order]
+    sig = np.stack([np.frombuffer(s, np.uint16) for s in group.column("sig").to_pylist()])[order]
+    failed = [np.zeros(0, np.int64)] * len(k)
+    if tried is not None and tried.num_rows:
+        i, j = (np.searchsorted(k, tried.column(c).to_numpy()) for c in ("a", "b"))
+        by = np.argsort(i, kind="stable")
+        failed = np.split(j[by], np.searchsorted(i[by], np.arange(1, len(k))))
+    return k, sig, group.column("label").to_numpy()[order], failed
+
+
+def _untried(group: pa.Table, tried: pa.Table) -> pa.Table:
+    """Members of a task with a pair left to be tried, in a set named by its members."""
+    empty = pa.table({"set": pa.array([], pa.int64()), "k": pa.array([], pa.int64())})
+    if not group.num_rows:
+        return empty
+    k, sig, label, failed = _task(group, tried)
+    similar = _similar(sig)
+    for i, others in enumerate(failed):
+        if len(others):
+            similar[i, others] = similar[others, i] = -1
+    left = k[((similar >= SIMILARITY - MARGIN) & (label[:, None] != label[None])).any(axis=1)]
+    name = mix(mix(left.view(np.uint64)).sum(keepdims=True, dtype=np.uint64)).view(np.int64)
+    return pa.table({"set": pa.array(np.repeat(name, len(left))), "k": pa.array(left)})
+
+
+def _linked(threshold: float):
+    """A forest of the links among the texts of a set's two parts."""
+    def run(group: pa.Table) -> pa.Table:
+        k, label = (group.column(c).to_numpy() for c in ("k", "label"))
+        found = []
+        for chunk in chunks(group.column("text").combine_chunks()):
+            text, shingle, weight = weighted(*shingles(chunk))
+            found.append((text + chunk.first, shingle, weight))
+        first, second = exact_links(*map(np.concatenate, zip(*found, strict=True)), label, threshold)
+        return pa.table({"a": pa.array(k[first], pa.int64()), "b": pa.array(k[second], pa.int64())})
+    return run
+
+
 def _pairs_of_group(forests: int):
     """Pairs of one task by text key; ``tried``: the pairs that it has proposed before."""
     def run(group: pa.Table, tried: pa.Table | None = None) -> pa.Table:
-        k = group.column("k").to_numpy()
-        order = np.argsort(k)
-        k = k[order]
-        sig = np.stack([np.frombuffer(s, np.uint16) for s in group.column("sig").to_pylist()])[order]
-        label = group.column("label").to_numpy()[order]
-        failed = [np.zeros(0, np.int64)] * len(k)
-        if tried is not None and tried.num_rows:
-            i, j = (np.searchsorted(k, tried.column(c).to_numpy()) for c in ("a", "b"))
-            by = np.argsort(i, kind="stable")
-            failed = np.split(j[by], np.searchsorted(i[by], np.arange(1, len(k))))
+        k, sig, label, failed = _task(group, tried)
         _, first, second = _group_pairs(sig, label, failed, forests)
         first, second = np.array(first, np.int64), np.array(second, np.int64)
         return pa.table({
@@ -279,29 +401,63 @@ def open_tasks(rows: DataFrame, labels: DataFrame, across: bool) -> DataFrame:
                      .select(*TASK))
 
 
+def dealt(rows: DataFrame, members: DataFrame, tasks: DataFrame):
+    """The members of each task, grouped by it."""
+    part = F.explode(F.array_distinct(F.array("low", "high"))).alias("part")
+    return (rows.join(tasks.select(*TASK, part), ["key", "part"]).join(members, "k")
+            .select(*TASK, "k", "sig", "label").groupBy(*TASK))
+
+
+def tried_by(tasks: DataFrame, tried: DataFrame):
+    """The pairs that each task has proposed before, grouped by it."""
+    return tried.join(tasks, TASK, "left_semi").select(*TASK, "a", "b").distinct().groupBy(*TASK)
+
+
 def candidate_pairs(rows: DataFrame, members: DataFrame, forests: int, across: bool = True,
-                    last: DataFrame | None = None, tried: DataFrame | None = None) -> DataFrame:
+                    tried: DataFrame | None = None) -> DataFrame:
     """Pairs (a < b) to verify, with the task (key, low, high) that found them; written.
     rows: key, k, parts, part; members: k, sig, label; tried: what tasks proposed before.
 
     A task holds two parts at most. Every two members of a group meet in a task if
-    ``across``; else those of one part. A task without a pair among those of ``last``, the
-    round before, has none left. What a task has tried goes to that task alone.
+    ``across``; else those of one part. What a task has tried goes to that task alone.
     """
-    tasks = open_tasks(rows, members.select("k", "label"), across)
-    if last is not None:
-        tasks = tasks.join(last.select(*TASK).distinct(), TASK, "left_semi")
     # Written, as two sides of what follows begin with them.
-    tasks = written(tasks, "tasks")
-    part = F.explode(F.array_distinct(F.array("low", "high"))).alias("part")
-    dealt = (rows.join(tasks.select(*TASK, part), ["key", "part"]).join(members, "k")
-             .select(*TASK, "k", "sig", "label").groupBy(*TASK))
+    tasks = written(open_tasks(rows, members.select("k", "label"), across), "tasks")
     schema = "key long, low long, high long, a long, b long"
     propose = _pairs_of_group(forests)
+    group = dealt(rows, members, tasks)
     if tried is None:
-        return written(dealt.applyInArrow(lambda x: propose(x), schema), "pairs")
-    known = tried.join(tasks, TASK, "left_semi").select(*TASK, "a", "b").distinct().groupBy(*TASK)
-    return written(dealt.cogroup(known).applyInArrow(lambda x, y: propose(x, y), schema), "pairs")
+        return written(group.applyInArrow(lambda x: propose(x), schema), "pairs")
+    return written(group.cogroup(tried_by(tasks, tried)).applyInArrow(lambda x, y: propose(x, y), schema), "pairs")
+
+
+def untried_sets(rows: DataFrame, members: DataFrame, last: DataFrame, tried: DataFrame) -> DataFrame:
+    """(set, k): the members of each task that have a pair left to be tried; written. Tasks
+    with the same such members are one set. A task without a pair among those of ``last``,
+    the round before, has none left."""
+    tasks = written(open_tasks(rows, members.select("k", "label"), True)
+                    .join(last.select(*TASK).distinct(), TASK, "left_semi"), "tasks")
+    return written(dealt(rows, members, tasks).cogroup(tried_by(tasks, tried))
+                   .applyInArrow(lambda x, y: _untried(x, y), "set long, k long").distinct(), "untried")
+
+
+def links_of_sets(sets: DataFrame, members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that connect what all links between two members of a set connect; written.
+
+    Sets are cut into parts by the bytes of their texts and every two parts meet in a task.
+    sets: set, k; members: k, label; texts: k, text.
+    """
+    sized = sets.join(texts.select("k", F.octet_length("text").alias("bytes")), "k")
+    before = F.sum("bytes").over(Window.partitionBy("set").orderBy("k")) - F.col("bytes")
+    parts = (sized.withColumn("part", F.floor(before / HELD_BYTES))
+             .withColumn("parts", F.collect_set("part").over(Window.partitionBy("set"))))
+    other = F.when(F.size("parts") == 1, F.col("parts")).otherwise(F.array_except("parts", F.array("part")))
+    met = parts.select("set", "k", "part", F.explode(other).alias("other")).select(
+        "set", "k", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    link = _linked(threshold)
+    return written(met.join(members, "k").join(texts.select("k", F.coalesce("text", F.lit("")).alias("text")), "k")
+                   .select("set", "low", "high", "k", "label", "text").groupBy("set", "low", "high")
+                   .applyInArrow(lambda x: link(x), "a long, b long").distinct(), "links")
 
 
 def _verified():
@@ -332,12 +488,11 @@ def near_duplicate_labels(docs: DataFrame, nodes: DataFrame, *, text_col: str,
                           threshold: float = SIMILARITY) -> DataFrame | None:
     """(node, component) of the texts with a verified link, by their keys; None without.
 
-    Pairs are proposed and verified in rounds: a round proposes pairs of different
-    components that its task has not tried, and the last one has none to propose. The
+    Pairs are proposed and verified in rounds of pairs of different components. The
     first rounds take some bands only, and the pairs inside a part of a large group, for
-    these connect most of a group; all bands and all pairs of parts then have the rest to
-    try. From there each round takes twice the forests of the one before, so groups whose
-    pairs fail end soon. A pair is verified once, whichever tasks propose it.
+    these connect most of a group; the last takes all bands and all pairs of parts. A pair
+    is verified once, whichever tasks propose it. Members of a task that still have untried
+    pairs then meet with their whole texts, so none is left.
     """
     rows = band_groups(nodes)
     # The text of each node that has a group, whatever the number of its copies.
@@ -348,21 +503,14 @@ def near_duplicate_labels(docs: DataFrame, nodes: DataFrame, *, text_col: str,
     left = texts.select(F.col("k").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("k").alias("b"), F.col("text").alias("text_b"))
     members = nodes.select("k", "sig", F.col("k").alias("label"))
-    labels = last = None
+    labels = None
     proposals, verified = Rounds(docs.sparkSession, "proposals"), Rounds(docs.sparkSession, "verified")
     large = not rows.where("parts > 1").isEmpty()
-    stages = [(n, False) for n in (*FIRST_BANDS, BANDS)] if large else [(n, True) for n in FIRST_BANDS]
-    forests = 1
-    while True:
-        bands, across = stages.pop(0) if stages else (BANDS, True)
-        proposed = candidate_pairs(rows.where(F.col("band") < bands), members, forests, across, last, proposals.all())
-        final = not stages and bands == BANDS and across
+    stages = [(n, not large) for n in (*FIRST_BANDS, BANDS)] + [(BANDS, True)] * large
+    for bands, across in stages:
+        proposed = candidate_pairs(rows.where(F.col("band") < bands), members, 1, across, proposals.all())
         if proposed.isEmpty():
-            if final:
-                return labels
             continue
-        if final:
-            last, forests = proposed, forests * 2
         pairs = proposed.select("a", "b").distinct()
         if verified.all() is not None:
             pairs = pairs.join(verified.all().select("a", "b"), ["a", "b"], "left_anti")
@@ -374,6 +522,13 @@ def near_duplicate_labels(docs: DataFrame, nodes: DataFrame, *, text_col: str,
             labels = merged_components(labels, new)
             members = (nodes.select("k", "sig").join(labels.withColumnRenamed("node", "k"), "k", "left")
                        .select("k", "sig", F.coalesce("component", "k").alias("label")))
+    if proposed.isEmpty():
+        return labels
+    sets = untried_sets(rows, members, proposed, proposals.all())
+    if sets.isEmpty():
+        return labels
+    new = links_of_sets(sets, members.select("k", "label"), texts, threshold)
+    return labels if new.isEmpty() else merged_components(labels, new)
 
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",

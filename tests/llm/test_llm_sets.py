@@ -202,6 +202,84 @@ def test_classes_equal_those_of_all_pairs(spark):
     assert 6 < len(set(want)) < len(rows)
 
 
+def test_links_of_all_pairs_at_once(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from reviewlake.llm import near_dup
+    from reviewlake.llm.near_dup import exact_links, probability_jaccard, shared_sums
+    r = np.random.default_rng(7)
+    text, key = np.unique(r.integers(0, 60, (2000, 2)) * [1, 7], axis=0).T
+    weight = r.integers(1, 9, len(text))
+    want = np.zeros((60, 60), np.int64)
+    for i in range(60):
+        for j in range(60):
+            want[i, j] = weight[(text == i) & np.isin(key, key[text == j])].sum()
+    for dense in (1, 4, 1000):
+        monkeypatch.setattr(near_dup, "DENSE", dense)
+        got = shared_sums(text, key.astype(np.uint64), weight, 60)
+        np.fill_diagonal(got, 0)
+        assert (got == want - np.diag(np.diag(want))).all()
+    monkeypatch.setattr(near_dup, "COLUMNS", 7)
+    mixed = 0
+    for heaviest in (1, 2, 6):  # weights of one, which the bounds settle, and others
+        sets = [{int(k): int(r.integers(1, heaviest + 1)) if r.random() < 0.1 else 1
+                 for k in r.choice(26, 24, replace=False)} for _ in range(40)]
+        cells = [(i, k, w) for i, s in enumerate(sets) for k, w in s.items()]
+        text, key, weight = (np.array(c) for c in zip(*cells, strict=True))
+        label = np.arange(40)
+        label[5] = label[9]
+        a, b = exact_links(text, key.astype(np.uint64), weight, label, 0.85)
+        got, want = label.copy(), label.copy()
+        for i, j in zip(a, b, strict=True):
+            got[got == got[j]] = got[i]
+        assert len(a) == len(set(label)) - len(set(got))
+        flat = [(np.array(sorted(s)), np.array([s[k] for k in sorted(s)])) for s in sets]
+        for i in range(40):
+            for j in range(i):
+                if probability_jaccard(*flat[i], *flat[j]) >= 0.85 - 1e-12:
+                    want[want == want[j]] = want[i]
+        assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+        mixed += 2 < len(set(got)) < 38
+    assert mixed
+
+
+def test_failing_pairs_of_a_group_are_never_rows(spark, monkeypatch):
+    from reviewlake.llm import near_dup
+    # Copies edited independently, most below 0.8 to each other: nearly all pairs fail.
+    r = random.Random(5)
+    base = [f"w{r.randrange(10 ** 9)}" for _ in range(400)]
+    rows = []
+    for k in range(90):
+        words = base[:]
+        for i in r.sample(range(0, 400, 5), 6 if k < 86 else 4):
+            words[i] = f"x{r.randrange(10 ** 9)}"
+        rows.append((k, " ".join(words)))
+    made, held, add = [], [], near_dup.Rounds.add
+    monkeypatch.setattr(near_dup.Rounds, "add", lambda self, df: made.append(add(self, df)) or made[-1])
+    whole = near_dup.links_of_sets
+    monkeypatch.setattr(near_dup, "links_of_sets", lambda *x: held.append(x[0]) or whole(*x))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for size in (near_dup.HELD_BYTES, 20_000):      # in one part, and in pairs of parts
+        monkeypatch.setattr(near_dup, "HELD_BYTES", size)
+        got[size] = {x.doc_id: x.class_id for x in near_dup.near_duplicate_classes(docs).collect()}
+    import numpy as np
+    import pyarrow as pa
+    text, bounds = near_dup.shingles(next(iter(near_dup.chunks(pa.array([t for _, t in rows])))))
+    sets = [np.unique(text[bounds[i]:bounds[i + 1]], return_counts=True) for i in range(90)]
+    want = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if want[i] != want[j] and near_dup.probability_jaccard(*sets[i], *sets[j]) >= 0.8:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if v == old else v for v in want]
+    assert all(x == dict(enumerate(want)) for x in got.values())
+    assert 40 < len(set(want)) < 90 and held and held[0].count()
+    verified = [x.select("a", "b").distinct().count() for x in made if "similarity" in x.columns]
+    assert 0 < sum(verified) <= 2 * 6 * 90 < 90 * 89 / 2
+
+
 def test_components(spark):
     from reviewlake.llm.components import components
     r = random.Random(1)
