@@ -44,6 +44,10 @@ BUCKET_BITS = 18
 CHAR_ORDERS = (3, 4)
 ITERATIONS = 60
 L2 = 1e-6
+#: Bytes of text judged at once: what a task holds beside them is some 250 times as much.
+JUDGE_BYTES = 1 << 18
+#: Features of the sample that a step of the fit works on at once (or those of one row).
+FIT_FEATURES = 1 << 20
 #: Relative frequencies are small numbers; this brings them to about 1.
 FEATURE_SCALE = 32.0
 #: A word tells of toxicity if its count among toxic rows is so many standard deviations off.
@@ -165,7 +169,7 @@ def probabilities(chunk: Chunk, model: QualityModel) -> np.ndarray:
 def judge(texts: pa.Array, model: QualityModel | None) -> dict[str, np.ndarray]:
     """All result columns but the id, for one Arrow batch of texts."""
     parts: list[dict[str, np.ndarray]] = []
-    for chunk in chunks(texts):
+    for chunk in chunks(texts, JUDGE_BYTES):
         part = rule_counts(chunk)
         part["probability"] = probabilities(chunk, model) if model \
             else np.full(len(chunk), np.nan)
@@ -186,7 +190,7 @@ def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         label = batch.column(0).to_numpy(zero_copy_only=False)
         held = batch.column(1).to_numpy(zero_copy_only=False)
-        for chunk in chunks(batch.column(2)):
+        for chunk in chunks(batch.column(2), JUDGE_BYTES):
             rows: list[list[np.ndarray]] = [[] for _ in range(len(chunk))]
             for bucket, bounds in feature_families(chunk):
                 for i in range(len(chunk)):
@@ -205,55 +209,75 @@ def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fit and calibrate on the bounded sample: one row of parameters, or none."""
-    label, held, features = [], [], []
+    """Fit and calibrate on the bounded sample: one row of parameters, or none.
+
+    The features are kept once, in blocks of rows; a step's own arrays are those of a block.
+    """
+    label, held, blocks = [], [], []
     for batch in batches:
-        label += batch.column(0).to_pylist()
-        held += batch.column(1).to_pylist()
-        features += [np.frombuffer(b, np.float32).reshape(2, -1) for b in batch.column(2).to_pylist()]
-    y, held = np.array(label), np.array(held, bool)
-    fit = np.flatnonzero(~held)
+        label.append(batch.column(0).to_numpy(zero_copy_only=False))
+        held.append(batch.column(1).to_numpy(zero_copy_only=False))
+        blocks += _blocks(batch.column(2))
+        del batch
+    y = np.concatenate(label) if label else np.zeros(0)
+    held = np.concatenate(held) if held else np.zeros(0, bool)
+    fit = ~held
     if len(set(y[fit] > 0.5)) < 2:
         return
     size = 1 << BUCKET_BITS
-
-    def matrix(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own = [features[i] for i in rows]
-        return (np.repeat(np.arange(len(own)), [x.shape[1] for x in own]),
-                np.concatenate([x[0] for x in own]).astype(np.int32),
-                np.concatenate([x[1] for x in own]) * np.float32(FEATURE_SCALE))
-
-    def margin(m, n, w, b):
-        return np.bincount(m[0], weights=m[2] * w[m[1]], minlength=n) + b
-
-    x, target = matrix(fit), (y[fit] > 0.5).astype(float)
-    # Both classes weigh the same, so the rarer class is learnt as well.
-    weight = np.where(target > 0, 0.5 / target.mean(), 0.5 / (1 - target.mean())) / len(target)
+    at = np.cumsum([0] + [len(counts) for counts, _, _ in blocks])
+
+    def margin(w, b):
+        return np.concatenate([np.bincount(np.repeat(np.arange(len(counts)), counts), weights=value * w[bucket],
+                                           minlength=len(counts)) for counts, bucket, value in blocks]) + b
+
+    def gradient(error):
+        g = np.zeros(size)
+        for first, (counts, bucket, value) in zip(at[:-1], blocks, strict=True):
+            g += np.bincount(bucket, weights=value * np.repeat(error[first:first + len(counts)], counts),
+                             minlength=size)
+        return g
+
+    target = (y > 0.5).astype(float)
+    good = target[fit].mean()
+    # Both classes weigh the same, so the rarer class is learnt as well; held rows weigh nothing.
+    weight = np.where(target > 0, 0.5 / good, 0.5 / (1 - good)) / fit.sum() * fit
     w, b = np.zeros(size), 0.0
     m1, m2, b1, b2 = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, ITERATIONS + 1):   # Adam on the full batch
-        p = 1 / (1 + np.exp(-np.clip(margin(x, len(fit), w, b), -60, 60)))
+        p = 1 / (1 + np.exp(-np.clip(margin(w, b), -60, 60)))
         error = (p - target) * weight
-        g = np.bincount(x[1], weights=x[2] * error[x[0]], minlength=size) + L2 * w
-        gb = error.sum()
+        g = gradient(error) + L2 * w
+        gb = error[fit].sum()
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.999 * b2 + 0.001 * gb * gb
         c1, c2 = 1 - 0.9 ** step, 1 - 0.999 ** step
         w -= 0.1 * (m1 / c1) / (np.sqrt(m2 / c2) + 1e-8)
         b -= 0.1 * (b1 / c1) / (np.sqrt(b2 / c2) + 1e-8)
-    calibrate = np.flatnonzero(held)
-    if len(set(y[calibrate] > 0.5)) < 2:
-        calibrate = fit
-    t = margin(matrix(calibrate), len(calibrate), w, b)
-    slope, offset = _platt(t, y[calibrate] > 0.5)
+    calibrate = held if len(set(y[held] > 0.5)) == 2 else fit
+    slope, offset = _platt(margin(w, b)[calibrate], y[calibrate] > 0.5)
     yield pa.RecordBatch.from_arrays([
         pa.array([w.astype(np.float32).tobytes()], pa.binary()),
         pa.array([b]), pa.array([slope]), pa.array([offset])], ["w", "b", "slope", "shift"])
 
 
+def _blocks(features: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of rows: features per row, then the buckets and scaled values of all of them."""
+    rows: list[np.ndarray] = []
+    n = 0
+    for k in range(len(features)):
+        rows.append(np.frombuffer(features[k].as_buffer(), np.float32).reshape(2, -1))
+        n += rows[-1].shape[1]
+        if k + 1 == len(features) or n >= FIT_FEATURES:
+            yield (np.array([x.shape[1] for x in rows]),
+                   np.concatenate([x[0] for x in rows]).astype(np.int32),
+                   np.concatenate([x[1] for x in rows]) * np.float32(FEATURE_SCALE))
+            rows, n = [], 0
+
+
 def _present_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for chunk in chunks(batch.column(2)):
+        for chunk in chunks(batch.column(2), JUDGE_BYTES):
             text, bucket = words_present(chunk)
             at = np.searchsorted(text, np.arange(len(chunk) + 1))
             here = slice(chunk.first, chunk.first + len(chunk))

@@ -111,6 +111,55 @@ def test_op8_rejects_held_out_toxic_texts(spark, tmp_path):
     assert kept[1][0] < 0.25 and kept[0][0] > 0.97
 
 
+def test_quality_works_in_small_blocks(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from reviewlake.llm import quality as q
+
+    def peak(run):
+        tracemalloc.start()
+        got = run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got, most
+    r = np.random.default_rng(3)
+    texts = [" ".join(map(str, r.integers(0, 300, n))) for n in r.integers(0, 900, 1500)] + [None, ""]
+    weights = r.normal(size=1 << q.BUCKET_BITS).astype(np.float32)
+    model = q.QualityModel(weights, 0.1, 1.0, 0.0, other=q.QualityModel(weights, 0.2, 1.0, 0.0, True))
+    q.judge(pa.array(texts[:50]), model)
+    got, most = peak(lambda: q.judge(pa.array(texts), model))
+    assert most < 80 << 20
+    alone = [q.judge(pa.array([t], pa.string()), model)["probability"][0] for t in texts[::40]]
+    assert np.allclose(got["probability"][::40], alone) and len(got["kept"]) == len(texts)
+
+    rows, y, held = [], r.random(300) < 0.4, r.random(300) < 0.25
+    for good in y:
+        n = int(r.integers(0, 4000))
+        rows.append(np.stack([r.integers(0, 1 << 17, n) + (1 << 17) * (r.random(n) < 0.1) * good,
+                              np.full(n, 1 / 400)]).astype(np.float32))
+    batch = pa.RecordBatch.from_arrays([pa.array(y.astype(float)), pa.array(held),
+                                        pa.array([x.tobytes() for x in rows], pa.binary())], ["label", "held", "features"])
+    monkeypatch.setattr(q, "ITERATIONS", 3)
+    whole = next(q._fit(iter([batch])))
+    monkeypatch.setattr(q, "FIT_FEATURES", 1 << 14, raising=False)
+    (cut,), most = peak(lambda: list(q._fit(iter([batch.slice(0, 100), batch.slice(100)]))))
+    assert most < 2 * batch.nbytes + 10 * 8 * (1 << q.BUCKET_BITS)
+    assert np.allclose(*[np.frombuffer(x.column(0)[0].as_py(), np.float32) for x in (whole, cut)], atol=1e-6)
+    # One plain step on dense rows gives the first step's direction.
+    monkeypatch.setattr(q, "ITERATIONS", 1)
+    w = np.frombuffer(next(q._fit(iter([batch]))).column(0)[0].as_py(), np.float32)
+    n, m = (y & ~held).sum(), (~y & ~held).sum()
+    g = np.zeros(1 << q.BUCKET_BITS)
+    for x, good, out in zip(rows, y, held, strict=True):
+        if not out:
+            np.add.at(g, x[0].astype(int), x[1] * q.FEATURE_SCALE * (-0.25 / n if good else 0.25 / m))
+    assert np.array_equal(np.sign(w[np.abs(g) > 1e-7]), -np.sign(g[np.abs(g) > 1e-7])) and not w[g == 0].any()
+    assert list(q._fit(iter([]))) == [] == list(q._fit(iter([batch.filter(pa.array(y))])))
+
+
 def brute_spans(rows, width=50):
     order = lambda i: -1 if i is None else i
     first = {}
