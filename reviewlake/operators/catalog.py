@@ -10,6 +10,7 @@ many groups never lands whole in one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,9 @@ from reviewlake.functions.expr import (nan_to_null, parse_money, product_id_from
 GROUP_KEYS = ["prod_id", "name", "short_desc", "brand", "category1", "category2",
               "category3", "size", "sku_image"]
 METRICS = ["reviews", "variant", "rating", "price", "loves_count"]
+# An offer's columns that the keys come from: a key is null where its column is.
+KEY_SOURCES = ["targetUrl", "name", "shortDesc", "brand", "Category1", "Category2",
+               "Category3", "size", "skuImages.imageUrl"]
 
 
 def normalize_offers(offers: DataFrame, strict_price: bool = False) -> DataFrame:
@@ -42,10 +46,15 @@ def normalize_offers(offers: DataFrame, strict_price: bool = False) -> DataFrame
     )
 
 
+def with_keys(offers: DataFrame) -> DataFrame:
+    """The offers of which no key is null. Told by the raw columns, so that the keys are
+    parsed once per row and not a second time for this filter."""
+    return offers.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in KEY_SOURCES]))
+
+
 def catalog_rollup(offers: DataFrame, strict_price: bool = False) -> DataFrame:
     """One row per distinct nine-key group; rows with any null key are dropped."""
-    o = normalize_offers(offers, strict_price)
-    o = o.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in GROUP_KEYS]))
+    o = normalize_offers(with_keys(offers), strict_price)
     return o.groupBy(*GROUP_KEYS).agg(
         F.max("reviews").alias("reviews"),
         F.count(F.lit(1)).alias("variant"),
@@ -75,6 +84,21 @@ def build_catalog(offers: DataFrame, strict_price: bool = False) -> DataFrame:
     return catalog_dedupe(catalog_rollup(offers, strict_price))
 
 
+def catalog_maxima(offers: DataFrame, metrics: Sequence[str], strict_price: bool = False) -> DataFrame:
+    """The catalogue with some of its maxima (all metrics but ``variant``, which is a count).
+
+    The greatest (other keys, metric) of a product holds its last group and that group's
+    maximum, nulls being least. So products are aggregated at once, partially before the
+    only shuffle, which moves no rows of groups.
+    """
+    rest = [k for k in GROUP_KEYS if k != "prod_id"]
+    o = normalize_offers(with_keys(offers), strict_price).select("prod_id", F.struct(*rest).alias("keys"), *metrics)
+    best = [F.max("keys").alias("keys")] if not metrics else [F.max(F.struct("keys", m)).alias(m) for m in metrics]
+    keys = f"{metrics[0]}.keys" if metrics else "keys"
+    return o.groupBy("prod_id").agg(*best).select(
+        "prod_id", *[F.col(f"{keys}.{c}").alias(c) for c in rest], *[F.col(f"{m}.{m}").alias(m) for m in metrics])
+
+
 def price_rejects(offers: DataFrame) -> DataFrame:
     """Offers whose list price did not parse (count them, or show them)."""
     return offers.where(F.col("listPrice").isNotNull()

@@ -25,6 +25,11 @@ def catalog(spark: SparkSession, d: str) -> DataFrame:
     return cat.build_catalog(standins.offers(spark, d))
 
 
+def maxima(spark: SparkSession, d: str, *metrics: str) -> DataFrame:
+    """The catalogue with the metrics that a dashboard reads (not the group sizes)."""
+    return cat.catalog_maxima(standins.offers(spark, d), metrics)
+
+
 @query("load_offers", f"SELECT * FROM ({sql.OFFERS})")
 def load_offers(spark: SparkSession, d: str) -> DataFrame:
     o = standins.offers(spark, d)
@@ -112,7 +117,7 @@ SELECT brand, count(DISTINCT name) AS n_items,
 FROM ({sql.CATALOG}) GROUP BY brand
 """)
 def brand_kpi(spark: SparkSession, d: str) -> DataFrame:
-    return dash.brand_kpi(catalog(spark, d))
+    return dash.brand_kpi(maxima(spark, d, "rating", "loves_count"))
 
 
 @query("brand_category_mix", f"""
@@ -120,7 +125,7 @@ WITH m AS (SELECT brand, category1, count(*) AS n FROM ({sql.CATALOG}) GROUP BY
 SELECT brand, category1, n, n / sum(n) OVER (PARTITION BY brand) AS share FROM m
 """)
 def brand_category_mix(spark: SparkSession, d: str) -> DataFrame:
-    return dash.brand_category_mix(catalog(spark, d))
+    return dash.brand_category_mix(maxima(spark, d))
 
 
 @query("brand_price_hist", f"""
@@ -128,12 +133,12 @@ SELECT brand, name, arg_min(price, prod_id) AS price
 FROM ({sql.CATALOG}) GROUP BY ALL
 """)
 def brand_price_hist(spark: SparkSession, d: str) -> DataFrame:
-    return dash.brand_price_hist(catalog(spark, d))
+    return dash.brand_price_hist(maxima(spark, d, "price"))
 
 
 @query("brand_scatter", f"SELECT brand, prod_id, reviews, loves_count FROM ({sql.CATALOG})")
 def brand_scatter(spark: SparkSession, d: str) -> DataFrame:
-    return dash.brand_scatter(catalog(spark, d))
+    return dash.brand_scatter(maxima(spark, d, "reviews", "loves_count"))
 
 
 @query("brand_scatter_corr", f"""
@@ -142,23 +147,23 @@ SELECT brand, count(*) AS n_points,
 FROM ({sql.CATALOG}) GROUP BY brand
 """)
 def brand_scatter_corr(spark: SparkSession, d: str) -> DataFrame:
-    return dash.brand_scatter_corr(catalog(spark, d))
+    return dash.brand_scatter_corr(maxima(spark, d, "reviews", "loves_count"))
 
 
 @query("brand_list", f"SELECT DISTINCT brand FROM ({sql.CATALOG}) WHERE brand IS NOT NULL")
 def brand_list(spark: SparkSession, d: str) -> DataFrame:
-    return dash.brand_list(catalog(spark, d))
+    return dash.brand_list(maxima(spark, d))
 
 
 @query("brand_products",
        f"SELECT DISTINCT brand, name FROM ({sql.CATALOG}) WHERE name IS NOT NULL")
 def brand_products(spark: SparkSession, d: str) -> DataFrame:
-    return dash.brand_products(catalog(spark, d))
+    return dash.brand_products(maxima(spark, d))
 
 
 @query("default_product", f"SELECT brand, min(name) AS name FROM ({sql.CATALOG}) GROUP BY brand")
 def default_product(spark: SparkSession, d: str) -> DataFrame:
-    return dash.default_product(catalog(spark, d))
+    return dash.default_product(maxima(spark, d))
 
 
 @query("product_card", f"""

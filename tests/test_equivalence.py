@@ -58,3 +58,37 @@ def test_catalog_unique_and_counts_bounded(spark):
     j = prof.join(rv, "prod_id").select(
         sum(F.coalesce(F.col(c), F.lit(0)) for c in fam).alias("s"), "count")
     assert all(r.s <= r["count"] for r in j.collect())
+
+
+def test_catalog_maxima_equal_the_rollups_and_move_rows_once(spark):
+    import random
+    from datetime import datetime
+
+    from reviewlake import schemas
+    from reviewlake.operators import catalog as cat
+    r = random.Random(5)
+
+    def offer():
+        name = r.choice(["a", "b", None])
+        return ("s", r.choice(["$1.00", "$2,000.00", "$3.50", None]),
+                r.choice(["/p/x-P1?k=1", "/p/x-P1", "/p/y-P2?k=2", "/p/z-P3", None]),
+                (r.choice(["/i.jpg?1", "/i.jpg?2", "/j.jpg", None]),) if r.random() < 0.95 else None,
+                r.choice(["1", "2"]), name, r.choice(["B", "C"]), r.choice(["<p>x</p>", "<b>y</b>"]), "c", "d", "e",
+                r.choice([None, 1, 7]), r.choice([None, 2, 9]), r.choice([None, float("nan"), 0.5, 3.0]),
+                datetime(2020, 1, 1), datetime(2020, 1, 1))
+    rows = [offer() for _ in range(400)]
+    names = ["skuId", "listPrice", "targetUrl", "skuImages", "size", "name", "brand", "shortDesc", "Category1",
+             "Category2", "Category3", "lovesCount", "reviews", "rating", "date", "update"]
+    types = [next(f for f in schemas.OFFER.fields if f.name == n) for n in names]
+    offers = spark.createDataFrame(rows, type(schemas.OFFER)(types)).repartition(6)
+    whole = cat.build_catalog(offers).collect()
+    assert len(whole) == 3
+    for metrics in ([], ["price"], ["reviews", "loves_count"], ["rating", "price", "reviews"]):
+        got = cat.catalog_maxima(offers, metrics)
+        keep = [k for k in cat.GROUP_KEYS] + metrics
+        assert got.columns == keep
+        assert sorted(map(str, got.collect())) == sorted(str(w.__class__(**{k: w[k] for k in keep})) for w in whole)
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    from reviewlake.plans.registry import QUERIES
+    plan = QUERIES["brand_scatter_corr"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2       # products, then brands: no rollup on nine keys
