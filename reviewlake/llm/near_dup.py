@@ -64,6 +64,8 @@ DENSE = 16
 COLUMNS, PAIRS = 512, 1 << 20
 #: A task's band key and parts.
 TASK = ["key", "low", "high"]
+#: Bytes of a row of a group or of its ends, and of a text's registers and bands.
+ROW_BYTES, NODE_BYTES = 40, 16 + 2 * REGISTERS + 8 * BANDS
 SKETCH_SCHEMA = "id long, k long, sig binary, bands array<long>"
 
 
@@ -377,7 +379,8 @@ def band_groups(nodes: DataFrame) -> DataFrame:
     rows = nodes.select("k", F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / GROUP).alias("parts"), F.count("*").alias("n"))
     return written(rows.join(sizes.where("n > 1"), "key")
-                   .select("key", "band", "k", "parts", part_of("k", "parts").alias("part")), "bands")
+                   .select("key", "band", "k", "parts", part_of("k", "parts").alias("part")), "bands",
+                   ROW_BYTES * BANDS * nodes.count())
 
 
 def part_of(k: str, parts: str):
@@ -391,7 +394,7 @@ def open_tasks(rows: DataFrame, labels: DataFrame, across: bool) -> DataFrame:
         F.min("label").alias("least"), F.max("label").alias("most"))
     if not across:
         return ends.where("least <> most").select("key", F.col("part").alias("low"), F.col("part").alias("high"))
-    ends = written(ends, "parts")
+    ends = written(ends, "parts", ROW_BYTES * rows.count())
     one = ends.where("parts = 1 and least <> most").select(
         "key", F.col("part").alias("low"), F.col("part").alias("high"))
     many = ends.where("parts > 1")
@@ -539,7 +542,8 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     made = rows.select(row_id("_id").alias("id"), text_key("_text").alias("k"), "_text")
     sketches = written(made.mapInArrow(_sketch, SKETCH_SCHEMA), "sketches")
     nodes = written(sketches.groupBy("k").agg(F.min("id").alias("id"), F.first("sig").alias("sig"),
-                                              F.first("bands").alias("bands")), "nodes")
+                                              F.first("bands").alias("bands")), "nodes",
+                    NODE_BYTES * sketches.count())
     found = near_duplicate_labels(rows, nodes, text_col="_text", threshold=threshold)
     labelled = nodes.select("k", "id")
     labelled = (labelled.withColumn("component", F.col("k")) if found is None else

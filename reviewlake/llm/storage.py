@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Buckets that Spark allows a table to have at most (``spark.sql.sources.bucketing.maxBuckets``).
 #: Beyond it a bucket holds several keys or blocks, one after the other.
 MAX_BUCKETS = 100_000
+#: A table whose size is known beforehand has files of about so many bytes.
+FILE_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,13 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, most: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The written table cuts the lineage: a lost executor costs the tasks that
-    read it, not the steps before it.
+    read it, not the steps before it. ``most``: how many bytes it has at most, where that is
+    known; a small table is then not a file per shuffle partition (on a local disk Hadoop
+    starts some six processes per file), but one per core, or one per ``FILE_BYTES``.
     """
     spark = df.sparkSession
+    if most is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-most // FILE_BYTES)))
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

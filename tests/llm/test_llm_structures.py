@@ -467,3 +467,24 @@ def test_components_merge_as_edges_come(spark):
         assert sorted(labels.collect()) == sorted(want.collect())
     again = merged_components(labels, spark.createDataFrame(edges[:5], "a long, b long"))
     assert sorted(again.collect()) == sorted(labels.collect())
+
+
+def test_small_tables_of_components_are_few_files(spark):
+    from reviewlake.llm.components import components, merged_components
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in conf}
+    edges = [(i, i + 7) for i in range(0, 1400)]
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        df = spark.createDataFrame(edges, "a long, b long")
+        labels = components(df)
+        merged = merged_components(labels, spark.createDataFrame([(0, 1), (5000, 5001)], "a long, b long"))
+        most = max(8, spark.sparkContext.defaultParallelism)
+        assert len(labels.inputFiles()) <= most and len(merged.inputFiles()) <= most
+        assert {r.node: r.component for r in labels.collect()} == {n: n % 7 for n in range(1407)}
+        want = {n: n % 7 if n % 7 > 1 else 0 for n in range(1407)} | {5000: 5000, 5001: 5000}
+        assert {r.node: r.component for r in merged.collect()} == want
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
