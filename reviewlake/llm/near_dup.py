@@ -52,7 +52,7 @@ GROUP = 1024
 #: How many bands the first rounds take, before all of them.
 FIRST_BANDS = (2, 8)
 #: Text bytes whose shingles are held at once when pairs are verified, unless a pair has more.
-VERIFY_BYTES = 4 << 20
+VERIFY_BYTES = 1 << 20
 
 NULL_ID = -(2 ** 63)
 #: Text bytes of a part of the texts whose pairs are all told at once; a task holds two parts

@@ -2,7 +2,7 @@
 
 A chunk holds the UTF-8 bytes of several whole texts end to end. Every helper
 works on all texts of a chunk at once and never looks across a text's end. A
-chunk is a few MB, or one text if that alone is longer.
+chunk is half a MB, or one text if that alone is longer.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+#: What a task holds beside a chunk is up to 100 times as much, and a Python worker keeps
+#: much of it afterwards, beside the executor's later stages.
+CHUNK_BYTES = 1 << 19
 
 #: Word separators of all contracts: space and 0x09-0x0D.
 WHITE = np.zeros(256, bool)

@@ -343,3 +343,27 @@ def test_sweep_is_best_fit_decreasing():
         moves = sweep(Counter(lengths), 40)
         last = max(int(m[3] + (m[2] - m[1]) // m[4]) for m in moves)
         assert last == len(gaps) and sum(int(m[2] - m[1]) for m in moves) == len(lengths)
+
+
+def test_workers_hold_little_beside_their_texts():
+    import tracemalloc
+
+    from reviewlake.llm import near_dup
+    from reviewlake.llm.tokens import Encoder
+    r = random.Random(3)
+    some = ["".join(r.choices("abcdefgh", k=r.randint(2, 8))) for _ in range(300)]
+    texts = pa.array([" ".join(r.choices(some, k=170)) for _ in range(4000)])      # 4 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(range(4000)), texts], ["id", "k", "text"])
+    encoder = Encoder(byte_bpe_path())
+
+    def peak(work) -> int:
+        tracemalloc.start()
+        try:
+            work()
+            return tracemalloc.get_traced_memory()[1] >> 20
+        finally:
+            tracemalloc.stop()
+
+    held = (peak(lambda: sum(b.num_rows for b in near_dup._sketch(iter([batch])))),
+            peak(lambda: [len(encoder.encode(c)[0]) for c in chunks(texts)] and None))
+    assert max(held) < 80, held
