@@ -144,3 +144,36 @@ def test_the_table_of_weights_reads_the_texts_once(spark):
     want = {w: np.log((n1.get(w, 0) + 1) / (s1 + v)) - np.log((n0.get(w, 0) + 1) / (s0 + v)) for w in ("good", "bad", "")}
     base = np.log(3 / 2)
     assert np.allclose([got[1], got[2], got[3]], [base + 2 * want["good"], base + want["bad"], base + want[""]], atol=2e-6)
+
+
+def test_blocks_of_triples_stay_and_only_terms_of_several_blocks_travel(spark, monkeypatch):
+    monkeypatch.setattr(nmf, "BLOCK_DOCS", 4)
+    r = np.random.default_rng(5)
+    k, rows = 3, []
+    for d in range(22):
+        # Terms of all documents, of neighbours, and of one document; one document has a term twice.
+        names = [f"all{int(j)}" for j in r.choice(6, 4, replace=False)] + [f"near{d // 2}", f"own{d}"]
+        rows += [("c1", d, t, float(x)) for t, x in zip(names, r.random(len(names)) + 0.1, strict=True)]
+    rows += [("c1", 3, "own3", 0.25), ("c2", 3, "own3", 0.5), (None, 5, "all1", 1.0), ("c1", None, "all1", 1.0)]
+    triples = spark.createDataFrame(rows, "category string, prod_id long, term string, weight double").repartitionByRange(2, "category", "prod_id")
+    made = nmf._Factors(triples, "category", "prod_id", "term", k)
+    n = made.blocks.count()
+    assert n >= 6
+    held = made.blocks.selectExpr("block", "explode(terms) AS term").where("term LIKE 'all%'")
+    assert sorted({x.term[:3] for x in made.shared.where("term IS NOT NULL").collect()} - {"nea"}) == ["all"]
+    assert made.shared.count() < made.blocks.selectExpr("explode(terms)").count() and held.count() > made.terms.count()
+    x = np.zeros((22, len(names := sorted({t for c, d, t, _ in rows if c == "c1" and d is not None}))))
+    for c, d, t, w in rows:
+        if c == "c1" and d is not None:
+            x[d, names.index(t)] += w
+
+    def matrix(frame, key, order):
+        got = {v[key]: [v[f"f{i}"] for i in range(k)] for v in frame.where("category = 'c1'").collect()}
+        assert len(got) == len(order)
+        return np.array([got[o] for o in order])
+    start, last = (nmf.factorise(triples, k=k, passes=p) for p in (0, 3))
+    w, h, _ = numpy_passes(x, matrix(start[0], "prod_id", range(22)), matrix(start[1], "term", names).T, 3)
+    assert np.allclose(matrix(last[0], "prod_id", range(22)), w) and np.allclose(matrix(last[1], "term", names).T, h)
+    # No exchange of the blocks: what is told is dealt as they lie.
+    plan = made.run(0, False, None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "weights" in plan
