@@ -177,3 +177,20 @@ def test_blocks_of_triples_stay_and_only_terms_of_several_blocks_travel(spark, m
     # No exchange of the blocks: what is told is dealt as they lie.
     plan = made.run(0, False, None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "weights" in plan
+
+
+def test_triples_are_cut_into_whole_documents_of_one_category(monkeypatch):
+    import pyarrow as pa
+    rows = [("a", d, f"t{j}") for d in range(5) for j in range(d + 1)] + [("b", 4, "t0"), ("b", 5, "t0"), ("c", 5, "t1")]
+    monkeypatch.setattr(nmf, "BLOCK_TRIPLES", 6)
+    for docs, size in ((2, 1), (9, 2), (9, 100), (1, 3)):
+        monkeypatch.setattr(nmf, "BLOCK_DOCS", docs)
+        batches = [pa.RecordBatch.from_pylist([dict(zip("gdt", r, strict=True)) for r in rows[i:i + size]])
+                   for i in range(0, len(rows), size)]
+        cut = [(t.to_pylist(), list(begin)) for t, begin in nmf._cut(iter(batches))]
+        assert [tuple(r.values()) for t, _ in cut for r in t] == rows
+        held = [{(r["g"], r["d"]) for r in t} for t, _ in cut]
+        assert all(len({g for g, _ in h}) == 1 and len(h) == len(b) <= docs for h, (_, b) in zip(held, cut, strict=True))
+        assert sum(map(len, held)) == len({r[:2] for r in rows})
+        assert all(t[i]["d"] != t[i - 1]["d"] for t, b in cut for i in b[1:])
+    assert list(nmf._cut(iter([]))) == []
